@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import chunks, history, neardup, ranks, terms
 from tessera.plans.tables import table
 
 SIMILAR, RUN, LEAST_WORDS = 0.7, 3, 30
@@ -31,6 +31,52 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.split(table(spark, d, "indexed_items"), "row_seq", "content", "start_line", "end_line").withColumnRenamed("row", "row_seq")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_pieces(spark, d).where("piece_no = 0").select("row_seq")
+
+
+ITEM = ["repo", "item_id"]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.col("score_parts")
+    scores = {"lexical": ranks.part(parts, "lexical", "keyword"), "vector": ranks.part(parts, "vector"), "symbol": ranks.part(parts, "symbol")}
+    return ranks.item_values(table(spark, d, "search_results"), ["query_id"], ITEM, scores)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    leads = ranks.score_ranks(_scored(spark, d), ["query_id"], ITEM, ["lexical", "vector", "symbol"]).where("rank <= 3")
+    return leads.groupBy("query_id", *ITEM).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+
+
+def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
+    df = ranks.median_rank(_scored(spark, d), ["query_id"], ITEM, {"lexical": 1.0, "vector": 1.0, "symbol": 1.0})
+    return df.select("query_id", *ITEM, "score", "median_rank", F.round("mean_rank", 6).alias("mean_rank"), F.col("parts").cast("long").alias("parts"))
+
+
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term with its counts and mark."""
+    items = table(spark, d, "indexed_items")
+    return terms.marked(terms.term_counts(items, ["title", "content"]), items.count()).drop("n")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_terms(spark, d).where("mark is not null").select("term", "mark")
+
+
+def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all n-grams of up to three words that occur in more than one record."""
+    return terms.term_counts(table(spark, d, "indexed_items"), ["title", "content"], 3).where("records > 1")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repeated_rows(table(spark, d, "indexed_items"), table(spark, d, "index_batches"), SIMILAR, RUN, LEAST_WORDS)
+
+
 WORDS_SQL = "regexp_extract_all(lower({0}), '[a-z0-9_]+|[\\x{{4E00}}-\\x{{9FFF}}]')"
 SETS_SQL = f"""
 w AS (SELECT content, min(row_seq) cid, any_value({WORDS_SQL.format('content')}) ws FROM indexed_items WHERE content IS NOT NULL GROUP BY content),
@@ -41,7 +87,38 @@ link AS (SELECT a, b FROM o WHERE o / (na + nb - o) >= 0.7),
 r AS (SELECT i.row_seq, i.repo, i.id, i.index_batch_id, s.cid FROM indexed_items i JOIN s ON i.content = s.content)
 """
 
+RANKS_SQL = """
+v AS (SELECT query_id, repo, item_id, map_entries(score_parts) e FROM search_results),
+f AS (SELECT query_id, repo, item_id,
+  list_transform(list_filter(e, lambda x: lower(trim(x.key)) = 'lexical' AND x.value IS NOT NULL), lambda x: x.value) l,
+  list_transform(list_filter(e, lambda x: lower(trim(x.key)) = 'keyword' AND x.value IS NOT NULL), lambda x: x.value) k,
+  list_transform(list_filter(e, lambda x: lower(trim(x.key)) = 'vector' AND x.value IS NOT NULL), lambda x: x.value) v,
+  list_transform(list_filter(e, lambda x: lower(trim(x.key)) = 'symbol' AND x.value IS NOT NULL), lambda x: x.value) s FROM v),
+u AS (SELECT query_id, repo, item_id, unnest([{'part': 'lexical', 'vals': CASE WHEN len(l) > 0 THEN l ELSE k END}, {'part': 'vector', 'vals': v}, {'part': 'symbol', 'vals': s}]) p FROM f),
+m AS (SELECT query_id, repo, item_id, p.part part, max(list_max(list_filter(p.vals, lambda x: x > 0 AND isfinite(x)))) val FROM u GROUP BY ALL),
+k AS (SELECT *, rank() OVER (PARTITION BY query_id, part ORDER BY val DESC) rk, count(*) OVER (PARTITION BY query_id, part) n FROM m WHERE val IS NOT NULL)"""
+TERMS_SQL = f"""
+t AS (SELECT row_seq, unnest(list_concat(coalesce({WORDS_SQL.format('title')}, []), coalesce({WORDS_SQL.format('content')}, []))) term FROM indexed_items),
+c AS (SELECT term, count(*) occurrences, count(DISTINCT row_seq) records FROM t GROUP BY 1),
+q AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM indexed_items) THEN 'common' END mark FROM c)"""
+HASH_SQL = "regexp_replace(lower(regexp_replace(file_hash, '^\\s+|\\s+$', '', 'g')), '^[a-z0-9_\\-]+:\\s*', '')"
+
 ORACLE: dict[str, str] = {
+    "p1_found": "SELECT row_seq FROM indexed_items WHERE length(content) > 2000",
+    "p4_found": f"WITH {RANKS_SQL} SELECT query_id, repo, item_id FROM k WHERE rk <= 3 GROUP BY ALL HAVING count(*) >= 2",
+    "p4_ranking": f"""WITH {RANKS_SQL}, last AS (SELECT query_id, part, max(n) n FROM k GROUP BY ALL),
+p(part) AS (VALUES ('lexical'), ('vector'), ('symbol')), i AS (SELECT DISTINCT query_id, repo, item_id FROM search_results),
+a AS (SELECT i.*, p.part, k.rk, coalesce(k.rk, last.n + 1, 1) r FROM i CROSS JOIN p LEFT JOIN k ON k.query_id = i.query_id AND k.repo = i.repo AND k.item_id = i.item_id AND k.part = p.part
+  LEFT JOIN last ON last.query_id = i.query_id AND last.part = p.part)
+SELECT query_id, repo, item_id, CASE WHEN count(rk) > 0 THEN 1 / median(r) END score, median(r)::DOUBLE median_rank, round(avg(r), 6) mean_rank, count(rk) parts FROM a GROUP BY ALL""",
+    "p6_found": f"WITH {TERMS_SQL} SELECT term, mark FROM q WHERE mark IS NOT NULL",
+    "p6_terms": f"WITH {TERMS_SQL} SELECT term, occurrences, records, mark FROM q",
+    "p7_found": f"""WITH {SETS_SQL}, b AS (SELECT i.row_seq, i.repo, i.id, {HASH_SQL} h, s.cid, CASE WHEN i.index_batch_id IS NULL THEN -1 ELSE batch_no END no
+  FROM indexed_items i LEFT JOIN index_batches USING (index_batch_id) LEFT JOIN s ON s.content = i.content),
+same AS (SELECT row_seq FROM b WHERE no > (SELECT min(no) FROM b y WHERE y.h = b.h)),
+l AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link UNION ALL SELECT cid, cid FROM s)
+SELECT row_seq, 'same' kind FROM same
+UNION ALL SELECT DISTINCT x.row_seq, 'near' FROM b x JOIN l ON l.a = x.cid JOIN b y ON y.cid = l.b AND y.no < x.no AND (y.repo IS DISTINCT FROM x.repo OR y.id IS DISTINCT FROM x.id) WHERE x.row_seq NOT IN (SELECT row_seq FROM same)""",
     "p3_found": f"""WITH {SETS_SQL}, l AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link UNION ALL SELECT cid, cid FROM s)
 SELECT x.row_seq row_a, y.row_seq row_b FROM l JOIN r x ON x.cid = l.a JOIN r y ON y.cid = l.b AND x.row_seq < y.row_seq
 WHERE x.repo IS DISTINCT FROM y.repo OR x.id IS DISTINCT FROM y.id""",
@@ -51,4 +128,7 @@ g AS (SELECT node, min(root) root FROM c GROUP BY 1), d AS (SELECT a, count(*) l
 SELECT r.row_seq, r.cid class_id, g.root group_id, coalesce(d.links, 0) links FROM r JOIN g ON g.node = r.cid LEFT JOIN d ON d.a = r.cid""",
 }
 
-QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_ranking, p6_found, p6_terms, p6_ngrams, p7_found)
+}
