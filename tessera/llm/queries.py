@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chunks, history, neardup, ranks, terms
-from tessera.plans.tables import table
+from tessera.llm import bpe, chunks, history, neardup, packing, quality, ranks, terms, vectors
+from tessera.plans.tables import materialize, table
 
 SIMILAR, RUN, LEAST_WORDS = 0.7, 3, 30
 
@@ -58,6 +58,20 @@ def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     return df.select("query_id", *ITEM, "score", "median_rank", F.round("mean_rank", 6).alias("mean_rank"), F.col("parts").cast("long").alias("parts"))
 
 
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.usable(table(spark, d, "item_embeddings"), "vec_id", ["provider", "model"], "dimension", "embedding", ["repo", "item_id"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = vectors.neighbours(_usable(spark, d), 10, 0.93)
+    return near.select(F.least("row", "other").alias("vec_a"), F.greatest("row", "other").alias("vec_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every usable vector."""
+    return vectors.neighbours(_usable(spark, d), 10)
+
+
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every term with its counts and mark."""
     items = table(spark, d, "indexed_items")
@@ -77,6 +91,32 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated_rows(table(spark, d, "indexed_items"), table(spark, d, "index_batches"), SIMILAR, RUN, LEAST_WORDS)
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    sizes = bpe.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return packing.containers(sizes, "doc_id", "tokens")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    stats = materialize(quality.text_statistics(table(spark, d, "documents"), "doc_id", "text", "lang"), "stats")
+    return quality.judged(stats, "doc_id", quality.fit_prose(stats, table(spark, d, "doc_labels"), "doc_id", "kind"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("kind is not null").select("doc_id", "kind")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its statistics, its distance from prose and each statistic's contribution."""
+    df = _judged(spark, d)
+    stats = [F.round(F.col("stats")[i], 6).alias(s) for i, s in enumerate(quality.STATS)]
+    parts = [F.round(F.col("contributions")[i], 6).alias(f"{s}_part") for i, s in enumerate(quality.STATS)]
+    return df.select("doc_id", *quality.COUNTS, *stats, F.round("distance", 6).alias("distance"), "prose_lang", *parts, "kind")
+
+
 WORDS_SQL = "regexp_extract_all(lower({0}), '[a-z0-9_]+|[\\x{{4E00}}-\\x{{9FFF}}]')"
 SETS_SQL = f"""
 w AS (SELECT content, min(row_seq) cid, any_value({WORDS_SQL.format('content')}) ws FROM indexed_items WHERE content IS NOT NULL GROUP BY content),
@@ -111,6 +151,12 @@ p(part) AS (VALUES ('lexical'), ('vector'), ('symbol')), i AS (SELECT DISTINCT q
 a AS (SELECT i.*, p.part, k.rk, coalesce(k.rk, last.n + 1, 1) r FROM i CROSS JOIN p LEFT JOIN k ON k.query_id = i.query_id AND k.repo = i.repo AND k.item_id = i.item_id AND k.part = p.part
   LEFT JOIN last ON last.query_id = i.query_id AND last.part = p.part)
 SELECT query_id, repo, item_id, CASE WHEN count(rk) > 0 THEN 1 / median(r) END score, median(r)::DOUBLE median_rank, round(avg(r), 6) mean_rank, count(rk) parts FROM a GROUP BY ALL""",
+    "p5_found": """WITH v AS (SELECT vec_id, repo, item_id, provider, model, dimension, embedding e FROM item_embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c AS (SELECT a.vec_id a, b.vec_id b, list_cosine_similarity(a.e, b.e) s FROM v a JOIN v b ON a.provider IS NOT DISTINCT FROM b.provider AND a.model IS NOT DISTINCT FROM b.model AND a.dimension = b.dimension
+  AND (a.repo IS DISTINCT FROM b.repo OR a.item_id IS DISTINCT FROM b.item_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) r FROM c WHERE s >= 0.93)
+SELECT DISTINCT least(a, b) vec_a, greatest(a, b) vec_b FROM k WHERE r <= 10""",
     "p6_found": f"WITH {TERMS_SQL} SELECT term, mark FROM q WHERE mark IS NOT NULL",
     "p6_terms": f"WITH {TERMS_SQL} SELECT term, occurrences, records, mark FROM q",
     "p7_found": f"""WITH {SETS_SQL}, b AS (SELECT i.row_seq, i.repo, i.id, {HASH_SQL} h, s.cid, CASE WHEN i.index_batch_id IS NULL THEN -1 ELSE batch_no END no
@@ -130,5 +176,8 @@ SELECT r.row_seq, r.cid class_id, g.root group_id, coalesce(d.links, 0) links FR
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_ranking, p6_found, p6_terms, p6_ngrams, p7_found)
+    for f in (
+        p1_found, p1_pieces, p3_found, p3_groups, p4_found, p4_ranking, p5_found, p5_neighbours, p6_found, p6_terms, p6_ngrams, p7_found,
+        p8_ids, p9_containers, p10_found, p10_statistics,
+    )
 }
