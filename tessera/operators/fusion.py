@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lexical import lexical_recall, with_tokens
+from tessera.operators.lexical import Limits, lexical_recall, with_tokens, within
 from tessera.operators.symbols import symbol_recall
 from tessera.operators.vector import Identity, vector_recall
 from tessera.plans.tables import materialize
@@ -17,7 +17,7 @@ CHANNELS = ("lexical", "vector", "symbol")
 RRF_K, REASONS = 60, 4
 
 
-def rrf(hits: DataFrame, limit: int | None = 10, k: int = RRF_K) -> DataFrame:
+def rrf(hits: DataFrame, limit: int | Limits | None = 10, k: int = RRF_K) -> DataFrame:
     """Fused candidates (query_id, repo, id, score, rank, scores, ranks, reasons); the score is rounded before the last ordering."""
     order = F.create_map(*[x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i))])[F.col("channel")]
     best = hits.groupBy("query_id", "repo", "id", "channel").agg(F.sum(1 / (k + F.col("rank"))).alias("part"), F.max("raw_score").alias("raw_score"), F.min("rank").alias("rank"), F.array_sort(F.collect_set(F.struct("rank", "reason"))).alias("reasons"))
@@ -32,7 +32,7 @@ def rrf(hits: DataFrame, limit: int | None = 10, k: int = RRF_K) -> DataFrame:
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.coalesce("repo", F.lit("")), "id")
     fused = fused.withColumn("rank", F.row_number().over(w))
-    return fused.where(F.col("rank") <= limit) if limit is not None else fused
+    return within(fused, "rank", limit) if limit is not None else fused
 
 
 def score_parts(fused: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def trace(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "channel").agg(F.count(F.lit(1)).alias("candidate_count"), rows.alias("hits"))
 
 
-def recall(items: DataFrame, embeddings: DataFrame | None, symbols: DataFrame, queries: DataFrame, limit: int = 10, identity: Identity | None = None, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
+def recall(items: DataFrame, embeddings: DataFrame | None, symbols: DataFrame, queries: DataFrame, limit: int | Limits = 10, identity: Identity | None = None, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     """The hits of all channels. Queries with a column vector take part in the vector channel."""
     queries = with_tokens(queries, domain_terms, cjk)
     hits = lexical_recall(items, queries, limit, domain_terms, cjk).unionByName(symbol_recall(symbols, items, queries, limit, domain_terms, cjk))
@@ -61,13 +61,15 @@ def recall(items: DataFrame, embeddings: DataFrame | None, symbols: DataFrame, q
     return hits
 
 
-def hybrid_search(items: DataFrame, embeddings: DataFrame | None, symbols: DataFrame, queries: DataFrame, limit: int = 10, identity: Identity | None = None, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
+def hybrid_search(items: DataFrame, embeddings: DataFrame | None, symbols: DataFrame, queries: DataFrame, limit: int | Limits = 10, identity: Identity | None = None, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     """The fused top of each query: the texts are not in it, join them by (repo, id)."""
     return match_reason(score_parts(rrf(recall(items, embeddings, symbols, queries, limit, identity, domain_terms, cjk), limit)))
 
 
 def stale(items: DataFrame, queries: DataFrame, hits: DataFrame, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     """(query_id, stale): whether a query that asks for a commit found nothing, but would without the commit."""
+    if "commit_sha" not in queries.columns or not queries.where("commit_sha is not null").limit(1).count():
+        return queries.select("query_id", F.lit(False).alias("stale"))
     queries = with_tokens(queries, domain_terms, cjk)
     missed = materialize(queries.where("commit_sha is not null").join(hits.select("query_id").distinct(), "query_id", "left_anti"), "missed")
     found = lexical_recall(items, missed.drop("commit_sha"), 1, domain_terms, cjk).select("query_id", F.lit(True).alias("found")).distinct()

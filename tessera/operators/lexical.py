@@ -8,6 +8,7 @@ language, symbol_types, table_name, commit_sha, tokens.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,21 @@ K1, B = 1.2, 0.75
 BROADCAST_ROWS = 20_000
 
 
-def candidate_cap(limit: Column | int) -> Column:
-    limit = F.lit(limit) if isinstance(limit, int) else limit
-    return F.greatest(limit * 3, F.lit(20))
+@dataclass(frozen=True)
+class Limits:
+    """A limit that differs from query to query, and the greatest of them."""
+
+    each: Column
+    most: int
+
+
+def within(df: DataFrame, place: str, limit: int | Limits, candidates: bool = False) -> DataFrame:
+    """The rows whose place is within the limit, or within a channel's candidates for it. A constant bound comes first, as it is applied before the shuffle."""
+    most = limit if isinstance(limit, int) else limit.most
+    df = df.where(F.col(place) <= (max(most * 3, 20) if candidates else most))
+    if isinstance(limit, int):
+        return df
+    return df.where(F.col(place) <= (F.greatest(limit.each * 3, F.lit(20)) if candidates else limit.each))
 
 
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,11 +69,11 @@ def scoped(items: DataFrame, queries: DataFrame) -> DataFrame:
     return out.unionByName(items.join(sized(anywhere), cond)) if anywhere.limit(1).count() else out
 
 
-def keyword_candidates(items: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def keyword_candidates(items: DataFrame, queries: DataFrame, limit: int | Limits = 10) -> DataFrame:
     """The items that hold most of each query's tokens, cut to the candidate cap; ties by id, then repo."""
     rows = scoped(items, queries).withColumn("match_count", match_count(haystack(), F.col("q_tokens"))).where("match_count > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("match_count"), "id", F.coalesce("repo", F.lit("")))
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= candidate_cap(limit))
+    return within(rows.withColumn("place", F.row_number().over(w)), "place", limit, True)
 
 
 def postings(candidates: DataFrame, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
@@ -107,7 +120,7 @@ def ranked(scored: DataFrame, channel: str, reason: Column, score: str = "score"
     return scored.where(F.col(score) > 0).select("query_id", F.lit(channel).alias("channel"), "repo", "id", F.row_number().over(w).alias("rank"), value.alias("raw_score"), reason.alias("reason"))
 
 
-def lexical_recall(items: DataFrame, queries: DataFrame, limit: int = 10, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
+def lexical_recall(items: DataFrame, queries: DataFrame, limit: int | Limits = 10, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     queries = with_tokens(queries, domain_terms, cjk)
     candidates = keyword_candidates(items, queries, limit)
     scored = bm25(candidates, queries, postings(candidates, domain_terms, cjk))

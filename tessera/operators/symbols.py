@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import symbol_terms
 from tessera.operators.filters import KINDS, symbol_filter
-from tessera.operators.lexical import candidate_cap, ranked, sized, with_tokens
+from tessera.operators.lexical import Limits, ranked, sized, with_tokens, within
 
 # The scores of the ladder.
 EXACT, PREFIX, FUZZY = 1.0, 0.85, 0.65
@@ -73,13 +73,13 @@ def ladder(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def items_of_symbols(scored: DataFrame, items: DataFrame, limit: int = 10) -> DataFrame:
+def items_of_symbols(scored: DataFrame, items: DataFrame, limit: int | Limits = 10) -> DataFrame:
     """The items of scored symbols: dead links and other asset types dropped, the best symbol of an item, the first cap items by (score, qualified name, symbol id)."""
     linked = scored.where("source_item_id is not null").join(items.select("repo", F.col("id").alias("source_item_id"), F.col("asset_type").alias("of")), ["repo", "source_item_id"]).where("of = asset_type")
     best = Window.partitionBy("query_id", "repo", "source_item_id").orderBy(F.desc("score"), "qualified_name", "symbol_id")
     first = linked.withColumn("k", F.row_number().over(best)).where("k = 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "qualified_name", "symbol_id")
-    return first.withColumn("k", F.row_number().over(order)).where(F.col("k") <= candidate_cap(limit)).select("query_id", "repo", F.col("source_item_id").alias("id"), "score", "reason")
+    return within(first.withColumn("k", F.row_number().over(order)), "k", limit, True).select("query_id", "repo", F.col("source_item_id").alias("id"), "score", "reason")
 
 
 def with_terms(queries: DataFrame, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
@@ -91,7 +91,7 @@ def with_terms(queries: DataFrame, domain_terms: Sequence[str] = (), cjk: bool =
     return queries.withColumn("terms", F.array_union(symbol_terms(F.col("query_text")), F.col("tokens"))).withColumn("kinds", F.when(F.col("asset_type").isin("code", "db_schema"), kinds))
 
 
-def symbol_recall(symbols: DataFrame, items: DataFrame, queries: DataFrame, limit: int = 10, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
+def symbol_recall(symbols: DataFrame, items: DataFrame, queries: DataFrame, limit: int | Limits = 10, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     """Hits of the symbol channel; none for queries without a repo or for documents."""
     scored = ladder(symbols, with_terms(queries, domain_terms, cjk))
     return ranked(items_of_symbols(scored, items, limit), "symbol", F.col("reason"))

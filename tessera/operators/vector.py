@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lexical import candidate_cap, ranked, scoped
+from tessera.operators.lexical import Limits, ranked, scoped, within
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def vector_scores(items: DataFrame, embeddings: DataFrame, queries: DataFrame) -
     return rows.select("query_id", "repo", "id", cosine(F.col("embedding"), F.col("q_vector"), F.col("norm")).alias("score"))
 
 
-def vector_recall(items: DataFrame, embeddings: DataFrame, queries: DataFrame, limit: int = 10, identity: Identity | None = None) -> DataFrame:
+def vector_recall(items: DataFrame, embeddings: DataFrame, queries: DataFrame, limit: int | Limits = 10, identity: Identity | None = None) -> DataFrame:
     """Hits of the vector channel; without an identity every item counts with its first vector, without a cap."""
     reason = F.lit("vector similarity hit")
     if identity is None:
@@ -80,4 +80,4 @@ def vector_recall(items: DataFrame, embeddings: DataFrame, queries: DataFrame, l
         return ranked(vector_scores(items, first, queries), "vector", reason)
     scored = vector_scores(items, in_space(embeddings, identity), queries).withColumn("score", F.round("score", 6)).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id", "repo")
-    return ranked(scored.withColumn("k", F.row_number().over(w)).where(F.col("k") <= candidate_cap(limit)), "vector", reason)
+    return ranked(within(scored.withColumn("k", F.row_number().over(w)), "k", limit, True), "vector", reason)

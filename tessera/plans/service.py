@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import context as C
 from tessera.operators.fusion import match_reason, recall, rrf, score_parts, stale, trace
+from tessera.operators.lexical import Limits
 from tessera.operators.vector import Identity, check_dimension
 from tessera.plans.tables import materialize
 from tessera.sources import aliases as A
@@ -21,6 +22,7 @@ QUERY = (
 )
 FILTERS = ("repo", "path_prefix", "language", "symbol_type", "table", "expected_commit_sha")
 MOST_RESULTS = 50
+PARTS = ("keyword", "lexical", "vector", "symbol", "rrf")
 
 
 class RequestError(ValueError):
@@ -92,12 +94,13 @@ class Engine:
         text = text.strip()
         return (query_id, text, self._repo(filters.get("repo")), asset_type, filters.get("path_prefix"), filters.get("language"), kinds, filters.get("table"), filters.get("expected_commit_sha"), self._vector(text, vector))
 
-    def search(self, queries: DataFrame, limit: int = 10) -> Answer:
+    def search(self, queries: DataFrame, limit: int | Limits = 10) -> Answer:
         """queries: QUERY, any number of rows; all channels and queries run in one plan."""
         if self.aliases is not None:
             queries = A.expanded(queries, self.aliases)
         hits = materialize(recall(self.items, self.embeddings, self.symbols, queries, limit, self.identity, self.terms, self.cjk), "hits")
         fused = match_reason(score_parts(rrf(hits, limit)))
+        fused = fused.withColumn("score_parts", F.struct(*PARTS)).drop(*PARTS)
         results = fused.join(self.items, ["repo", "id"])
         old = stale(self.items, queries, hits, self.terms, self.cjk)
         across = results.groupBy("query_id").agg((F.countDistinct("repo") > 1).alias("across"))
@@ -120,22 +123,26 @@ class Engine:
         return self._one("doc", text, limit, filters, vector)
 
     def build_contexts(self, tasks: DataFrame, sizes: Mapping[str, int] | None = None) -> Context:
-        """tasks: query_id, query_text, repo, language, commit_sha, token_budget (null: none), vector. The four searches of every task share one plan for each group."""
+        """tasks: query_id, query_text, repo, language, commit_sha, token_budget (null: none), vector. The four searches of all tasks are one plan."""
         sizes = {**C.SIZES, **(sizes or {})}
-        rows, olds, hits = None, None, None
+        # one request for each task and group: their key is query_id * 4 + the group's place
+        count = len(C.BUDGET_ORDER)
         null = lambda t: F.lit(None).cast(t)
-        for group in C.BUDGET_ORDER:
-            code = C.ASSETS[group] == "code"
-            kinds = F.array(F.lit("method"), F.lit("class")) if group == "similar_implementations" else null("array<string>")
-            q = tasks.select("query_id", "query_text", "repo", F.lit(C.ASSETS[group]).alias("asset_type"), null("string").alias("path_prefix"), (F.col("language") if code else null("string")).alias("language"), kinds.alias("symbol_types"), null("string").alias("table_name"), "commit_sha", "vector")
-            answer = self.search(q, sizes[group])
-            part = answer.results.withColumn("group", F.lit(group))
-            old = answer.risks.select("query_id", "stale")
-            found = answer.hits.withColumn("group", F.lit(group))
-            rows, olds, hits = (part, old, found) if rows is None else (rows.unionByName(part), olds.unionByName(old), hits.unionByName(found))
+        asset = lambda g: C.ASSETS[g]
+        groups = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(asset(g)).alias("asset_type"), F.lit(asset(g) == "code").alias("code"), F.lit(g == "similar_implementations").alias("similar")) for i, g in enumerate(C.BUDGET_ORDER)])
+        q = tasks.withColumn("g", F.explode(groups))
+        q = q.select(
+            (F.col("query_id") * count + F.col("g.at")).alias("query_id"), "query_text", "repo", "g.asset_type", null("string").alias("path_prefix"), F.when(F.col("g.code"), F.col("language")).alias("language"),
+            F.when(F.col("g.similar"), F.array(F.lit("method"), F.lit("class"))).alias("symbol_types"), null("string").alias("table_name"), "commit_sha", "vector",
+        )
+        at = F.pmod(F.col("query_id"), F.lit(count)).cast("int")
+        answer = self.search(q, Limits(F.array(*[F.lit(sizes[g]) for g in C.BUDGET_ORDER])[at], max(sizes.values())))
+        task, name = F.floor(F.col("query_id") / count).cast("long"), F.array(*map(F.lit, C.BUDGET_ORDER))[at]
+        rows = answer.results.withColumn("group", name).withColumn("query_id", task)
         results = materialize(C.with_cost(C.dedupe(rows)), "results")
         kept = materialize(C.within_budget(results, tasks), "kept")
-        stale_any = olds.groupBy("query_id").agg(F.max("stale").alias("stale"))
+        stale_any = answer.risks.select(task.alias("query_id"), "stale").groupBy("query_id").agg(F.max("stale").alias("stale"))
+        hits = answer.hits.withColumn("group", name).withColumn("query_id", task)
         return Context(kept, C.risks(kept, tasks, stale_any), C.citations(kept), hits)
 
     def build_task_context(self, task: str, *, repo: str | None = None, language: str | None = None, expected_commit_sha: str | None = None, token_budget: int | None = None, sizes: Mapping[str, int] | None = None) -> Context:

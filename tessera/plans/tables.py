@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
+_own_dirs: list[str] = []
 
 
 def session(app: str = "tessera", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -37,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError(f"{_CONF} must name a folder that all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    _own_dirs.append(tempfile.mkdtemp(prefix="tessera-"))
+    where = "file://" + _own_dirs[-1]
     spark.conf.set(_CONF, where)
     return where
 
@@ -75,24 +79,29 @@ def release(*tables: DataFrame) -> None:
             _written.remove(entry)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete at its end the tables materialized within, but those put in the list."""
+    mark, keep = len(_written), []
+    try:
+        yield keep
+    finally:
+        kept = {getattr(df, "_tessera_path", None) for df in keep}
+        for entry in _written[mark:]:
+            if entry[1] not in kept:
+                _delete(*entry)
+                _written.remove(entry)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
             if path.startswith("file:"):
-                import shutil
-
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
             else:
                 _delete(spark, path)
         except Exception:  # the session may be gone already
             continue
-
-
-def row_tasks(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Partitions so that each holds about per_task rows, at least one for each core."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // per_task))
-
-
-def local_path(path: str) -> str:
-    return os.fspath(path).removeprefix("file://")
+    for path in _own_dirs:
+        shutil.rmtree(path, ignore_errors=True)

@@ -105,7 +105,7 @@ def _escape(text: str) -> str:
 def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, text, file_hash) of valid UTF-8 files, and the others as failures."""
     rows = files.withColumn("ok", F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
-    good = rows.where("ok").select("path", F.decode("content", F.lit("UTF-8")).alias("text"), "file_hash")
+    good = rows.where("ok").select("path", F.decode("content", "UTF-8").alias("text"), "file_hash")
     return good, rows.where("not coalesce(ok, false)").select("path", F.lit("read").alias("stage"), F.lit("not valid UTF-8, or too long").alias("error"))
 
 
