@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.plans.tables import materialize, release
+from tessera.plans.tables import materialize, release, scratch
 
 SETS = "cid long, n int, toks array<long>, entries array<struct<key:long,role:int>>, c int, " + ", ".join(f"s{i} long" for i in range(S.SIG_WORDS))
 
@@ -155,29 +155,32 @@ def repeated_rows(items: DataFrame, batches: DataFrame, t: float = 0.8, k: int =
 
     All batches at once, each held against those before it.
     """
-    order = batches.select("index_batch_id", F.col("batch_no").cast("long").alias("no"))
-    who = F.struct(F.xxhash64("repo", "id").alias("x"), F.xxhash64("id", F.lit("~"), "repo").alias("y"))
-    rows = items.select("row_seq", who.alias("who"), "index_batch_id", normal_hash(F.col("file_hash")).alias("h"), F.md5(F.col("content").cast("binary")).alias("md5"))
-    rows = rows.join(order, "index_batch_id", "left").withColumn("at", F.when(F.col("index_batch_id").isNull(), F.lit(-1)).otherwise(F.col("no")))
-    rows = materialize(rows.where("at is not null").select("row_seq", "who", "h", "md5", "at"), "rows")
-    first = rows.where("h is not null").groupBy("h").agg(F.min("at").alias("first"))
-    rows = materialize(rows.join(first, "h", "left").select("row_seq", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same")), "rows")
-
-    sets = materialize(S.shingle_sets(S.content_classes(items, "row_seq", "content", least_words), k, least_words), "sets")
-    indexed = materialize(indexed_sets(sets, t, S.frequencies(sets)), "indexed")
-    classes = materialize(sets.select("md5", "cid"), "classes")
-    release(sets)
-    links = S.verified(S.block_pairs(_entries(indexed), t), indexed, t)
-
-    member = materialize(rows.join(classes, "md5").select("cid", "row_seq", "who", "at", "same"), "member")
-    two = _first_two(member)
-    two = materialize(two, "two")
-    both = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("to")))
-    beside = both.join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")
-    early = _first_two(two.unionByName(beside)).groupBy("cid").agg(F.min(F.struct("at", "who")).alias("e1"), F.max(F.struct("at", "who")).alias("e2"))
-    e = F.when(F.col("e1.who") != F.col("who"), F.col("e1.at")).when(F.col("e2.who") != F.col("who"), F.col("e2.at"))
-    near = member.where(~F.col("same")).join(early, "cid").where(e < F.col("at")).select("row_seq", F.lit("near").alias("kind"))
-    return rows.where("same").select("row_seq", F.lit("same").alias("kind")).unionByName(near)
+    with scratch() as keep:
+        order = batches.select("index_batch_id", F.col("batch_no").cast("long").alias("no"))
+        who = F.struct(F.xxhash64("repo", "id").alias("x"), F.xxhash64("id", F.lit("~"), "repo").alias("y"))
+        rows = items.select("row_seq", who.alias("who"), "index_batch_id", normal_hash(F.col("file_hash")).alias("h"), F.md5(F.col("content").cast("binary")).alias("md5"))
+        rows = rows.join(order, "index_batch_id", "left").withColumn("at", F.when(F.col("index_batch_id").isNull(), F.lit(-1)).otherwise(F.col("no")))
+        rows = materialize(rows.where("at is not null").select("row_seq", "who", "h", "md5", "at"), "rows")
+        first = rows.where("h is not null").groupBy("h").agg(F.min("at").alias("first"))
+        rows = materialize(rows.join(first, "h", "left").select("row_seq", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same")), "rows")
+
+        sets = materialize(S.shingle_sets(S.content_classes(items, "row_seq", "content", least_words), k, least_words), "sets")
+        indexed = materialize(indexed_sets(sets, t, S.frequencies(sets)), "indexed")
+        classes = materialize(sets.select("md5", "cid"), "classes")
+        release(sets)
+        links = S.verified(S.block_pairs(_entries(indexed), t), indexed, t)
+
+        member = materialize(rows.join(classes, "md5").select("cid", "row_seq", "who", "at", "same"), "member")
+        two = _first_two(member)
+        two = materialize(two, "two")
+        both = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("to")))
+        beside = both.join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")
+        early = _first_two(two.unionByName(beside)).groupBy("cid").agg(F.min(F.struct("at", "who")).alias("e1"), F.max(F.struct("at", "who")).alias("e2"))
+        e = F.when(F.col("e1.who") != F.col("who"), F.col("e1.at")).when(F.col("e2.who") != F.col("who"), F.col("e2.at"))
+        near = member.where(~F.col("same")).join(early, "cid").where(e < F.col("at")).select("row_seq", F.lit("near").alias("kind"))
+        out = rows.where("same").select("row_seq", F.lit("same").alias("kind")).unionByName(near)
+        keep.append(out := materialize(out, "repeated"))
+    return out
 
 
 class SegmentIndex:

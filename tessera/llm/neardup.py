@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.plans.tables import materialize, release
+from tessera.plans.tables import materialize, release, scratch
 
 
 def _ordered(sets: DataFrame, t: float) -> DataFrame:
@@ -66,10 +66,10 @@ def similar_classes(sets: DataFrame, t: float) -> DataFrame:
 
 def near_duplicates(df: DataFrame, row_id: str, content: str, t: float = 0.8, k: int = 5, least_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Members (md5, cid) of the classes long enough to be compared, and links (a, b, sim) between classes."""
-    sets = materialize(S.shingle_sets(S.content_classes(df, row_id, content, least_words), k, least_words), "sets")
-    links = materialize(similar_classes(sets, t), "links")
-    classes = materialize(sets.select("md5", "cid"), "classes")
-    release(sets)
+    with scratch() as keep:
+        sets = materialize(S.shingle_sets(S.content_classes(df, row_id, content, least_words), k, least_words), "sets")
+        keep.append(links := materialize(similar_classes(sets, t), "links"))
+        keep.append(classes := materialize(sets.select("md5", "cid"), "classes"))
     return classes, links
 
 

@@ -96,7 +96,7 @@ def line_kinds(lines: list[str], bare: list[str], solids: list[int], times: Coun
             kind = "junk"
         elif HEX.match(x) or (n >= 24 and " " not in x and PACKED.match(x) and DIGIT.search(x) and x.lower() != x and x.upper() != x):
             kind = "junk"
-        elif n >= 5 and not x[0].isalnum() and len(set(x)) <= 2:
+        elif n >= 5 and not x[0].isalnum() and "|" not in x and len(set(x)) <= 2:
             kind = "junk"
         else:
             # characters beyond ASCII pass as letters here

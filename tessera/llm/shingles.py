@@ -16,11 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.tables import materialize
+from tessera.plans.tables import materialize, release
 
 WORD = re.compile(r"[a-z0-9_]+|[一-鿿]")
-#: bits of the table that tells tokens seen once from others, and most entries of the list of frequent tokens
-SEEN_BITS, MOST_FREQUENT = 25, 1 << 16
+#: least and most bits (as powers of 2) of the table that tells tokens seen once from others, and most entries of the list of frequent tokens
+SEEN_BITS, MOST_FREQUENT = (20, 27), 1 << 16
 SIG_WORDS = 4
 HOT_BLOCK, CELL = 4096, 2048
 ENTRY = "key long, cid long, n int, c int, role int, " + ", ".join(f"s{i} long" for i in range(SIG_WORDS))
@@ -70,8 +70,8 @@ def content_classes(df: DataFrame, row_id: str, content: str, least_chars: int)
     """(md5, cid, content): one row for each distinct content of at least least_chars characters, combined before the shuffle."""
     text = F.col(content)
     return (
-        df.select(F.col(row_id).alias("r"), text.alias("content"), F.md5(text.cast("binary")).alias("md5"))
-        .where(text.isNotNull() & (F.length(text) >= least_chars))
+        df.where(text.isNotNull() & (F.length(text) >= least_chars))
+        .select(F.col(row_id).alias("r"), text.alias("content"), F.md5(text.cast("binary")).alias("md5"))
         .groupBy("md5")
         .agg(F.min("r").alias("cid"), F.first("content").alias("content"))
     )
@@ -98,7 +98,7 @@ def shingle_sets(classes: DataFrame, k: int, least_words: int) -> DataFrame:
 class Frequencies:
     """What fits in a fixed space of the shingles' record counts.
 
-    seen: a bitmap of 2**SEEN_BITS bits, a token's bit clear only if one record
+    seen: a bitmap of at most 2**27 bits (16 MB), a token's bit clear only if one record
     at most holds it; hot, rank: the at most MOST_FREQUENT tokens of more than
     total / MOST_FREQUENT records, with their place by rising count. Both have a
     bound that doesn't grow with the data. A full bitmap only costs speed.
@@ -109,7 +109,7 @@ class Frequencies:
     rank: np.ndarray
 
     def repeated(self, toks: np.ndarray) -> np.ndarray:
-        b = toks & ((1 << SEEN_BITS) - 1)
+        b = toks & (64 * len(self.seen) - 1)
         return (self.seen[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def ranks(self, toks: np.ndarray) -> np.ndarray:
@@ -125,15 +125,17 @@ def frequencies(sets: DataFrame) -> Frequencies:
         sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "df"
     )
     total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    bucket = F.col("tok").bitwiseAND(F.lit((1 << SEEN_BITS) - 1))
-    bits = counts.groupBy(F.shiftright(bucket, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(tok & 63 as int))")).alias("b")).toArrow()
-    seen = np.zeros(1 << (SEEN_BITS - 6), np.uint64)
+    power = min(SEEN_BITS[1], max(SEEN_BITS[0], int(total).bit_length() + 2))
+    bucket = F.col("tok").bitwiseAND(F.lit((1 << power) - 1))
+    bits = counts.groupBy(F.shiftright(bucket, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tok & 63 as int))")).alias("b")).toArrow()
+    seen = np.zeros(1 << (power - 6), np.uint64)
     seen[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
     frequent = counts.where(F.col("f") > max(8, total // MOST_FREQUENT)).toArrow()
     tok, f = frequent["tok"].to_numpy(), frequent["f"].to_numpy()
     rank = np.empty(len(tok), np.int64)
     rank[np.lexsort((tok, f))] = np.arange(1, len(tok) + 1)
     by = np.argsort(tok)
+    release(counts)
     return Frequencies(seen, tok[by], rank[by])
 
 
@@ -234,9 +236,10 @@ def block_pairs(entries: DataFrame, t: float) -> DataFrame:
         entries = entries.join(hot, "key", "left_anti").unionByName(_cells(entries.join(hot.drop("m"), "key", "left_semi"), t))
 
     def run(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        got = pa.Table.from_batches(batches)
         key, cid, n, c, role = (got.column(i).to_numpy() for i in range(5))
         sig = np.stack([got.column(5 + i).to_numpy().view(np.uint64) for i in range(SIG_WORDS)], 1)
         by = np.argsort(key, kind="stable")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.tables import materialize
+from tessera.plans.tables import materialize, scratch
 
 CAPACITY, PROBES, SAMPLE = 16_000, 3, 10_000
 DEGREE, BEAM, RELAX, WIDTH = 24, 48, 1.44, 4
@@ -262,20 +262,23 @@ def cosine(a, b):
 
 def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, capacity: int = CAPACITY, probes: int = PROBES, keep: int = 40) -> DataFrame:
     """(row, other, similarity): of usable vectors, the k most similar rows of other items in the same space, as far as least."""
-    same = F.struct(F.xxhash64("space", "vector").alias("x"), F.xxhash64("vector", F.lit(1), "space").alias("y"))
-    rows = materialize(vectors.withColumn("same", same), "vectors")
-    classes = materialize(rows.groupBy("same").agg(F.min("row").alias("cls"), F.first("space").alias("space"), F.first("vector").alias("vector")), "classes")
-    members = materialize(rows.join(classes.select("same", "cls"), "same").select("cls", "row", "item"), "members")
-    pairs = materialize(nearest_classes(classes, keep, least, capacity, probes), "pairs")
-    va, vb = (classes.select(F.col("cls").alias(x), F.col("vector").alias(f"v{x}")) for x in "ab")
-    near = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
-    # of each class the first k rows of each of its first k + 1 items: enough for any item's k nearest
-    by_item = Window.partitionBy("cls", "item").orderBy("row")
-    some = members.withColumn("i", F.row_number().over(by_item)).where(F.col("i") <= k)
-    heads = some.where("i = 1").withColumn("j", F.row_number().over(Window.partitionBy("cls").orderBy("row"))).where(F.col("j") <= k + 1).select("cls", "item")
-    reps = materialize(some.join(heads, ["cls", "item"]).select(F.col("cls").alias("b"), F.col("row").alias("other"), F.col("item").alias("theirs")), "reps")
-    near = near.unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
-    askers = members.select(F.col("cls").alias("a"), "item").distinct()
-    w = Window.partitionBy("a", "item").orderBy(F.desc("similarity"), "other")
-    best = near.join(reps, "b").join(askers, "a").where(~F.col("item").eqNullSafe(F.col("theirs"))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
-    return members.withColumnRenamed("cls", "a").alias("m").join(best.alias("n"), (F.col("m.a") == F.col("n.a")) & F.col("m.item").eqNullSafe(F.col("n.item"))).select("m.row", "other", "similarity")
+    with scratch() as kept:
+        same = F.struct(F.xxhash64("space", "vector").alias("x"), F.xxhash64("vector", F.lit(1), "space").alias("y"))
+        rows = materialize(vectors.withColumn("same", same), "vectors")
+        classes = materialize(rows.groupBy("same").agg(F.min("row").alias("cls"), F.first("space").alias("space"), F.first("vector").alias("vector")), "classes")
+        members = materialize(rows.join(classes.select("same", "cls"), "same").select("cls", "row", "item"), "members")
+        pairs = materialize(nearest_classes(classes, keep, least, capacity, probes), "pairs")
+        va, vb = (classes.select(F.col("cls").alias(x), F.col("vector").alias(f"v{x}")) for x in "ab")
+        near = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+        # of each class the first k rows of each of its first k + 1 items: enough for any item's k nearest
+        by_item = Window.partitionBy("cls", "item").orderBy("row")
+        some = members.withColumn("i", F.row_number().over(by_item)).where(F.col("i") <= k)
+        heads = some.where("i = 1").withColumn("j", F.row_number().over(Window.partitionBy("cls").orderBy("row"))).where(F.col("j") <= k + 1).select("cls", "item")
+        reps = materialize(some.join(heads, ["cls", "item"]).select(F.col("cls").alias("b"), F.col("row").alias("other"), F.col("item").alias("theirs")), "reps")
+        near = near.unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
+        askers = members.select(F.col("cls").alias("a"), "item").distinct()
+        w = Window.partitionBy("a", "item").orderBy(F.desc("similarity"), "other")
+        best = near.join(reps, "b").join(askers, "a").where(~F.col("item").eqNullSafe(F.col("theirs"))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+        out = members.withColumnRenamed("cls", "a").alias("m").join(best.alias("n"), (F.col("m.a") == F.col("n.a")) & F.col("m.item").eqNullSafe(F.col("n.item"))).select("m.row", "other", "similarity")
+        kept.append(out := materialize(out, "neighbours"))
+    return out
