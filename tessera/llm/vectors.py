@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import materialize, scratch
 
 CAPACITY, PROBES, SAMPLE = 16_000, 3, 10_000
-DEGREE, BEAM, RELAX, WIDTH = 24, 48, 1.44, 4
+DEGREE, BEAM, RELAX, WIDTH = 32, 64, 1.44, 4
+#: nodes whose distances every search begins with, and how many of the nearest it starts at
+ENTRIES, STARTS = 2048, 16
 
 
 class Graph:
@@ -44,11 +46,11 @@ class Graph:
         np.fill_diagonal(near, np.inf)
         by = np.argsort(near, 1, kind="stable")[:, : BEAM + 16]
         self.edges[first] = self._prune(first, first[by], np.take_along_axis(near, by, 1) * 2 + 2)
-        self.entries = first[:32]
+        self.entries = order[:ENTRIES]
         at = len(first)
         while at < n:
             new = order[at : at + min(at, 2048)]
-            ids, dist = self.search(self.x[new], BEAM)
+            ids, dist = self.search(self.x[new], BEAM, reach=at)
             self.edges[new] = self._prune(new, ids, dist)
             self._tie_back(new)
             at += len(new)
@@ -99,17 +101,28 @@ class Graph:
                 by = np.argsort(d, 1, kind="stable")
                 self.edges[p] = self._prune(p, np.take_along_axis(c, by, 1), np.take_along_axis(d, by, 1))
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the nearest nodes found (-1 where fewer) and their squared distances, by rising distance."""
+    def search(self, q: np.ndarray, beam: int, own: np.ndarray | None = None, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the nearest nodes found (-1 where fewer) and their squared distances, by rising distance.
+
+        The beam starts at the nearest of the entries, and at the query's own
+        node where it has one (own, -1 for none). reach: only so many of the
+        entries are in the graph yet.
+        """
         ids, dist = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, np.float32)
         for lo in range(0, len(q), 1024):
-            ids[lo : lo + 1024], dist[lo : lo + 1024] = self._beam(np.ascontiguousarray(q[lo : lo + 1024], np.float32), beam)
+            at = slice(lo, lo + 1024)
+            ids[at], dist[at] = self._beam(np.ascontiguousarray(q[at], np.float32), beam, self.entries[:reach], None if own is None else own[at])
         return ids, dist
 
-    def _beam(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        m, e = len(q), min(len(self.entries), beam)
+    def _beam(self, q: np.ndarray, beam: int, entries: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        m, e = len(q), min(len(entries), beam - 1, STARTS)
         ids, dist, seen = np.full((m, beam), -1, np.int32), np.full((m, beam), np.inf, np.float32), np.zeros((m, beam), bool)
-        ids[:, :e], dist[:, :e] = self.entries[:e], 2 - 2 * (q @ self.x[self.entries[:e]].T)
+        far = 2 - 2 * (q @ self.x[entries].T)
+        near = np.argpartition(far, e - 1, 1)[:, :e]
+        ids[:, :e], dist[:, :e] = entries[near], np.take_along_axis(far, near, 1)
+        if own is not None:
+            has = (own >= 0) & (ids[:, :e] != own[:, None]).all(1)
+            ids[has, e], dist[has, e] = own[has], 0
         by = np.argsort(dist, 1, kind="stable")
         ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
         live = np.arange(m)
@@ -229,8 +242,10 @@ def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int =
         if not len(own):
             return
         g = Graph(x[home])
+        node = np.full(len(ids), -1, np.int32)
+        node[home] = np.arange(len(own))
         for lo in range(0, len(ids), 8192):
-            found, dist = g.search(x[lo : lo + 8192], max(BEAM, keep + 1))
+            found, dist = g.search(x[lo : lo + 8192], max(BEAM, keep + 1), node[lo : lo + 8192])
             ok = (found >= 0) & (1 - dist / 2 >= least - 1e-4) & (own[np.maximum(found, 0)] != ids[lo : lo + 8192, None])
             r, c = np.nonzero(ok)
             yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[found[r, c]]), pa.array((1 - dist[r, c] / 2).astype(np.float64))], names=["a", "b", "near"])
