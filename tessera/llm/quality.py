@@ -64,8 +64,8 @@ CODE_WORD = re.compile(
 CODE_START = re.compile(r"(?:@[A-Z]\w+(?:\(.*\))?$|//|/\*|\*/|#include|<\?|\}|\{|\)\s*[;{]|--\s)")
 DDL = re.compile(r"(?:CREATE|ALTER|DROP|INSERT|SELECT|UPDATE|DELETE|GRANT|COMMENT ON|PRIMARY KEY|FOREIGN KEY|CONSTRAINT|REFERENCES|UNIQUE)\b", re.I)
 COLUMN = re.compile(r"[\w\"`]+\s+(?:BIGINT|INT|INTEGER|SMALLINT|SERIAL|BIGSERIAL|TEXT|VARCHAR|CHAR|DATE|TIMESTAMP|TIMESTAMPTZ|TIME|BOOLEAN|DECIMAL|NUMERIC|JSONB?|UUID|BYTEA|DOUBLE|REAL|FLOAT)\b(?!\s+[a-z]{2,})")
-CALL = re.compile(r"[\w.]+\(.*\)\s*[;{]?$|\w+\s*=\s*\S.*;$")
-PAIR = re.compile(r"[\w.\-À-ɏ一-鿿]+=\S*")
+ASSIGNMENT = re.compile(r"[\w.\[\]]+\s*=\s*\S.*;$")
+KEY = re.compile(r"[\w.\-]+$")
 GAP = re.compile(r"\S {2,}(?=\S)")
 SMALL_CELL = re.compile(r"[^.!?。！？]{0,40}$")
 
@@ -78,7 +78,7 @@ def _code(raw: str, x: str) -> bool:
     if CODE_START.match(x) or COLUMN.match(x):
         return True
     last = x[-1]
-    if last in ";{}," and CODE_END.search(x[-40:]) and (len(x) < 3 or raw[:1] in " \t" or "(" in x or CODE_WORD.match(x) or CALL.search(x) or DDL.match(x)):
+    if last in ";{}," and CODE_END.search(x[-40:]) and (len(x) < 3 or raw[:1] in " \t" or "(" in x or CODE_WORD.match(x) or ASSIGNMENT.match(x) or DDL.match(x)):
         return True
     if last in ";{(" and CODE_WORD.match(x):
         return True
@@ -124,7 +124,7 @@ def line_kinds(lines: list[str], bare: list[str], solids: list[int], times: Coun
                 gaps = len(GAP.findall(x)) if "  " in x and not _ends_sentence(x) else 0
                 if tabs and len(WORDS.findall(x)) <= 12 * (tabs + 1):
                     kind = "table"
-                elif x.count("=") >= 2 and len(p := PAIR.findall(x)) >= 2 and sum(map(len, p)) > 0.7 * solid:
+                elif x.count("=") >= 2 and len(p := [w for w in x.split() if KEY.match(w.partition("=")[0]) and "=" in w]) >= 2 and sum(map(len, p)) > 0.7 * solid:
                     kind = "table"
                 elif gaps:
                     kind = "table" if gaps >= 2 else "gap"

@@ -1,8 +1,9 @@
 """Problem 5: the most similar vectors of every vector, by robust-pruned directed graphs.
 
 Equal vectors of one space (provider, model, dimension) are one class. The
-classes of a space are spread over shards of at most CAPACITY by nearest centre
-(centres are fitted on a bounded sample; every class is stored). Each shard
+classes of a space are spread over shards of about CAPACITY by nearest centre
+(centres are fitted on a bounded sample; every class is stored; a shard that
+draws far more is cut by hash, and its queries go to every part). Each shard
 builds a directed graph: batches of greedy searches propose neighbours, and
 relaxed distance pruning keeps diverse edges. Every class is searched by beam
 in its PROBES nearest shards. What the graphs find is turned into rows again:
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from tessera.plans.tables import materialize, scratch
 
-CAPACITY, PROBES, SAMPLE = 16_000, 3, 10_000
+#: vectors of a shard; shards that a query is sent to; vectors that fit a space's centres, and most centres of a space
+CAPACITY, PROBES, SAMPLE, MOST_CENTRES = 4_000, 4, 10_000, 1_000
 DEGREE, BEAM, RELAX, WIDTH = 32, 64, 1.44, 4
 #: nodes whose distances every search begins with, and how many of the nearest it starts at
-ENTRIES, STARTS = 2048, 16
+ENTRIES, STARTS = 512, 16
 
 
 class Graph:
@@ -190,7 +192,7 @@ def _routes(classes: DataFrame, capacity: int, probes: int) -> tuple[DataFrame,
     sizes = classes.groupBy(F.to_json("space").alias("space")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each model
     centres, base = {}, 0
     for r in sizes:
-        k = -(-r["n"] // capacity)
+        k = min(-(-r["n"] // capacity), MOST_CENTRES)
         name, c = r["space"], None
         if k > 1:
             sample = classes.where(F.to_json("space") == name)
@@ -232,7 +234,7 @@ def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int =
     parts = routed.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (1.5 * capacity)).cast("int").alias("parts"))
     routed = routed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     home = F.col("home") & (F.pmod(F.xxhash64("cls"), F.col("parts")) == F.col("part"))
-    routed = routed.select((F.col("shard") * 1000 + F.col("part")).alias("shard"), home.alias("home"), "cls", "vector")
+    routed = routed.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("shard"), home.alias("home"), "cls", "vector")
 
     def solve(cls, home, vecs):
         ids = np.array(cls, np.int64)
