@@ -71,7 +71,8 @@ def scoped(items: DataFrame, queries: DataFrame) -> DataFrame:
 
 def keyword_candidates(items: DataFrame, queries: DataFrame, limit: int | Limits = 10) -> DataFrame:
     """The items that hold most of each query's tokens, cut to the candidate cap; ties by id, then repo."""
-    rows = scoped(items, queries).withColumn("match_count", match_count(haystack(), F.col("q_tokens"))).where("match_count > 0")
+    # the text to search in is put together once for each item, below the join
+    rows = scoped(items.withColumn("hay", haystack()), queries).withColumn("match_count", match_count(F.col("hay"), F.col("q_tokens"))).where("match_count > 0").drop("hay")
     w = Window.partitionBy("query_id").orderBy(F.desc("match_count"), "id", F.coalesce("repo", F.lit("")))
     return within(rows.withColumn("place", F.row_number().over(w)), "place", limit, True)
 

@@ -68,8 +68,9 @@ def vector_scores(items: DataFrame, embeddings: DataFrame, queries: DataFrame) -
     """
     narrow = [c for c in ("repo", "id", "asset_type", "path", "language", "symbol_type", "table_name", "commit_sha") if c in items.columns]
     vectors = embeddings.select("repo", F.col("item_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    rows = scoped(items.select(*narrow).join(vectors, ["repo", "id"]), queries.where("vector is not null"))
-    return rows.select("query_id", "repo", "id", cosine(F.col("embedding"), F.col("q_vector"), F.col("norm")).alias("score"))
+    asked = queries.where("vector is not null").withColumn("norm", F.sqrt(dot(F.col("vector"), F.col("vector"))))
+    rows = scoped(items.select(*narrow).join(vectors, ["repo", "id"]), asked)
+    return rows.select("query_id", "repo", "id", cosine(F.col("embedding"), F.col("q_vector"), F.col("norm"), F.col("q_norm")).alias("score"))
 
 
 def vector_recall(items: DataFrame, embeddings: DataFrame, queries: DataFrame, limit: int | Limits = 10, identity: Identity | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.filters import EXCLUDE, INCLUDE, excluded, included
 from tessera.operators.incremental import plan
+from tessera.plans.settings import redacted
 from tessera.plans.store import Store, cascade, last_wins, upsert, without_paths
 from tessera.plans.tables import materialize
 from tessera.sources.files import FAILURE, Provenance, decoded, git_provenance, parsed, scan, scope, stamped
@@ -69,7 +70,7 @@ def index_tree(
     counts = {r.change: r["count"] for r in changes.groupBy("change").count().collect()}
     new = fresh.agg(F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("items"), F.coalesce(F.sum(F.size("symbols")), F.lit(0)).alias("symbols")).first()
     summary = {
-        "repo": repo, "database": store.root, "scope_paths": list(within.shown), "files_scanned": done.count() + errors.where("stage = 'read'").count(), "files_indexed": sizes.files,
+        "repo": repo, "database": redacted(store.root), "scope_paths": list(within.shown), "files_scanned": done.count() + errors.where("stage = 'read'").count(), "files_indexed": sizes.files,
         "files_changed": counts.get("changed", 0), "files_unchanged": counts.get("unchanged", 0), "files_deleted": counts.get("deleted", 0), "items_estimated": sizes["items"], "symbols_estimated": sizes.symbols,
         "items_written": 0 if dry_run else new["items"], "symbols_written": 0 if dry_run else new.symbols, "items_deleted": rows_of(items, deleted), "symbols_deleted": rows_of(symbols, deleted), "embedding_written": 0,
         "branch": provenance.branch, "commit_sha": provenance.commit_sha, "indexed_at": provenance.indexed_at.isoformat().replace("+00:00", "Z"), "index_batch_id": provenance.index_batch_id, "provenance_warnings": list(provenance.warnings),

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +113,11 @@ class Engine:
     def _one(self, asset_type: str, text: str, limit: int, filters: Mapping[str, Any] | None, vector: Sequence[float] | None) -> Answer:
         if not isinstance(limit, int) or isinstance(limit, bool) or not 1 <= limit <= MOST_RESULTS:
             raise RequestError(f"limit must be from 1 to {MOST_RESULTS}")
-        return self.search(self.spark.createDataFrame([self.request(text, asset_type, filters, vector)], QUERY), limit)
+        row = self.request(text, asset_type, filters, vector)
+        try:
+            return self.search(self.spark.createDataFrame([row], QUERY), limit)
+        except (PySparkException, Py4JJavaError) as x:
+            raise RequestError("the stored tables cannot be read", "storage_unavailable", type(x).__name__) from x
 
     def search_code(self, text: str, limit: int = 10, filters: Mapping[str, Any] | None = None, vector: Sequence[float] | None = None) -> Answer:
         return self._one("code", text, limit, filters, vector)

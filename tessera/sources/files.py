@@ -88,9 +88,13 @@ def git_provenance(root: str, timeout: float = 3.0) -> Provenance:
 
 
 def scan(spark: SparkSession, root: str, within: Scope = Scope(), include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE) -> DataFrame:
-    """(path, content, file_hash) of the files in scope, content as bytes; the listing is filtered before any byte is read."""
+    """(path, content, file_hash) of the files in scope, content as bytes. Only files with a suffix of the globs are opened, if all have one."""
     base = os.path.realpath(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{base}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    suffixes = {p.rpartition("*.")[2] for p in include}
+    if all(s.isalnum() and p.endswith("*." + s) for s, p in zip((p.rpartition("*.")[2] for p in include), include)):
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(sorted(suffixes)) + "}")
+    files = reader.load(f"file://{base}")
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*" + _escape(base.lstrip("/")) + "/", "")
     rows = files.withColumn("path", path)
     rows = rows.where(within.covers(F.col("path")) & included(F.col("path"), include) & ~excluded(F.col("path"), exclude))

@@ -193,3 +193,14 @@ def test_push_down_and_pruning(spark, tmp_path):
     df = item_filter(spark.read.parquet(str(tmp_path / "i")), repo=REPO, path_prefix="src/").select("id")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(repo" in plan and "StringStartsWi" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_unreadable_tables(spark, tmp_path):
+    seed(spark).write.parquet(f"{tmp_path}/i")
+    data = spark.read.parquet(f"{tmp_path}/i")
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/i")
+    with pytest.raises(RequestError) as x:
+        engine(spark, data).search_code("payment", filters={"repo": REPO})
+    assert x.value.code == "storage_unavailable"
