@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import flat_metadata, query_tokens, text_tokens
 from tessera.operators.filters import haystack, match_count
+from tessera.plans.tables import materialize
 
 # The weight of each field.
 WEIGHTS = {"title": 3.0, "summary": 1.8, "content": 1.0, "metadata": 1.5, "symbol": 4.0, "table": 4.0, "column": 4.0, "heading_path": 3.0, "path": 1.2}
@@ -32,6 +33,12 @@ class Limits:
     most: int
 
 
+def spread(df: DataFrame, least: int = 32, most: int = 2000) -> DataFrame:
+    """df over enough tasks for work that is heavy for each row: up to all cores for few rows, at most so many rows in a task."""
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, -(-rows // most), min(cores, -(-rows // least))), "repo", "id")
+
+
 def within(df: DataFrame, place: str, limit: int | Limits, candidates: bool = False) -> DataFrame:
     """The rows whose place is within the limit, or within a channel's candidates for it. A constant bound comes first, as it is applied before the shuffle."""
     most = limit if isinstance(limit, int) else limit.most
@@ -123,7 +130,10 @@ def ranked(scored: DataFrame, channel: str, reason: Column, score: str = "score"
 
 def lexical_recall(items: DataFrame, queries: DataFrame, limit: int | Limits = 10, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
     queries = with_tokens(queries, domain_terms, cjk)
-    candidates = keyword_candidates(items, queries, limit)
-    scored = bm25(candidates, queries, postings(candidates, domain_terms, cjk))
+    # both are read several times; they hold no more than the candidates of each query
+    fields = [COLUMN_OF.get(name, name) for name in WEIGHTS]
+    candidates = materialize(keyword_candidates(items, queries, limit).select("query_id", "repo", "id", *fields), "candidates")
+    posts = materialize(postings(spread(candidates), domain_terms, cjk), "postings")
+    scored = bm25(candidates, queries, posts)
     reason = F.concat(F.lit("keyword/lexical hit: "), F.array_join(F.slice("tokens", 1, 5), ", "), F.lit(" fields="), F.array_join(F.slice("fields", 1, 5), ","))
     return ranked(scored, "lexical", reason)
