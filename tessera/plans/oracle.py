@@ -130,7 +130,7 @@ SELECT nn.path, CASE WHEN coalesce(lo = h AND hi = h AND nulls = 0, false) THEN
 UNION ALL SELECT path, 'deleted' FROM o WHERE path NOT IN (SELECT path FROM n0)""",
     "p2_found": f"""WITH {DEL}, a AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY no DESC) k FROM dl), s AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY no DESC) k FROM dl WHERE settled)
 SELECT a.repo, a.path FROM a LEFT JOIN s ON s.repo = a.repo AND s.path = a.path AND s.k = 1 WHERE a.k = 1 AND NOT a.settled AND NOT coalesce(a.version = s.version, false)""",
-    "p2_ledger": f"WITH {DEL} SELECT repo, path, version, no FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY no DESC) k FROM dl WHERE settled) WHERE k = 1",
+    "p2_ledger": f"WITH {DEL} SELECT repo, path, version, no::BIGINT AS no FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY no DESC) k FROM dl WHERE settled) WHERE k = 1",
     "provenance_hash_distinct": "SELECT repo, count(DISTINCT sha256(content)) contents, min(sha256(content)) least FROM indexed_items WHERE content IS NOT NULL GROUP BY 1",
     "ascii_tokens": f"SELECT token, count(*) n FROM (SELECT unnest({found('text')}) token FROM documents) GROUP BY 1",
     "camel_split_tokens": f"SELECT token, count(*) n FROM (SELECT unnest({tokens('title')}) token FROM indexed_items) GROUP BY 1",
