@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,10 +29,20 @@ def session(app: str = "tessera", master: str = "local[*]", **conf: str) -> Spar
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return importable(builder.getOrCreate())
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers find this package where it lies, as long as they see the same files."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([root, *known])
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
