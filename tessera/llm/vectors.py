@@ -6,8 +6,11 @@ classes of a space are spread over shards of about CAPACITY by nearest centre
 draws far more is cut by hash, and its queries go to every part). Each shard
 builds a directed graph: batches of greedy searches propose neighbours, and
 relaxed distance pruning keeps diverse edges. Every class is searched by beam
-in its PROBES nearest shards. What the graphs find is turned into rows again:
-for each class and item its nearest rows of other items.
+in its PROBES nearest shards, for each of its items apart: classes that hold
+nothing but the asking item are passed over before candidates are cut, shards
+that hold nothing else aren't counted, and where the item's own vectors fill
+the beam, the shard's others are compared one by one. What the graphs find is
+turned into rows again: for each class and item its nearest rows of other items.
 
 Approximate: recall against brute force is measured by the tests.
 
@@ -186,8 +189,20 @@ def _centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _routes(classes: DataFrame, capacity: int, probes: int) -> tuple[DataFrame, int]:
-    """(shard, home, cls, vector): each class at its home shard and, as a query, at the nearest shards."""
+def _matrix(column: pa.Array, rows: list[int]) -> np.ndarray:
+    """The rows of a column of equally long lists."""
+    return column.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)
+
+
+def _spaces(space: pa.Array) -> dict[str, list[int]]:
+    groups: dict = {}
+    for i, s in enumerate(space.to_pylist()):
+        groups.setdefault(s, []).append(i)
+    return groups
+
+
+def _homes(classes: DataFrame, capacity: int) -> tuple[DataFrame, dict, int]:
+    """(space, cls, items, vector, shard) with unit vectors and home shards; of each space its first shard, their number and centres; all shards."""
     spark = classes.sparkSession
     sizes = classes.groupBy(F.to_json("space").alias("space")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each model
     centres, base = {}, 0
@@ -203,40 +218,117 @@ def _routes(classes: DataFrame, capacity: int, probes: int) -> tuple[DataFrame,
 
     def run(batches):
         for batch in batches:
-            space, cls, vec = (batch.column(i).to_pylist() for i in range(3))
-            groups: dict = {}
-            for i, s in enumerate(space):
-                groups.setdefault(s, []).append(i)
-            for s, rows in groups.items():
-                first, k, c = shared.value[s]
-                x = _unit([vec[i] for i in rows])
-                m = min(k, probes)
-                near = np.argsort(-(x @ c.T), 1, kind="stable")[:, :m] if c is not None else np.zeros((len(rows), 1), int)
+            space, cls, items, vec = (batch.column(i) for i in range(4))
+            for s, rows in _spaces(space).items():
+                first, _, c = shared.value[s]
+                x, at = _unit(_matrix(vec, rows)), pa.array(rows)
+                home = (x @ c.T).argmax(1) if c is not None else np.zeros(len(rows), int)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((first + near).ravel().astype(np.int32)),
-                        pa.array(np.tile(np.arange(m) == 0, len(rows))),
-                        pa.array(np.repeat([cls[i] for i in rows], m), pa.int64()),
-                        pa.array([v for v in x.astype(np.float32) for _ in range(m)], pa.list_(pa.float32())),
-                    ],
-                    names=["shard", "home", "cls", "vector"],
+                    [space.take(at), cls.take(at), items.take(at), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32())), pa.array((first + home).astype(np.int32))],
+                    names=["space", "cls", "items", "vector", "shard"],
                 )
 
-    routed = classes.select(F.to_json("space").alias("space"), "cls", "vector").mapInArrow(run, "shard int, home boolean, cls long, vector array<float>")
-    return routed, base
+    homes = classes.select(F.to_json("space").alias("space"), "cls", "items", "vector").mapInArrow(run, "space string, cls long, items array<long>, vector array<float>, shard int")
+    return homes, centres, base
+
+
+def _routes(homes: DataFrame, centres: dict, probes: int, enough: int) -> DataFrame:
+    """(shard, home, cls, items, vector): each class at its home shard and, as a query, at the nearest shards.
+
+    Shards that hold nothing but the query's item aren't counted, and where the
+    item has most of a shard, further ones follow until enough others are met.
+    """
+    owner = F.when(F.size("items") == 1, F.col("items")[0]).alias("owner")
+    most = homes.groupBy("shard", owner).agg(F.count(F.lit(1)).alias("n")).groupBy("shard")
+    most = most.agg(F.sum("n").alias("n"), F.max(F.when(F.col("owner").isNotNull(), F.struct("n", "owner"))).alias("top"))
+    held = {r["shard"]: (r["n"], r["top"]) for r in most.collect()}  # one row for each shard
+    shared = homes.sparkSession.sparkContext.broadcast((centres, held))
+
+    def run(batches):
+        centres, held = shared.value
+        ruling = {t["owner"] for n, t in held.values() if t and 2 * t["n"] > n}
+        for batch in batches:
+            space, cls, items, vec, shard = (batch.column(i) for i in range(5))
+            asked = items.to_pylist()
+            for s, rows in _spaces(space).items():
+                first, k, c = centres[s]
+                home = shard.to_numpy()[rows] - first
+                near = np.argsort(-(_matrix(vec, rows) @ c.T.astype(np.float32)), 1, kind="stable") if c is not None else np.zeros((len(rows), 1), int)
+                go = np.zeros((len(rows), k), bool)
+                np.put_along_axis(go, near[:, :probes], True, 1)
+                wide: dict = {}
+                for i, r in enumerate(rows):
+                    for item in asked[r]:
+                        if item in ruling:
+                            wide.setdefault(item, []).append(i)
+                for item, own in wide.items():
+                    others = np.array([n - (t["n"] if t and t["owner"] == item else 0) for n, t in (held.get(first + j, (0, None)) for j in range(k))])
+                    met = others[near[own]]
+                    visit = (met > 0) & ((np.cumsum(met > 0, 1) <= probes) | (np.cumsum(met, 1) - met < enough))
+                    more = np.zeros_like(visit)
+                    np.put_along_axis(more, near[own], visit, 1)
+                    go[own] |= more
+                go[np.arange(len(rows)), home] = True
+                row, to = np.nonzero(go)
+                at = pa.array(np.array(rows)[row])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((first + to).astype(np.int32)), pa.array(to == home[row]), cls.take(at), items.take(at), vec.take(at)],
+                    names=["shard", "home", "cls", "items", "vector"],
+                )
+
+    return homes.mapInArrow(run, "shard int, home boolean, cls long, items array<long>, vector array<float>")
+
+
+def _candidates(g: Graph, ids: np.ndarray, node: np.ndarray, x: np.ndarray, items: list, keep: int, least: float):
+    """Of one shard (query position, asking item or 0, node, similarity): for each query and item the keep nearest nodes of others found."""
+    home = np.flatnonzero(node >= 0)
+    own = ids[home]
+    sole = np.array([items[h][0] if len(items[h]) == 1 else 0 for h in home], np.int64)
+    single = np.array([len(items[h]) == 1 for h in home])
+    for lo in range(0, len(ids), 8192):
+        found, dist = g.search(x[lo : lo + 8192], max(BEAM, keep + 1), node[lo : lo + 8192])
+        each = [(i, a, bool(items[lo + i])) for i in range(len(found)) for a in (items[lo + i] or [0])]
+        q, asks, has = np.array([e[0] for e in each]), np.array([e[1] for e in each], np.int64), np.array([e[2] for e in each])
+        for at in (slice(i, i + 8192) for i in range(0, len(q), 8192)):
+            f, near = found[q[at]], 1 - dist[q[at]] / 2
+            n = np.maximum(f, 0)
+            close = (f >= 0) & (near >= least - 1e-4)
+            theirs = close & has[at, None] & single[n] & (sole[n] == asks[at, None])
+            ok = close & ~theirs & (own[n] != ids[lo + q[at], None])
+            # the item's own vectors took the places of others
+            short = theirs.any(1) & (ok.sum(1) < keep) & (close[:, -1] | (f[:, -1] < 0))
+            ok &= (np.cumsum(ok, 1) <= keep) & ~short[:, None]
+            r, c = np.nonzero(ok)
+            yield lo + q[at][r], asks[at][r], has[at][r], f[r, c], near[r, c]
+            short = np.flatnonzero(short) + at.start
+            for item in np.unique(asks[short]):
+                others = np.flatnonzero(~(single & (sole == item)))
+                if not len(others):
+                    continue
+                of, xs = short[asks[short] == item], g.x[others]
+                for i in range(0, len(of), 1024):
+                    p = of[i : i + 1024]
+                    near = x[lo + q[p]] @ xs.T
+                    near[own[others][None] == ids[lo + q[p], None]] = -np.inf
+                    m = min(keep, len(others))
+                    top = np.argpartition(-near, m - 1, 1)[:, :m]
+                    near = np.take_along_axis(near, top, 1)
+                    r, c = np.nonzero(near >= least - 1e-4)
+                    yield lo + q[p][r], asks[p][r], has[p][r], others[top[r, c]], near[r, c]
 
 
 def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int = CAPACITY, probes: int = PROBES) -> DataFrame:
-    """(a, b): for each class the keep most similar other classes found, of similarity least or more (a little slack for rounding)."""
-    routed, shards = _routes(classes, capacity, probes)
-    routed = materialize(routed, "routed")
+    """(a, asker, b): for each class and each of its items (null where none are given) the keep most similar classes found that hold another item, of similarity least or more (a little slack for rounding)."""
+    homes, centres, shards = _homes(classes, capacity)
+    homes = materialize(homes, "homes")
+    routed = materialize(_routes(homes, centres, probes, 10 * keep), "routed")
     # a shard that drew more than its share is cut by hash; its queries go to every part
-    parts = routed.where("home").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (1.5 * capacity)).cast("int").alias("parts"))
+    parts = homes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (1.5 * capacity)).cast("int").alias("parts"))
     routed = routed.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     home = F.col("home") & (F.pmod(F.xxhash64("cls"), F.col("parts")) == F.col("part"))
-    routed = routed.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("shard"), home.alias("home"), "cls", "vector")
+    routed = routed.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("shard"), home.alias("home"), "cls", "items", "vector")
 
-    def solve(cls, home, vecs):
+    def solve(cls, home, items, vecs):
         ids = np.array(cls, np.int64)
         home = np.array(home)
         x = np.array(vecs, np.float32)
@@ -246,30 +338,28 @@ def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int =
         g = Graph(x[home])
         node = np.full(len(ids), -1, np.int32)
         node[home] = np.arange(len(own))
-        for lo in range(0, len(ids), 8192):
-            found, dist = g.search(x[lo : lo + 8192], max(BEAM, keep + 1), node[lo : lo + 8192])
-            ok = (found >= 0) & (1 - dist / 2 >= least - 1e-4) & (own[np.maximum(found, 0)] != ids[lo : lo + 8192, None])
-            r, c = np.nonzero(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lo + r]), pa.array(own[found[r, c]]), pa.array((1 - dist[r, c] / 2).astype(np.float64))], names=["a", "b", "near"])
+        for q, item, has, n, near in _candidates(g, ids, node, x, items, keep, least):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(item, mask=~has), pa.array(own[n]), pa.array(near.astype(np.float64))], names=["a", "asker", "b", "near"])
 
     def run(batches):
-        shard, cls, home, vecs = None, [], [], []
+        shard, cls, home, items, vecs = None, [], [], [], []
         for batch in batches:
-            for s, h, c, v in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2).to_pylist(), batch.column(3)):
+            for s, h, c, i, v in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 if s != shard:
                     if cls:
-                        yield from solve(cls, home, vecs)
-                    shard, cls, home, vecs = s, [], [], []
+                        yield from solve(cls, home, items, vecs)
+                    shard, cls, home, items, vecs = s, [], [], [], []
                 cls.append(c)
                 home.append(h)
+                items.append(i)
                 vecs.append(v.values.to_numpy())
         if cls:
-            yield from solve(cls, home, vecs)
+            yield from solve(cls, home, items, vecs)
 
-    found = routed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "cls").mapInArrow(run, "a long, b long, near double")
-    found = found.groupBy("a", "b").agg(F.max("near").alias("near"))
-    w = Window.partitionBy("a").orderBy(F.desc("near"), "b")
-    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select("a", "b")
+    found = routed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "cls").mapInArrow(run, "a long, asker long, b long, near double")
+    found = found.groupBy("a", "asker", "b").agg(F.max("near").alias("near"))
+    w = Window.partitionBy("a", "asker").orderBy(F.desc("near"), "b")
+    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select("a", "asker", "b")
 
 
 def cosine(a, b):
@@ -283,19 +373,22 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, capacity: i
         same = F.struct(F.xxhash64("space", "vector").alias("x"), F.xxhash64("vector", F.lit(1), "space").alias("y"))
         rows = materialize(vectors.withColumn("same", same), "vectors")
         classes = materialize(rows.groupBy("same").agg(F.min("row").alias("cls"), F.first("space").alias("space"), F.first("vector").alias("vector")), "classes")
-        members = materialize(rows.join(classes.select("same", "cls"), "same").select("cls", "row", "item"), "members")
-        pairs = materialize(nearest_classes(classes, keep, least, capacity, probes), "pairs")
+        members = materialize(rows.join(classes.select("same", "cls"), "same").select("cls", "row", "item", F.xxhash64(F.to_json("item")).alias("asker")), "members")
+        # a class of more than k items gives each of them k rows of others at similarity 1 and asks for none of them apart
+        held = members.select("cls", "asker").distinct().withColumn("i", F.row_number().over(Window.partitionBy("cls").orderBy("asker"))).where(F.col("i") <= k + 1)
+        held = held.groupBy("cls").agg(F.collect_list("asker").alias("items")).withColumn("items", F.when(F.size("items") <= k, F.col("items")).otherwise(F.array().cast("array<bigint>")))
+        pairs = materialize(nearest_classes(classes.join(held, "cls").select("cls", "space", "items", "vector"), keep, least, capacity, probes), "pairs")
         va, vb = (classes.select(F.col("cls").alias(x), F.col("vector").alias(f"v{x}")) for x in "ab")
-        near = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
+        near = pairs.join(va, "a").join(vb, "b").select("a", "asker", "b", cosine(F.col("va"), F.col("vb")).alias("similarity")).where(F.col("similarity") >= least)
         # of each class the first k rows of each of its first k + 1 items: enough for any item's k nearest
         by_item = Window.partitionBy("cls", "item").orderBy("row")
         some = members.withColumn("i", F.row_number().over(by_item)).where(F.col("i") <= k)
         heads = some.where("i = 1").withColumn("j", F.row_number().over(Window.partitionBy("cls").orderBy("row"))).where(F.col("j") <= k + 1).select("cls", "item")
         reps = materialize(some.join(heads, ["cls", "item"]).select(F.col("cls").alias("b"), F.col("row").alias("other"), F.col("item").alias("theirs")), "reps")
-        near = near.unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
-        askers = members.select(F.col("cls").alias("a"), "item").distinct()
+        near = near.unionByName(classes.select(F.col("cls").alias("a"), F.lit(None).cast("long").alias("asker"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity")))
+        askers = members.select(F.col("cls").alias("a"), "item", F.col("asker").alias("who")).distinct()
         w = Window.partitionBy("a", "item").orderBy(F.desc("similarity"), "other")
-        best = near.join(reps, "b").join(askers, "a").where(~F.col("item").eqNullSafe(F.col("theirs"))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+        best = near.join(reps, "b").join(askers, "a").where((F.col("asker").isNull() | (F.col("asker") == F.col("who"))) & ~F.col("item").eqNullSafe(F.col("theirs"))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
         out = members.withColumnRenamed("cls", "a").alias("m").join(best.alias("n"), (F.col("m.a") == F.col("n.a")) & F.col("m.item").eqNullSafe(F.col("n.item"))).select("m.row", "other", "similarity")
         kept.append(out := materialize(out, "neighbours"))
     return out

@@ -168,6 +168,27 @@ def test_copies_items_and_bad_vectors(spark):
     assert V.neighbours(embedded(spark, []), 10).count() == 0
 
 
+@pytest.mark.parametrize("capacity", [4000, 120])
+def test_an_item_of_many_close_vectors_hides_no_other(spark, capacity):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=24)
+    # one item has 600 vectors of its own close to 15 other items', which lie a little further off, and a class shared with one of them
+    x = np.concatenate([base + rng.normal(size=(600, 24)) * 0.02, base + rng.normal(size=(15, 24)) * 0.15, cloud(300, seed=6)])
+    x[600] = x[0]
+    items = [0] * 600 + [*range(1, 316)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    sims[np.equal.outer(items, items)] = -2
+    for least in (0.93, -1.0):
+        got = defaultdict(set)
+        for r in V.neighbours(embedded(spark, x, items), 10, least, capacity=capacity).collect():
+            got[r.row].add(r.other)
+        for rows, bound in ((range(600), 0.95), (range(600, 615), 0.95), (range(615, 915), 0.9)):
+            want = {i: {j for j in np.argsort(-sims[i], kind="stable")[:10].tolist() if sims[i, j] >= least} for i in rows}
+            assert sum(len(got[i] & want[i]) for i in rows) >= bound * sum(map(len, want.values()))
+    assert sum(sims[0] >= 0.93) >= 10
+
+
 # terms
 
 
