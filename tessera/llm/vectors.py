@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import materialize, scratch
 
 #: vectors of a shard; shards that a query is sent to; vectors that fit a space's centres, and most centres of a space
-CAPACITY, PROBES, SAMPLE, MOST_CENTRES = 4_000, 4, 10_000, 1_000
+CAPACITY, PROBES, SAMPLE, MOST_CENTRES = 16_000, 4, 10_000, 1_000
 DEGREE, BEAM, RELAX, WIDTH = 32, 64, 1.44, 4
 #: nodes whose distances every search begins with, and how many of the nearest it starts at
-ENTRIES, STARTS = 512, 16
+ENTRIES, STARTS = 2048, 16
 
 
 class Graph:

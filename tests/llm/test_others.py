@@ -13,6 +13,7 @@ from tessera.llm import bpe as B
 from tessera.llm import chunks as K
 from tessera.llm import packing as P
 from tessera.llm import quality as Q
+from tessera.llm import queries
 from tessera.llm import ranks as R
 from tessera.llm import terms as T
 from tessera.llm import vectors as V
@@ -189,6 +190,20 @@ def test_an_item_of_many_close_vectors_hides_no_other(spark, capacity):
     assert sum(sims[0] >= 0.93) >= 10
 
 
+def test_close_pairs_are_asked_of_as_many_shards_as_any(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1000, 24))
+    x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.37])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i, j in np.argwhere(np.triu(u @ u.T, 1) >= 0.93).tolist()}
+    df, near = embedded(spark, x), V.neighbours
+    monkeypatch.setattr(queries, "_usable", lambda spark, d: df)
+    monkeypatch.setattr(V, "neighbours", lambda *args, **more: near(*args, **more, capacity=100))
+    got = {tuple(r) for r in queries.p5_found(spark, "").collect()}
+    assert got == {(min(r.row, r.other), max(r.row, r.other)) for r in near(df, 10, 0.93, capacity=100).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 200
+
+
 # terms
 
 
