@@ -38,12 +38,17 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbols").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def requests(spark: SparkSession, d: str, asset_type: str = "code") -> DataFrame:
-    """The stated query set: the searches whose id is divisible by 20."""
-    rows = table(spark, d, "search_results").where("query_id % 20 = 0")
+def searches(spark: SparkSession, d: str, asset_type: str = "code") -> DataFrame:
+    """All searches that results were delivered for."""
+    rows = table(spark, d, "search_results")
     return rows.groupBy("query_id").agg(F.min("query_text").alias("query_text"), F.min("repo").alias("repo")).withColumn("asset_type", F.lit(asset_type))
 
 
+def requests(spark: SparkSession, d: str, asset_type: str = "code") -> DataFrame:
+    """The stated query set of what searches all rows: the searches whose id is divisible by 20."""
+    return searches(spark, d, asset_type).where("query_id % 20 = 0")
+
+
 def _tokens(spark, d):
     return L.with_tokens(requests(spark, d), cjk=False)
 
@@ -132,7 +137,7 @@ def camel_split_tokens(spark, d):
 
 
 def symbol_terms(spark, d):
-    return requests(spark, d).select("query_id", F.explode(T.symbol_terms(F.col("query_text"))).alias("term"))
+    return searches(spark, d).select("query_id", F.explode(T.symbol_terms(F.col("query_text"))).alias("term"))
 
 
 def keyword_candidates(spark, d):
@@ -166,7 +171,7 @@ def _aliases(spark):
 
 
 def alias_expand_match(spark, d):
-    return A.matched(requests(spark, d), _aliases(spark)).select("query_id", "term")
+    return A.matched(searches(spark, d), _aliases(spark)).select("query_id", "term")
 
 
 def cosine_topk(spark, d):
