@@ -214,7 +214,8 @@ class SegmentIndex:
         probes = _entries(new, 4)
         met = stored.join(probes.select("key").distinct(), "key", "left_semi").withColumn("role", F.col("role").bitwiseOR(F.lit(8)))
         old = self._read("sets", "cid long, n int, toks array<long>")
-        links = S.verified(S.block_pairs(probes.unionByName(met), self.t), new.select("cid", "n", "toks").unionByName(old), self.t)
+        # blocks cut into cells may pair rows of the batch, whose ids are below 0
+        links = S.verified(S.block_pairs(probes.unionByName(met), self.t).where("b >= 0"), new.select("cid", "n", "toks").unionByName(old), self.t)
         own = batch.where(F.col(content).isNotNull()).groupBy(F.md5(F.col(content).cast("binary")).alias("md5")).agg(F.min(row_id).alias("cid"))
         near = links.select((-F.col("a") - 1).alias("cid"), F.col("b").alias("of"), "sim").join(own, "cid").join(rows, "md5").join(same.select("row"), "row", "left_anti")
         best = near.groupBy("row").agg(F.max_by(F.struct("of", "sim"), F.struct("sim", -F.col("of"))).alias("m"))

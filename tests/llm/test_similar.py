@@ -164,6 +164,19 @@ def test_index_kept_over_batches(spark, tmp_path):
     assert [tuple(r)[:3] for r in index.check(again, "row_seq", "content", "file_hash").collect()] == [(900, "same", 1)]
 
 
+def test_rows_of_one_batch_are_no_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BLOCK", 6)
+    monkeypatch.setattr(S, "CELL", 4)
+    schema = "row_seq long, file_hash string, content string"
+    index = H.SegmentIndex(spark, f"file://{tmp_path}/index", 0.7, 3, 30)
+    rows = list(enumerate(texts(5, families=40, hot=25)))
+    old, new = rows[::7], [r for r in rows if r[0] % 7]
+    index.append(spark.createDataFrame([(i, None, x) for i, x in old], schema), "row_seq", "content", "file_hash")
+    got = {r.row: r.of for r in index.check(spark.createDataFrame([(i, None, x) for i, x in new], schema), "row_seq", "content", "file_hash").collect()}
+    assert {*got} == {i for i, x in new if any(similarity(triples(x), triples(y)) >= 0.7 for _, y in old)}
+    assert got and all(of >= 0 for of in got.values())
+
+
 def test_empty_tables_and_other_columns(spark):
     more = ", md5 string, cid long, r string, toks string, n int"
     empty = spark.createDataFrame([], "row_seq long, repo string, id string, content string" + more)
