@@ -211,8 +211,8 @@ class SegmentIndex:
         same = rows.where("h is not null").join(hashes.groupBy("h").agg(F.min("cid").alias("of")), "h").select("row", F.lit("same").alias("kind"), "of", F.lit(1.0).alias("sim"))
         new = materialize(self._indexed(batch, row_id, content).withColumn("cid", -F.col("cid") - 1), "new")
         stored = self._read("entries", S.ENTRY)
-        probes = _entries(new, 4)
-        met = stored.join(probes.select("key").distinct(), "key", "left_semi").withColumn("role", F.col("role").bitwiseOR(F.lit(8)))
+        probes = _entries(new, 32)
+        met = stored.join(probes.select("key").distinct(), "key", "left_semi").withColumn("role", F.col("role").bitwiseOR(F.lit(64)))
         old = self._read("sets", "cid long, n int, toks array<long>")
         # blocks cut into cells may pair rows of the batch, whose ids are below 0
         links = S.verified(S.block_pairs(probes.unionByName(met), self.t).where("b >= 0"), new.select("cid", "n", "toks").unionByName(old), self.t)

@@ -3,10 +3,13 @@
 Classes of equal contents are cut into word shingles. Two sets of similarity t
 share one of their first n - ceil(t n) + 1 tokens in any common order; here
 tokens seen once come first (they need no block), frequent ones last. Records
-meet in the blocks of those tokens, where a signature tree (OR-combined token
-bitmaps and size ranges) is traversed against itself and node pairs whose
-largest possible overlap is too small are pruned. What is left is verified on
-the whole sets. No pair is lost: every bound is an upper bound.
+are entered under each of those tokens into signature trees: the entries in
+order of token, size and bitmap are the leaves, and the nodes above hold ranges
+of tokens and sizes and OR-combined token bitmaps. Each tree is traversed
+against itself; node pairs that no token spans, whose sizes lie too far apart
+or whose largest possible overlap is too small are pruned. This traversal is
+the only source of pairs; what it leaves is verified on the whole sets. No pair
+is lost: every bound is an upper bound.
 
 Defined results: null, empty and short contents (under least_words words) have
 no similarity and no pair; equal contents have similarity 1; rows of equal
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from tessera.llm import shingles as S
 from tessera.plans.tables import materialize, release, scratch
 
+#: rows of one class that are joined at once
+CHUNK = 512
+
 
 def _ordered(sets: DataFrame, t: float) -> DataFrame:
     """(cid, n, p, toks, c, s*): sets without tokens seen once, in the order of the prefix filter; sets that cannot have a partner are left out."""
@@ -74,16 +80,26 @@ def near_duplicates(df: DataFrame, row_id: str, content: str, t: float = 0.8, k:
 
 
 def row_pairs(df: DataFrame, classes: DataFrame, links: DataFrame, row_id: str, content: str, identity: list[str]) -> DataFrame:
-    """(row_a, row_b): the rows of linked classes and of one class whose identities differ."""
+    """(row_a, row_b): the rows of linked classes and of one class whose identities differ.
+
+    A class's rows lie in chunks of some CHUNK; pairs of chunks are what is
+    joined, so that a class of many copies is spread over the tasks.
+    """
     ident = F.struct(*[F.col(c) for c in identity])
     rows = df.where(F.col(content).isNotNull()).select(F.col(row_id).alias("row"), ident.alias("who"), F.md5(F.col(content).cast("binary")).alias("md5"))
     rows = rows.join(classes, "md5").select("cid", "row", "who")
+    sizes = rows.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"), (F.count(F.lit(1)) > 1).alias("several"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    chunks = materialize(rows.join(sizes, "cid").groupBy("cid", part.alias("part")).agg(F.collect_list(F.struct("row", "who")).alias("rows"), F.first("parts").alias("parts"), F.first("several").alias("several")), "chunks")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # a class's own rows are pairs too; classes of one row have none
-    own = rows.groupBy("cid").count().where("count > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    x = rows.select(F.col("cid").alias("a"), F.col("row").alias("row_a"), F.col("who").alias("wa"))
-    y = rows.select(F.col("cid").alias("b"), F.col("row").alias("row_b"), F.col("who").alias("wb"))
-    return both.unionByName(own).join(x, "a").join(y, "b").where(F.col("row_a") < F.col("row_b")).where(~F.col("wa").eqNullSafe(F.col("wb"))).select("row_a", "row_b")
+    both = both.unionByName(chunks.where("several and part = 0").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
+    parts = chunks.where("part = 0").select(F.col("cid").alias("b"), "parts")
+    x = chunks.select(F.col("cid").alias("a"), F.col("rows").alias("ra"))
+    y = chunks.select(F.col("cid").alias("b"), F.col("part").alias("of"), F.col("rows").alias("rb"))
+    met = both.join(parts, "b").join(x, "a").withColumn("of", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(y, ["b", "of"])
+    pairs = met.select(F.explode("ra").alias("x"), "rb").select("x", F.explode(F.filter("rb", lambda r: r["row"] > F.col("x.row"))).alias("y"))
+    return pairs.where(~F.col("x.who").eqNullSafe(F.col("y.who"))).select(F.col("x.row").alias("row_a"), F.col("y.row").alias("row_b"))
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import materialize, release
@@ -22,7 +22,8 @@ WORD = re.compile(r"[a-z0-9_]+|[一-鿿]")
 #: least and most bits (as powers of 2) of the table that tells tokens seen once from others, and most entries of the list of frequent tokens
 SEEN_BITS, MOST_FREQUENT = (20, 27), 1 << 16
 SIG_WORDS = 4
-HOT_BLOCK, CELL = 4096, 2048
+#: entries of a block that is cut into cells, of a cell, and of a task's tree (a block more); cells or nodes of a node above
+HOT_BLOCK, CELL, CHUNK, CELL_FAN = 4096, 2048, 1 << 17, 16
 ENTRY = "key long, cid long, n int, c int, role int, " + ", ".join(f"s{i} long" for i in range(SIG_WORDS))
 
 
@@ -162,30 +163,39 @@ def _children(lo: np.ndarray, hi: np.ndarray, fan: int, size: np.ndarray):
 
 
 class SignatureTree:
-    """A packed tree over sets in order of size: nodes hold OR-combined token bitmaps, size ranges and the most collisions below."""
+    """A packed tree over entries in order of block, size and bitmap.
+
+    A node holds the ranges of its blocks and sizes, its OR-combined token
+    bitmap and roles, and the most collisions below it. seen and kept count the
+    node pairs that the traversal looked at and could not prune.
+    """
 
     FAN = 8
 
-    def __init__(self, n: np.ndarray, c: np.ndarray, sig: np.ndarray, role: np.ndarray):
-        self.order = np.lexsort((*sig.T, n))
-        self.levels = [(n[self.order], n[self.order], c[self.order], sig[self.order], role[self.order])]
+    def __init__(self, key: np.ndarray, n: np.ndarray, c: np.ndarray, sig: np.ndarray, role: np.ndarray):
+        self.order = np.lexsort((*sig.T, n, key))
+        key, n, c, sig, role = key[self.order], n[self.order], c[self.order], sig[self.order], whole_role(role[self.order])
+        self.levels = [(key, key, n, n, c, sig, role)]
+        self.seen = self.kept = 0
         while len(self.levels[-1][0]) > 1:
-            lo, hi, cm, s, r = self.levels[-1]
+            first, last, lo, hi, cm, s, r = self.levels[-1]
             at = np.arange(0, len(lo), self.FAN)
-            self.levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(cm, at), np.bitwise_or.reduceat(s, at, axis=0), np.bitwise_or.reduceat(r, at)))
+            end = np.minimum(at + self.FAN, len(lo)) - 1
+            self.levels.append((first[at], last[end], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(cm, at), np.bitwise_or.reduceat(s, at, axis=0), np.bitwise_or.reduceat(r, at)))
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-        lo, hi, cm, s, r = self.levels[level]
-        ok = (lo[b] * t <= hi[a] + 1e-9) & (lo[a] * t <= hi[b] + 1e-9) & joinable(r[a], r[b])
+        first, last, lo, hi, cm, s, r = self.levels[level]
+        ok = (first[b] <= last[a]) & (first[a] <= last[b]) & (lo[b] * t <= hi[a] + 1e-9) & (lo[a] * t <= hi[b] + 1e-9) & joinable(r[a], r[b])
         i = np.flatnonzero(ok)
         x, y = a[i], b[i]
         most = np.bitwise_count(s[x] & s[y]).sum(1, dtype=np.int64) + np.minimum(cm[x], cm[y])
         ok[i] = most >= least_overlap(lo[x], lo[y], t)
+        self.seen, self.kept = self.seen + len(a), self.kept + int(ok.sum())
         return ok
 
-    def pairs(self, t: float, step: int = 1 << 15):
-        """Index pairs that may have similarity t, by a dual traversal from (root, root); yields arrays."""
-        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    def pairs(self, t: float, step: int = 1 << 13):
+        """Index pairs of one block that may have similarity t, by a dual traversal from (root, root); yields arrays."""
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))] if len(self.order) else []
         while stack:
             level, a, b = stack.pop()
             if level == 0:
@@ -199,35 +209,28 @@ class SignatureTree:
                     stack.append((level - 1, x[ok], y[ok]))
 
 
-#: roles: 1 may be the first of a pair, 2 the second; 3 is both; 4 and 8 are the two sides of a pair of cells
+#: roles: 1 may be the first of a pair, 2 the second (3 both); 4 and 8 the two sides of a pair of cells, 16 no cell; 32 new, 64 stored (96 both)
+def whole_role(role: np.ndarray) -> np.ndarray:
+    """role with its unstated bits, so that what a node's OR-combined role can't join, none of its entries can."""
+    role = np.where(role & 12 == 0, role | 16, role)
+    return np.where(role & 96 == 0, role | 96, role)
+
+
 def joinable(ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
-    sides = ((ra & 4) != 0) & ((rb & 8) != 0) | ((ra & 8) != 0) & ((rb & 4) != 0) | ((ra & 12) == 0)
-    return sides & (((ra & 1) != 0) & ((rb & 2) != 0) | ((ra & 2) != 0) & ((rb & 1) != 0))
-
-
-def _small_blocks(start: np.ndarray, size: np.ndarray, most: int = 1 << 20):
-    """All index pairs within each of many small blocks, some million at a time."""
-    pairs = size * (size - 1) // 2
-    lo = 0
-    while lo < len(size):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(pairs[lo:]), most)) + lo)
-        m = size[lo:hi]
-        first = np.repeat(start[lo:hi], m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
-        end = np.repeat(start[lo:hi] + m, m)
-        k = end - first - 1
-        a = np.repeat(first, k)
-        b = a + 1 + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
-        yield a, b
-        lo = hi
+    def meet(x: int, y: int) -> np.ndarray:
+        return ((ra & x) != 0) & ((rb & y) != 0) | ((ra & y) != 0) & ((rb & x) != 0)
+
+    return meet(1, 2) & meet(32, 64) & (meet(4, 8) | (ra & rb & 16 != 0))
 
 
 def block_pairs(entries: DataFrame, t: float) -> DataFrame:
-    """(a, b): pairs of classes (a < b) that share a block and may have similarity t.
+    """(a, b): pairs of classes (a < b) that share a block and may have similarity t, all of them found by dual traversal of signature trees.
 
-    Blocks of up to HOT_BLOCK entries are joined in one task each; a larger one
-    is cut into cells by size band and hash, whose bitmaps are the upper nodes
-    of its tree: pairs of cells are pruned as pairs of nodes are, and each pair
-    left is a block of its own, so that no block sits in one task.
+    A task reads its entries in order of block, some CHUNK at a time, and holds
+    one tree over them, whose nodes of different blocks prune each other. A
+    block of more than HOT_BLOCK entries is a tree of tables first: it is cut
+    into cells, the cells' upper nodes are traversed by joins, and each pair of
+    cells left is a block of its own, so that no block sits in one task.
     """
     entries = materialize(entries, "entries")
     hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_BLOCK)
@@ -235,67 +238,82 @@ def block_pairs(entries: DataFrame, t: float) -> DataFrame:
         hot = materialize(hot, "hot")
         entries = entries.join(hot, "key", "left_anti").unionByName(_cells(entries.join(hot.drop("m"), "key", "left_semi"), t))
 
-    def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        got = pa.Table.from_batches(batches)
+    def solve(got: pa.Table):
         key, cid, n, c, role = (got.column(i).to_numpy() for i in range(5))
         sig = np.stack([got.column(5 + i).to_numpy().view(np.uint64) for i in range(SIG_WORDS)], 1)
-        by = np.argsort(key, kind="stable")
-        key, cid, n, c, role, sig = key[by], cid[by], n[by].astype(np.int64), c[by].astype(np.int64), role[by].astype(np.int64), sig[by]
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        found = []
-
-        def keep(a, b):
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in SignatureTree(key, n.astype(np.int64), c.astype(np.int64), sig, role.astype(np.int64)).pairs(t):
             x, y = np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])
-            found.append(np.unique(np.stack([x, y], 1)[x < y], axis=0))
-
-        small = (size > 1) & (size <= 32)
-        for a, b in _small_blocks(start[small], size[small]):
-            ok = (n[b] * t <= n[a] + 1e-9) & (n[a] * t <= n[b] + 1e-9) & joinable(role[a], role[b])
-            a, b = a[ok], b[ok]
-            most = np.bitwise_count(sig[a] & sig[b]).sum(1, dtype=np.int64) + np.minimum(c[a], c[b])
-            ok = most >= least_overlap(n[a], n[b], t)
-            keep(a[ok], b[ok])
-        for s, m in zip(start[size > 32], size[size > 32]):
-            at = slice(s, s + m)
-            for a, b in SignatureTree(n[at], c[at], sig[at], role[at]).pairs(t):
-                keep(a + s, b + s)
-            if len(found) > 1000:
+            found.append(np.stack([x, y], 1)[x < y])
+            if len(found) > 100:
                 found[:] = [np.unique(np.concatenate(found), axis=0)]
-        if found:
-            out = np.unique(np.concatenate(found), axis=0)
-            for i in range(0, len(out), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(out[i : i + (1 << 16), 0]), pa.array(out[i : i + (1 << 16), 1])], names=["a", "b"])
+        out = np.unique(np.concatenate(found), axis=0)
+        for i in range(0, len(out), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(out[i : i + (1 << 16), 0]), pa.array(out[i : i + (1 << 16), 1])], names=["a", "b"])
 
-    return entries.repartition("key").mapInArrow(run, "a long, b long").distinct()
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK:
+                got = pa.Table.from_batches(held).combine_chunks()
+                key = got.column(0).to_numpy()
+                # the last block may go on in the next batch
+                end = int(np.searchsorted(key, key[-1]))
+                if end:
+                    yield from solve(got.slice(0, end))
+                    held, size = got.slice(end).to_batches(), len(got) - end
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def _cells(entries: DataFrame, t: float) -> DataFrame:
-    """The entries of large blocks as blocks of pairs of cells."""
+    """The entries of large blocks as blocks of pairs of cells.
+
+    A cell holds entries of one size band. Cells are the leaves of a tree whose
+    nodes are rows of tables (CELL_FAN cells or nodes to a node of a band). The
+    tree is traversed against itself from the bands downwards, level by level:
+    each step is a join on the parent node, so that a block's pairs are spread.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(0.14)).cast("int")
     reach = int(np.ceil(-np.log(t) / 0.14)) + 1
     sized = entries.withColumn("band", band)
     parts = sized.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
     sized = materialize(sized.join(parts, ["key", "band"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).drop("parts"), "cells")
     sig = [f"s{i}" for i in range(SIG_WORDS)]
-    nodes = sized.groupBy("key", "band", "sub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("c"), F.bit_or("role").alias("role"), *[F.bit_or(s).alias(s) for s in sig])
-    a, b = (nodes.select("key", *[F.col(x).alias(f"{side}_{x}") for x in nodes.columns if x != "key"]) for side in "ab")
-    most = sum((F.bit_count(F.col(f"a_{s}").bitwiseAND(F.col(f"b_{s}"))) for s in sig), F.lit(0)) + F.least("a_c", "b_c")
-    pairs = materialize(
-        a.join(b, "key")
-        .where(F.struct("a_band", "a_sub") <= F.struct("b_band", "b_sub"))
-        .where((F.col("b_band") - F.col("a_band") <= reach) & (F.col("b_lo") * t <= F.col("a_hi") + 1e-9))
-        .where(most >= F.ceil(t / (1 + t) * (F.col("a_lo") + F.col("b_lo")) - 1e-9))
-        .select("key", "a_band", "a_sub", "b_band", "b_sub", F.xxhash64("key", "a_band", "a_sub", "b_band", "b_sub").alias("cell"), ((F.col("a_band") == F.col("b_band")) & (F.col("a_sub") == F.col("b_sub"))).alias("same")),
-        "cellpairs",
-    )
+    nodes = [materialize(sized.groupBy("key", "band", F.col("sub").alias("node")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("c").alias("c"), *[F.bit_or(s).alias(s) for s in sig]), "nodes")]
+    most = nodes[0].agg(F.max("node")).first()[0]
+    while most:
+        upper = nodes[-1].groupBy("key", "band", F.floor(F.col("node") / CELL_FAN).cast("int").alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("c").alias("c"), *[F.bit_or(s).alias(s) for s in sig])
+        nodes.append(materialize(upper, "nodes"))
+        most //= CELL_FAN
+    overlap = sum((F.bit_count(F.col(f"a_{s}").bitwiseAND(F.col(f"b_{s}"))) for s in sig), F.lit(0)) + F.least("a_c", "b_c")
+    ids = ["key", "a_band", "a_node", "b_band", "b_node"]
+
+    def side(level: int, x: str) -> DataFrame:
+        return nodes[level].select("key", F.floor(F.col("node") / CELL_FAN).cast("int").alias(f"{x}_up"), *[F.col(c).alias(f"{x}_{c}") for c in nodes[level].columns if c != "key"])
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        ordered = F.struct("a_band", "a_node") <= F.struct("b_band", "b_node")
+        close = (F.col("b_band") - F.col("a_band") <= reach) & (F.col("b_lo") * t <= F.col("a_hi") + 1e-9) & (F.col("a_lo") * t <= F.col("b_hi") + 1e-9)
+        return pairs.where(ordered & close & (overlap >= F.ceil(t / (1 + t) * (F.col("a_lo") + F.col("b_lo")) - 1e-9))).select(*ids)
+
+    # one node for each band at the top
+    top = len(nodes) - 1
+    pairs = materialize(possible(side(top, "a").join(side(top, "b"), "key")), "cellpairs")
+    for level in range(top - 1, -1, -1):
+        up = pairs.withColumnsRenamed({"a_node": "a_up", "b_node": "b_up"})
+        pairs = materialize(possible(up.join(side(level, "a"), ["key", "a_band", "a_up"]).join(side(level, "b"), ["key", "b_band", "b_up"])), "cellpairs")
+    same = (F.col("a_band") == F.col("b_band")) & (F.col("a_node") == F.col("b_node"))
+    pairs = pairs.select("*", F.xxhash64(*ids).alias("cell"), same.alias("same"))
     out = None
-    for side, bit in (("a", 4), ("b", 8)):
-        p = pairs.select("key", F.col(f"{side}_band").alias("band"), F.col(f"{side}_sub").alias("sub"), "cell", "same")
-        p = p if side == "a" else p.where(~F.col("same"))
+    for x, bit in (("a", 4), ("b", 8)):
+        p = pairs.select("key", F.col(f"{x}_band").alias("band"), F.col(f"{x}_node").alias("sub"), "cell", "same")
+        p = p if x == "a" else p.where(~F.col("same"))
         rows = sized.join(p, ["key", "band", "sub"]).select(
             F.col("cell").alias("key"), "cid", "n", "c", F.when(F.col("same"), F.col("role")).otherwise(F.col("role").bitwiseOR(F.lit(bit))).cast("int").alias("role"), *sig
         )
@@ -304,13 +322,14 @@ def _cells(entries: DataFrame, t: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, sim): the pairs whose sets (cid, n, toks) have similarity t; toks may lack tokens that only one set holds, n counts them."""
+    """(a, b, distance, sim): the pairs whose sets (cid, n, toks) have similarity t; toks may lack tokens that only one set holds, n counts them.
+
+    As strings in hash order the sets are distance insertions and deletions
+    apart; a similarity of t allows (1 - t) / (1 + t) of both lengths.
+    """
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("toks").alias(f"t{x}"))
-    both: Column = F.size(F.array_intersect("ta", "tb"))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .select("a", "b", "na", "nb", both.alias("o"))
-        .select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("sim"))
-        .where(F.col("sim") >= t)
-    )
+    total = F.col("na") + F.col("nb")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", total.alias("total"), (total - 2 * F.size(F.array_intersect("ta", "tb"))).alias("distance"))
+    bound = F.floor((1 - t) / (1 + t) * F.col("total") + 1e-9)
+    sim = (F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))
+    return met.where(F.col("distance") <= bound).select("a", "b", "distance", sim.alias("sim")).where(F.col("sim") >= t)

@@ -62,6 +62,7 @@ def test_pairs_equal_brute_force(spark, t, hot):
 def test_large_blocks_are_cut_without_loss(spark, monkeypatch):
     monkeypatch.setattr(S, "HOT_BLOCK", 6)
     monkeypatch.setattr(S, "CELL", 4)
+    monkeypatch.setattr(S, "CELL_FAN", 2)
     rows = texts(5, families=40, hot=25)
     df = frame(spark, rows)
     classes, links = N.near_duplicates(df, "row_seq", "content", 0.7, 3, 30)
@@ -75,10 +76,29 @@ def test_tree_loses_no_pair():
     sets += [np.r_[s[: len(s) - 4], rng.choice(10**6, 3)] for s in sets[:30]]
     got = [S.signature(x) for x in sets]
     n, c, sig = np.array([len(x) for x in sets]), np.array([x[1] for x in got]), np.stack([x[0] for x in got])
-    tree = S.SignatureTree(n, c, sig, np.full(len(n), 3))
-    found = {(min(a, b), max(a, b)) for x, y in tree.pairs(0.7) for a, b in zip(x.tolist(), y.tolist())}
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.7}
-    assert want <= found and len(found) < 90 * 89 / 2 / 4 and len(want) >= 25
+    # all in one block, each under two of five keys, and roles that keep new from new
+    for blocks in (1, 5):
+        key = np.concatenate([np.arange(90) % 30 % blocks, np.arange(90) // 7 % blocks + 10])
+        role = np.tile(np.where(np.arange(90) < 60, 3 | 64, 3 | 32), 2)
+        x = np.arange(180) % 90
+        for roles in (np.full(180, 3), role):
+            tree = S.SignatureTree(key, n[x], c[x], sig[x], roles)
+            found = {(min(x[a], x[b]), max(x[a], x[b])) for i, j in tree.pairs(0.7) for a, b in zip(i.tolist(), j.tolist()) if x[a] != x[b]}
+            meet = {(i, j) for i, j in want if (roles[i] & 96) == 0 or roles[i] & 96 != roles[j] & 96}
+            assert meet <= found and len(found) < 90 * 89 / 2 / 4 and len(want) >= 25
+            assert all((roles[i] & 96) == 0 or roles[i] & 96 != roles[j] & 96 for i, j in found)
+            assert tree.kept < tree.seen / 2
+
+
+def test_tree_in_chunks_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 50)
+    monkeypatch.setattr(N, "CHUNK", 3)
+    rows = texts(6, hot=20) + texts(6, hot=20)[:8] * 4
+    df = frame(spark, rows).coalesce(1)
+    classes, links = N.near_duplicates(df, "row_seq", "content", 0.7, 3, 30)
+    got = [(r.row_a, r.row_b) for r in N.row_pairs(df, classes, links, "row_seq", "content", ["repo", "id"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.7)
 
 
 def test_segments_of_similar_sets_meet():
