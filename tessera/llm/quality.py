@@ -1,20 +1,24 @@
 """Problem 10: per-document text statistics, and which documents aren't prose.
 
 Each text gives counts and shares of its words, symbols and lines, among them
-the shares of its non-blank characters in lines of each kind. For each language
-a robust mean and covariance of the statistics of prose are fitted on labelled
-documents (at most MOST_LABELLED of them, chosen by hash; repeated trimming to
-the nearest three quarters). A document's squared Mahalanobis distance from the
-nearest language's prose, over all statistics, is split into the contributions
-of the statistics. A document farther than the limit is an outlier; its kind is
-the kind of line that holds more than half of its characters, if there is one.
+the shares of its non-blank characters in lines of each kind. Robust means and
+covariances (repeated trimming to the nearest three quarters) of all statistics
+are fitted on labelled documents, at most MOST_LABELLED of them, chosen by
+hash: of prose for each language, of the other kinds over all languages. Fits
+of few rows are shrunk towards those of all prose, or of all other kinds. A
+document's squared Mahalanobis distance from the nearest language's prose is
+split into the contributions of the statistics. A document farther than the
+limit is an outlier; of the models of prose and of each kind the likeliest by
+distance (plus the logarithm of its covariance's determinant) is its kind. For
+the distances line shares are bent (steep), so that they count most where one
+kind comes to hold half of a text.
 
 Defined results: null, empty and blank texts have zero counts, null shares and
 distance, and no kind; lines end with CRLF, LF or CR; a language that is null,
 unknown or wrong doesn't matter, as the nearest prose counts; a document judged
-differently counts by the majority, not at all if there is none; an empty table
-gives no row; without any labelled prose there is no distance, and the shares
-alone decide.
+differently counts by the majority, not at all if there is none; a kind without
+labels has a model of its own lines alone, and prose one of none of them; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ STATS = (
     "list_chars", "table_chars", "code_chars", "junk_chars",
 )
 COUNTS = ("chars", "words", "lines")
-#: bound of the labelled sample; the least rows of a language's own model; floor of a statistic's standard deviation
-MOST_LABELLED, LEAST_ROWS, FLOOR = 20_000, 60, 0.05
+#: bound of the labelled sample; most languages of prose; rows that the common fit counts for in a model's; floor of a statistic's standard deviation; bend of line shares
+MOST_LABELLED, MOST_LANGS, SHRINK, FLOOR, BEND = 20_000, 50, 50, 0.05, 4.0
 #: common words of the five languages (fixed values, in natural order)
 COMMON = frozenset(
     "the of and to in a is that it for on with as was be by are this at from or an not have but which "
@@ -224,72 +228,96 @@ def text_statistics(df: DataFrame, row_id: str, text: str, lang: str | None = No
     return df.select(*cols).mapInArrow(run, f"`{row_id}` long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, stats array<double>")
 
 
+def steep(x: np.ndarray) -> np.ndarray:
+    """Statistics with line shares bent around one half."""
+    y = np.array(x, np.float64)
+    y[:, -len(KINDS) :] = 0.5 * np.tanh(BEND * (y[:, -len(KINDS) :] - 0.5))
+    return y
+
+
 @dataclass
-class Prose:
-    """Robust means and inverse covariances of prose by language."""
+class Models:
+    """Robust means and inverse covariances: of prose by language (langs), then of each of KINDS."""
 
     langs: list[str]
     means: np.ndarray
     inverses: np.ndarray
 
-    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rows of statistics: squared distance, language's place, contributions (they add up to the squared distance)."""
-        d = x[:, None, :] - self.means[None]
+    def judge(self, x: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For rows of statistics: squared distance from the nearest prose, its language's place, contributions (they add up to the distance), kind's place (-1: prose)."""
+        d = steep(x)[:, None, :] - self.means[None]
         parts = d * np.einsum("nls,lst->nlt", d, self.inverses)
         total = parts.sum(2)
-        best = total.argmin(1)
-        at = np.arange(len(x))
-        return total[at, best], best, parts[at, best]
+        prose, at = len(self.langs), np.arange(len(x))
+        best = total[:, :prose].argmin(1)
+        distance = total[at, best]
+        likely = (total - np.linalg.slogdet(self.inverses)[1]).argmin(1)
+        return distance, best, parts[at, best], np.where((distance > limit) & (likely >= prose), likely - prose, -1)
 
 
-def robust(x: np.ndarray, keep: float = 0.75, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance after repeated trimming to the share keep nearest to the centre."""
-    centre, floor = np.median(x, 0), np.eye(x.shape[1]) * FLOOR**2
+def robust(x: np.ndarray, keep: float = 0.75, rounds: int = 10, common: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, covariance and inverse covariance after repeated trimming to the share keep nearest to the centre; common counts for SHRINK rows."""
+    floor = np.eye(x.shape[1]) * FLOOR**2
+    if len(x) < 2:
+        mean, cov = common
+        return mean, cov, np.linalg.inv(cov + floor)
+    centre = np.median(x, 0)
     spread = np.median(np.abs(x - centre), 0) * 1.4826 + FLOOR
     d = (((x - centre) / spread) ** 2).sum(1)
     for _ in range(rounds):
-        best = x[np.argsort(d, kind="stable")[: max(2, int(len(x) * keep))]]
-        centre = best.mean(0)
-        inverse = np.linalg.inv(np.cov(best, rowvar=False) + floor)
+        best = x[np.argsort(d, kind="stable")[: max(2, int(np.ceil(len(x) * keep)))]]
+        centre, cov = best.mean(0), np.cov(best, rowvar=False)
+        if common is not None:
+            n = len(best) + SHRINK
+            centre, cov = (len(best) * centre + SHRINK * common[0]) / n, (len(best) * cov + SHRINK * common[1]) / n
+        inverse = np.linalg.inv(cov + floor)
         d = np.einsum("ns,st,nt->n", x - centre, inverse, x - centre)
-    return centre, inverse
+    return centre, cov, inverse
+
+
+def fit_models(stats: DataFrame, labels: DataFrame, row_id: str, label: str, prose: str = "prose") -> Models:
+    """Fit on the labelled documents: at most MOST_LABELLED rows reach the driver."""
+    votes = labels.where(F.col(label).isin(prose, *KINDS)).groupBy(row_id, label).agg(F.count(F.lit(1)).alias("n"))
+    judged = votes.groupBy(row_id).agg(F.max_by(label, "n").alias("of"), F.max("n").alias("most"), F.sum("n").alias("n")).where("2 * most > n").select(row_id, "of")
+    rows = stats.where("stats is not null").join(judged, row_id).select("lang", "of", "stats", F.xxhash64(row_id).alias("h")).orderBy("h", "stats").limit(MOST_LABELLED).toArrow()
+    x = steep(np.array(rows["stats"].to_pylist(), np.float64).reshape(-1, len(STATS)))
+    lang, of = np.array(rows["lang"].to_pylist(), dtype=object), np.array(rows["of"].to_pylist(), dtype=object)
 
+    def lines(kind: str | None) -> np.ndarray:
+        return steep(np.array([[0.5] * (len(STATS) - len(KINDS)) + [float(k == kind) for k in KINDS]]))[0]
 
-def fit_prose(stats: DataFrame, labels: DataFrame, row_id: str, label: str, prose: str = "prose") -> Prose | None:
-    """Fit on the labelled prose: at most MOST_LABELLED rows reach the driver."""
-    votes = labels.groupBy(row_id, label).agg(F.count(F.lit(1)).alias("n"))
-    judged = votes.groupBy(row_id).agg(F.sum(F.when(F.col(label) == prose, F.col("n")).otherwise(0)).alias("yes"), F.sum("n").alias("n")).where("2 * yes > n").select(row_id)
-    rows = stats.where("stats is not null").join(judged, row_id).select("lang", "stats", F.xxhash64(row_id).alias("h")).orderBy("h").limit(MOST_LABELLED).toArrow()
-    if rows.num_rows < 2:
-        return None
-    x, lang = np.array(rows["stats"].to_pylist()), np.array(rows["lang"].to_pylist(), dtype=object)
-    own = sorted(k for k, n in Counter(v for v in lang.tolist() if v).items() if n >= LEAST_ROWS) or [None]
-    fits = [robust(x if k is None else x[lang == k]) for k in own]
-    return Prose([k or "all" for k in own], np.stack([m for m, _ in fits]), np.stack([v for _, v in fits]))
+    # what is assumed without any labels: anything of the other statistics, lines of one kind
+    wide = np.diag([1.0] * (len(STATS) - len(KINDS)) + [FLOOR**2] * len(KINDS))
+    own = x[of == prose]
+    every = robust(own, common=(lines(None), wide))
+    langs = sorted(k for k, _ in Counter(v for v in lang[of == prose].tolist() if v).most_common(MOST_LANGS)) or ["all"]
+    fits = [robust(own if k == "all" else x[(of == prose) & (lang == k)], common=every[:2]) for k in langs]
+    groups = [x[of == k] for k in KINDS]
+    apart = np.concatenate([g - np.median(g, 0) for g in groups if len(g) > 1] or [x[:0]])
+    within = robust(apart, common=(np.zeros(len(STATS)), wide))[1]
+    fits += [robust(g, common=(np.median(g, 0) if len(g) else lines(k), within)) for k, g in zip(KINDS, groups)]
+    return Models(langs, np.stack([f[0] for f in fits]), np.stack([f[2] for f in fits]))
 
 
-def judged(stats: DataFrame, row_id: str, prose: Prose | None, limit: float = 30.0) -> DataFrame:
+def judged(stats: DataFrame, row_id: str, models: Models, limit: float = 30.0) -> DataFrame:
     """stats with distance (squared, from the nearest prose), prose_lang, contributions (by statistic), kind (null: prose, or no text)."""
-    shared = stats.sparkSession.sparkContext.broadcast(prose)
+    shared = stats.sparkSession.sparkContext.broadcast(models)
     names = [f"`{row_id}`", "lang", *COUNTS, "stats"]
     schema = f"`{row_id}` long, lang string, {', '.join(f'{c} long' for c in COUNTS)}, stats array<double>, distance double, prose_lang string, contributions array<double>, kind string"
+    doubles = pa.list_(pa.float64())
 
     def run(batches):
-        p = shared.value
+        m: Models = shared.value
+        langs, kinds = np.array(m.langs, dtype=object), np.array([*KINDS, None], dtype=object)
         for batch in batches:
-            values = batch.column(len(names) - 1).to_pylist()
-            n = len(values)
-            has = np.array([v is not None for v in values], bool)
-            distance, lang, parts, kind = [None] * n, [None] * n, [None] * n, [None] * n
-            if has.any():
-                x = np.array([v for v in values if v is not None])
-                total, best, split = p.distances(x) if p else (np.full(len(x), np.inf), np.zeros(len(x), int), None)
-                shares = x[:, -len(KINDS) :]
-                for j, i in enumerate(np.flatnonzero(has)):
-                    if p:
-                        distance[i], lang[i], parts[i] = float(total[j]), p.langs[best[j]], split[j].tolist()
-                    if total[j] > limit and shares[j].max() > 0.5:
-                        kind[i] = KINDS[int(shares[j].argmax())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(distance, pa.float64()), pa.array(lang, pa.string()), pa.array(parts, pa.list_(pa.float64())), pa.array(kind, pa.string())], names=[*[x.strip("`") for x in names], "distance", "prose_lang", "contributions", "kind"])
+            column = batch.column(len(names) - 1)
+            has = column.is_valid().to_numpy(zero_copy_only=False)
+            x = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
+            distance, best, parts, kind = m.judge(x, limit)
+            # places of the rows with a text among all rows; the others take a null
+            at = pa.array(np.cumsum(has) - 1, mask=~has)
+            split = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATS), pa.int32()), pa.array(parts.ravel()))
+            new = [pa.array(distance), pa.array(langs[best], pa.string()), split.cast(doubles), pa.array(kinds[kind], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[c.take(at) for c in new]], names=[*[n.strip("`") for n in names], "distance", "prose_lang", "contributions", "kind"])
 
     return stats.select(*names).mapInArrow(run, schema)

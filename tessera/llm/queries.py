@@ -102,7 +102,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     stats = materialize(quality.text_statistics(table(spark, d, "documents"), "doc_id", "text", "lang"), "stats")
-    return quality.judged(stats, "doc_id", quality.fit_prose(stats, table(spark, d, "doc_labels"), "doc_id", "kind"))
+    return quality.judged(stats, "doc_id", quality.fit_models(stats, table(spark, d, "doc_labels"), "doc_id", "kind"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -336,8 +336,8 @@ def test_kinds_and_contributions(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(i, "prose") for i in range(200)] + [(0, "list"), (1, "list"), (1, "list"), (1000, "list")], "doc_id long, kind string")
     stats = Q.text_statistics(docs, "doc_id", "text", "lang")
-    prose = Q.fit_prose(stats, labels, "doc_id", "kind")
-    got = {r.doc_id: r for r in Q.judged(stats, "doc_id", prose).collect()}
+    models = Q.fit_models(stats, labels, "doc_id", "kind")
+    got = {r.doc_id: r for r in Q.judged(stats, "doc_id", models).collect()}
     assert [got[1000 + i].kind for i in range(5)] == list(CASES)
     assert all(got[i].kind is None and got[i].distance is None and got[i].stats is None for i in (2000, 2001, 2002)) and got[2002].chars == 4
     assert got[2003].kind is None and got[2003].words == 400 * len(words(PROSE))
@@ -351,19 +351,32 @@ def test_without_labels_and_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([], "doc_id long, kind string")
     stats = Q.text_statistics(docs, "doc_id", "text")
-    assert Q.fit_prose(stats, labels, "doc_id", "kind") is None
-    got = {r.doc_id: r.kind for r in Q.judged(stats, "doc_id", None).collect()}
+    models = Q.fit_models(stats, labels, "doc_id", "kind")
+    got = {r.doc_id: r.kind for r in Q.judged(stats, "doc_id", models).collect()}
     assert [got[1000 + i] for i in range(5)] == list(CASES)
-    assert Q.judged(Q.text_statistics(docs.limit(0), "doc_id", "text"), "doc_id", None).count() == 0
+    assert Q.judged(Q.text_statistics(docs.limit(0), "doc_id", "text"), "doc_id", models).count() == 0
 
 
 def test_robust_fit_ignores_outliers():
     rng = np.random.default_rng(1)
     x = np.r_[rng.normal(size=(300, 3)), rng.normal(50, 1, size=(60, 3))]
-    centre, _ = Q.robust(x)
+    centre, _, _ = Q.robust(x)
     assert np.abs(centre).max() < 0.5
 
 
+def test_the_distances_decide():
+    rng = np.random.default_rng(5)
+    groups = {"prose": [0.0, 0.0, 0.0, 0.0], **{k: [float(j == i) * 0.9 for j in range(4)] for i, k in enumerate(Q.KINDS)}}
+    x = {k: np.c_[rng.normal(0.2 if k == "prose" else 0.5, 0.05, (80, 10)), np.clip(np.array(v) + rng.normal(0, 0.05, (80, 4)), 0, 1)] for k, v in groups.items()}
+    fits = [Q.robust(Q.steep(g)) for g in x.values()]
+    models = Q.Models(["en"], np.stack([f[0] for f in fits]), np.stack([f[2] for f in fits]))
+    for i, k in enumerate(groups):
+        assert (models.judge(x[k], 30.0)[3] == i - 1).mean() > 0.95
+    # just over half of the characters are a list's, all else is as in prose: the distances, not the share, decide; at no distance is all prose
+    near = np.r_[np.full(10, 0.2), 0.52, 0, 0, 0][None]
+    assert models.judge(near, 30.0)[3][0] == -1 and models.judge(x["list"], np.inf)[3].max() == -1
+
+
 HELD_OUT = "/root/testdata/sf0.1"
 
 
@@ -372,8 +385,9 @@ def test_accuracy_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"{HELD_OUT}/{t}.parquet") for t in ("documents", "doc_labels"))
     half = F.col("doc_id") % 2
     stats = Q.text_statistics(docs.join(labels.select("doc_id").distinct(), "doc_id"), "doc_id", "text", "lang")
-    prose = Q.fit_prose(stats, labels.where(half == 0), "doc_id", "kind")
-    got = Q.judged(stats.where(half == 1), "doc_id", prose).select("doc_id", F.coalesce("kind", F.lit("prose")).alias("got"))
+    models = Q.fit_models(stats, labels.where(half == 0), "doc_id", "kind")
+    assert models.langs == ["de", "en", "es", "fr", "zh"]
+    got = Q.judged(stats.where(half == 1), "doc_id", models).select("doc_id", F.coalesce("kind", F.lit("prose")).alias("got"))
     votes = labels.where(half == 1).groupBy("doc_id").agg(F.collect_set("kind").alias("k")).where("size(k) = 1")
     right = got.join(votes, "doc_id").agg(F.avg((F.col("got") == F.col("k")[0]).cast("int"))).first()[0]
     assert right >= 0.95  # some labels are wrong
