@@ -83,8 +83,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all n-grams of up to three words that occur in more than one record."""
-    return terms.term_counts(table(spark, d, "indexed_items"), ["title", "content"], 3).where("records > 1")
+    """Counts of the n-grams of up to five words that recur: those that more than one record holds."""
+    return terms.term_counts(table(spark, d, "indexed_items"), ["title", "content"], 5).where("records > 1")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -141,6 +141,7 @@ TERMS_SQL = f"""
 t AS (SELECT row_seq, unnest(list_concat(coalesce({WORDS_SQL.format('title')}, []), coalesce({WORDS_SQL.format('content')}, []))) term FROM indexed_items),
 c AS (SELECT term, count(*) occurrences, count(DISTINCT row_seq) records FROM t GROUP BY 1),
 q AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM indexed_items) THEN 'common' END mark FROM c)"""
+NGRAMS_SQL = " UNION ALL ".join(f"SELECT {n} n, row_seq, array_to_string(ws[i:i + {n - 1}], ' ') term FROM (SELECT row_seq, ws, unnest(range(1, len(ws) - {n - 2})) i FROM f)" for n in range(1, 6))
 HASH_SQL = "regexp_replace(lower(regexp_replace(file_hash, '^\\s+|\\s+$', '', 'g')), '^[a-z0-9_\\-]+:\\s*', '')"
 
 ORACLE: dict[str, str] = {
@@ -159,6 +160,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) r FROM c W
 SELECT DISTINCT least(a, b) vec_a, greatest(a, b) vec_b FROM k WHERE r <= 10""",
     "p6_found": f"WITH {TERMS_SQL} SELECT term, mark FROM q WHERE mark IS NOT NULL",
     "p6_terms": f"WITH {TERMS_SQL} SELECT term, occurrences, records, mark FROM q",
+    "p6_ngrams": f"""WITH f AS (SELECT row_seq, {WORDS_SQL.format('title')} ws FROM indexed_items UNION ALL SELECT row_seq, {WORDS_SQL.format('content')} FROM indexed_items), g AS ({NGRAMS_SQL})
+SELECT n, term, count(*) occurrences, count(DISTINCT row_seq) records FROM g GROUP BY ALL HAVING count(DISTINCT row_seq) > 1""",
     "p7_found": f"""WITH {SETS_SQL}, b AS (SELECT i.row_seq, i.repo, i.id, {HASH_SQL} h, s.cid, CASE WHEN i.index_batch_id IS NULL THEN -1 ELSE batch_no END no
   FROM indexed_items i LEFT JOIN index_batches USING (index_batch_id) LEFT JOIN s ON s.content = i.content),
 same AS (SELECT row_seq FROM b WHERE no > (SELECT min(no) FROM b y WHERE y.h = b.h)),

@@ -216,16 +216,32 @@ def test_counts_equal_brute_force(spark):
         seen = set()
         for text in row:
             w = words(text)
-            for n in (1, 2, 3):
+            for n in (1, 2, 3, 4, 5):
                 for i in range(len(w) - n + 1):
                     g = (n, " ".join(w[i : i + n]))
                     occ[g] += 1
                     seen.add(g)
         rec.update(seen)
-    got = {(r.n, r.term): (r.occurrences, r.records) for r in T.term_counts(df, ["title", "content"], 3).collect()}
+    got = {(r.n, r.term): (r.occurrences, r.records) for r in T.term_counts(df, ["title", "content"], 5).collect()}
     assert got == {g: (occ[g], rec[g]) for g in occ}
 
 
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        size = rng.integers(1, 30, rng.integers(1, 12))
+        ids = rng.integers(0, rng.choice([1, 2, 5, 50]), size.sum())
+        end = np.repeat(np.cumsum(size), size)
+        order, levels = T.suffix_order(ids, end, 64)
+        suffix = [(*ids[i : end[i]].tolist(), -1) for i in range(len(ids))]
+        assert sorted(order.tolist()) == list(range(len(ids))) and [suffix[i] for i in order] == sorted(suffix)
+        shared = T.common_prefixes(order, levels, end)
+        for k in range(1, len(order)):
+            a, b = suffix[order[k - 1]][:-1], suffix[order[k]][:-1]
+            assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert list(T.interval_counts(ids[:0], ids[:0], ids[:0], 3)) == []
+
+
 def test_blocks_add_up_and_marks(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 7)
     df = spark.createDataFrame([("a b",)] * 30 + [("c",)] * 3 + [("d d",)] * 2, "t string").coalesce(1)
