@@ -48,14 +48,19 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return ranks.item_values(table(spark, d, "search_results"), ["query_id"], ITEM, scores)
 
 
+def _ranking(spark: SparkSession, d: str) -> DataFrame:
+    return ranks.median_rank(_scored(spark, d), ["query_id"], ITEM, {"lexical": 1.0, "vector": 1.0, "symbol": 1.0})
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    leads = ranks.score_ranks(_scored(spark, d), ["query_id"], ITEM, ["lexical", "vector", "symbol"]).where("rank <= 3")
-    return leads.groupBy("query_id", *ITEM).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    """Items that lead two parts: those whose median rank of the three parts is one of the first three, as an equal part beside it."""
+    leads = F.size(F.filter(F.map_values("ranks"), lambda r: r <= 3))
+    return _ranking(spark, d).where((F.col("median_rank") <= 3) & (leads >= 2)).select("query_id", *ITEM)
 
 
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
-    df = ranks.median_rank(_scored(spark, d), ["query_id"], ITEM, {"lexical": 1.0, "vector": 1.0, "symbol": 1.0})
-    return df.select("query_id", *ITEM, "score", "median_rank", F.round("mean_rank", 6).alias("mean_rank"), F.col("parts").cast("long").alias("parts"))
+    df = ranks.placed(_ranking(spark, d), ["query_id"], ITEM)
+    return df.select("query_id", *ITEM, "score", "median_rank", F.round("mean_rank", 6).alias("mean_rank"), F.col("parts").cast("long").alias("parts"), F.col("place").cast("long").alias("place"))
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
@@ -150,8 +155,9 @@ ORACLE: dict[str, str] = {
     "p4_ranking": f"""WITH {RANKS_SQL}, last AS (SELECT query_id, part, max(n) n FROM k GROUP BY ALL),
 p(part) AS (VALUES ('lexical'), ('vector'), ('symbol')), i AS (SELECT DISTINCT query_id, repo, item_id FROM search_results),
 a AS (SELECT i.*, p.part, k.rk, coalesce(k.rk, last.n + 1, 1) r FROM i CROSS JOIN p LEFT JOIN k ON k.query_id = i.query_id AND k.repo = i.repo AND k.item_id = i.item_id AND k.part = p.part
-  LEFT JOIN last ON last.query_id = i.query_id AND last.part = p.part)
-SELECT query_id, repo, item_id, CASE WHEN count(rk) > 0 THEN 1 / median(r) END score, median(r)::DOUBLE median_rank, round(avg(r), 6) mean_rank, count(rk) parts FROM a GROUP BY ALL""",
+  LEFT JOIN last ON last.query_id = i.query_id AND last.part = p.part),
+g AS (SELECT query_id, repo, item_id, CASE WHEN count(rk) > 0 THEN 1 / median(r) END score, median(r)::DOUBLE median_rank, round(avg(r), 6) mean_rank, count(rk) parts FROM a GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parts = 0, median_rank, mean_rank, repo NULLS FIRST, item_id NULLS FIRST) place FROM g""",
     "p5_found": """WITH v AS (SELECT vec_id, repo, item_id, provider, model, dimension, embedding e FROM item_embeddings
   WHERE embedding IS NOT NULL AND len(embedding) = dimension AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 c AS (SELECT a.vec_id a, b.vec_id b, list_cosine_similarity(a.e, b.e) s FROM v a JOIN v b ON a.provider IS NOT DISTINCT FROM b.provider AND a.model IS NOT DISTINCT FROM b.model AND a.dimension = b.dimension

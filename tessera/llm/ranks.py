@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: buckets of values for each power of e
 BUCKETS = 256
+#: median ranks that are a bucket of their own; those beyond share some, the more the greater they are
+PLACES = 4096
 
 
 def part(parts: Column, *names: str) -> Column:
@@ -65,9 +67,10 @@ def score_ranks(items: DataFrame, group: list[str], item: list[str], scores: lis
 
 
 def median_rank(items: DataFrame, group: list[str], item: list[str], weights: Mapping[str, float]) -> DataFrame:
-    """(group, item, median_rank, mean_rank, score, parts): score is 1 / median_rank, the place in the order follows from score, mean_rank and item.
+    """(group, item, ranks, median_rank, mean_rank, score, parts): ranks holds the item's rank in each score that it has; score is 1 / median_rank.
 
     The weighted median is the least rank at which half the weight is reached.
+    placed() gives the order that follows from median, mean and item.
     """
     scores = list(weights)
     ranks = score_ranks(items, group, item, scores)
@@ -87,4 +90,21 @@ def median_rank(items: DataFrame, group: list[str], item: list[str], weights: Ma
     )["r"]
     mean = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["r"]) / len(weights)
     parts = F.coalesce(F.size(F.map_keys("own")), F.lit(0))
-    return df.select(*keys, median.alias("median_rank"), mean.alias("mean_rank"), parts.alias("parts")).withColumn("score", F.when(F.col("parts") > 0, 1 / F.col("median_rank")))
+    return df.select(*keys, F.col("own").alias("ranks"), median.alias("median_rank"), mean.alias("mean_rank"), parts.alias("parts")).withColumn("score", F.when(F.col("parts") > 0, 1 / F.col("median_rank")))
+
+
+def placed(ranking: DataFrame, group: list[str], item: list[str]) -> DataFrame:
+    """The ranking with place, from 1: by median rank, mean rank and item; items without a score come last.
+
+    A group is ordered in buckets of medians, each with the number of items in
+    the buckets before it, so that no window has to sort all of a group's scored
+    items; those without a score are one bucket, sorted with spilling.
+    """
+    bucket = F.when(F.col("parts") == 0, F.lit(1 << 30)).otherwise(F.floor(F.when(F.col("median_rank") < PLACES, F.col("median_rank")).otherwise(PLACES * (1 + F.log(F.col("median_rank") / PLACES)))).cast("int"))
+    rows = ranking.withColumn("bucket", bucket)
+    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n")).select(*group, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy(*group, "bucket").orderBy("median_rank", "mean_rank", *[F.col(c).asc_nulls_first() for c in item])
+    rows = rows.withColumn("within", F.row_number().over(within))
+    met = rows.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*group, "bucket"]])
+    return met.select(*[F.col(f"r.{c}") for c in ranking.columns], (F.col("before") + F.col("within")).alias("place"))

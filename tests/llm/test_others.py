@@ -112,11 +112,24 @@ def test_no_score_outweighs_by_its_range(spark):
     df = R.median_rank(scored(spark, rows), ["query_id"], ["repo", "item_id"], {"lexical": 1.0, "vector": 1.0, "symbol": 1.0})
     got = df.orderBy(F.desc_nulls_last("score"), "mean_rank", "item_id").collect()
     assert [(r.item_id, r.median_rank) for r in got] == [("b", 1.0), ("c", 2.0), ("a", 3.0), ("d", 4.0)] and got[3].score is None and math.isclose(got[0].mean_rank, 5 / 3)
+    places = R.placed(df, ["query_id"], ["repo", "item_id"])
+    assert [(r.item_id, r.place) for r in places.orderBy("place").collect()] == [("b", 1), ("c", 2), ("a", 3), ("d", 4)] and places.columns == [*df.columns, "place"]
     heavy = R.median_rank(scored(spark, rows), ["query_id"], ["repo", "item_id"], {"lexical": 1.0, "vector": 5.0, "symbol": 1.0}).orderBy("median_rank").first()
     assert heavy.item_id == "a"
     assert R.median_rank(scored(spark, []), ["query_id"], ["repo", "item_id"], {"lexical": 1.0}).count() == 0
 
 
+def test_places_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "PLACES", 4)
+    rng = random.Random(6)
+    rows = [(rng.choice([1, None]), rng.choice(["r", None]), f"i{i}", {p: rng.choice([0.5, rng.random()]) for p in ("lexical", "vector") if rng.random() < 0.7}) for i in range(200)]
+    weights = {"lexical": 1.0, "vector": 2.0}
+    got = R.placed(R.median_rank(scored(spark, rows), ["query_id"], ["repo", "item_id"], weights), ["query_id"], ["repo", "item_id"]).collect()
+    for q in (1, None):
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: (r.parts == 0, r.median_rank, r.mean_rank, r.repo is not None, r.repo or "", r.item_id))
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and len(own) > 50
+
+
 # vectors
 
 
