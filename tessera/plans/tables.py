@@ -104,6 +104,18 @@ def scratch() -> Iterator[list[DataFrame]]:
                 _written.remove(entry)
 
 
+@contextmanager
+def workspace(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder beside the written tables, deleted at the end of the block (or of the interpreter)."""
+    entry = (spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    _written.append(entry)
+    try:
+        yield entry[1]
+    finally:
+        _delete(*entry)
+        _written.remove(entry)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
