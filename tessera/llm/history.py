@@ -2,26 +2,35 @@
 
 The segment index for edit distance stores a fixed number of segments of each
 string by its length and the segment's position, probes the segments of a new
-string, and verifies a bounded edit distance. Here the string of a content is
-its shingle set in hash order: for such strings the number of insertions and
-deletions is the size of the symmetric difference, so that a similarity of t
-bounds it by D = floor((1 - t) / (1 + t) * (|x| + |y|)). The strings are cut by
-hash range into 2**level segments, the level given by the length: at most D of
-any D + 1 filled segments differ, one at least is equal, and it is found under
-(level, position, hash). The longer of a pair stores, the shorter probes. Sets
-with too few filled segments store each token, met by the prefix of the
-shorter's tokens. All of it is exact: nothing is capped, and the distance is
-verified on the whole sets.
+string, verifies a bounded edit distance and appends the new string's segments.
+Here the string of a content is its shingle set in hash order: the insertions
+and deletions between two such strings are the symmetric difference of the
+sets, and a similarity of t allows (1 - t) / (1 + t) * (|x| + |y|) of them, of
+which a set of n tokens sees D = floor((1 - t) / t * n) at most. The strings
+are cut by hash range into 2**level segments, the level given by the length. At
+most D of any D + 1 filled segments differ, so that D + 1 are stored, under
+(level, position, hash), and a partner of any allowed length probes its own
+segments at the level of each length that it may meet. Frequent tokens (a list
+fixed with the first load; it decides speed alone) are left out of the
+segments; sets that fill too few store each token, met by the prefix of the
+prober's tokens. Candidates come from signature trees over stored and probed
+segments, as in problem 3. All of it is exact: nothing is capped, and the
+distance is verified on the whole sets.
+
+SegmentIndex keeps its tables over loads. A content is cut, stored and probed
+once, when a load first brings it; later loads and checks read its links.
 
 Defined results: a null hash equals nothing; rows without a batch id are older
 than all batches; rows of a batch that the batch table lacks have no order and
 are neither checked nor held against others; contents of under least_words
-words are only checked by hash; an empty table gives no row.
+words are only checked by hash; null identity columns equal each other; an
+empty table gives no row.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,202 +38,262 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
-from tessera.plans.tables import materialize, release, scratch
+from tessera.operators.incremental import plain_hash
+from tessera.plans.tables import materialize, scratch, workspace
 
-SETS = "cid long, n int, toks array<long>, entries array<struct<key:long,role:int>>, c int, " + ", ".join(f"s{i} long" for i in range(S.SIG_WORDS))
+SIG = [f"s{i}" for i in range(S.SIG_WORDS)]
+SIGNS = "n int, c int, " + ", ".join(f"{s} long" for s in SIG)
+#: the tables of an index: columns, and the one whose hash makes the buckets
+TABLES = {
+    "sets": (f"cid long, md5 string, {SIGNS}, toks array<long>", "cid"),
+    "segments": ("key long, cid long", "key"),
+    "links": ("a long, b long, distance long", "a"),
+    "members": ("cid long, who string, at long", "cid"),
+    "hashes": ("h string, at long", "h"),
+}
 
 
 def _level(n: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, n) / 2)))
+    return math.ceil(math.log2(max(1, n)))
 
 
-def _key(level: int, position: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return S._mix(h ^ S._mix(position.astype(np.uint64) * np.uint64(64) + np.uint64(level)))
-
-
-def _segments(toks: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of tokens in unsigned order: the filled segments' positions, first tokens' places and keys."""
-    u = toks.view(np.uint64)
+def _segments(u: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens in unsigned order: the filled segments' keys and numbers of tokens."""
+    if not len(u):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     pos = u >> np.uint64(64 - level) if level else np.zeros(len(u), np.uint64)
     at = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-    return pos[at], at, _key(level, pos[at], np.add.reduceat(S._mix(u), at))
+    h = np.add.reduceat(S._mix(u), at)
+    keys = S._mix(h ^ S._mix(pos[at] * np.uint64(64) + np.uint64(level)))
+    return keys.view(np.int64), np.diff(np.r_[at, len(u)])
 
 
-def segment_entries(toks: np.ndarray, t: float, again: np.ndarray, rank: np.ndarray) -> dict[int, int]:
-    """The keys of one set with their roles: 1 stored (for shorter partners), 2 probed (for longer ones).
+def _single(toks: np.ndarray) -> np.ndarray:
+    return S._mix(toks.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
 
-    again: False for tokens no other set holds; rank: above 0 for frequent
-    tokens, which are left out of the segments where enough others fill them.
-    """
-    n, out = len(toks), {}
-    by = np.argsort(toks.view(np.uint64))
-    toks, again, rank = toks[by], again[by], rank[by]
-    rare = rank == 0
-    u, once = toks[rare], ~again[rare]
-    d = int((1 - t) / (1 + t) * 2 * n + 1e-9)
-    stored = _level(n)
-    for level in range(stored, _level(int(n / t + 1e-9)) + 1):
-        if not len(u):
-            break
-        _, at, keys = _segments(u, level)
-        alone = np.add.reduceat(once.astype(np.int64), at) > 0
-        for k in keys[~alone].view(np.int64).tolist():
-            out[k] = out.get(k, 0) | 2
-    enough = False
-    if len(u):
-        _, at, keys = _segments(u, stored)
-        if enough := len(keys) > d:
-            # segments that no other set can have cost nothing, longer ones match less often by chance
-            alone = np.add.reduceat(once.astype(np.int64), at) > 0
-            length = np.diff(np.r_[at, len(u)])
-            for i in np.lexsort((-length, ~alone))[: d + 1]:
-                if not alone[i]:
-                    k = int(keys[i : i + 1].view(np.int64)[0])
-                    out[k] = out.get(k, 0) | 1
-    rest, r = toks[again], rank[again]
-    single = _key(63, np.zeros(len(rest), np.uint64), rest.view(np.uint64)).view(np.int64)
-    if not enough:
-        for k in single.tolist():
-            out[k] = out.get(k, 0) | 1
-    p = n - int(np.ceil(2 * t / (1 + t) * n - 1e-9)) + 1 - (n - len(rest))
-    if p > 0:
-        for k in single[np.argsort(r, kind="stable")][:p].tolist():
-            out[k] = out.get(k, 0) | 2
-    return out
 
+def stored_keys(toks: np.ndarray, t: float, rank: np.ndarray) -> np.ndarray:
+    """The keys that a set is stored under: D + 1 of its segments, those of most tokens, else each token. rank: above 0 for frequent tokens."""
+    n = len(toks)
+    keys, size = _segments(np.sort(toks[rank == 0].view(np.uint64)), _level(n))
+    d = int((1 - t) / t * n + 1e-9)
+    return keys[np.argsort(-size, kind="stable")[: d + 1]] if len(keys) > d else _single(toks)
 
-def indexed_sets(sets: DataFrame, t: float, freq: S.Frequencies | None = None) -> DataFrame:
-    """SETS: the segment keys of each set (cid, toks).
 
-    With freq, the counts over all sets that will ever meet, sets too few of
-    whose tokens occur elsewhere are left out, and keys that cannot match.
-    Without it, as for an index that later batches probe, everything is kept.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(freq) if freq else None
+def probed_keys(toks: np.ndarray, t: float, rank: np.ndarray) -> np.ndarray:
+    """The keys that meet every stored set of similarity t: the segments at each level of an allowed length, and the prefix of the tokens, the rarest first."""
+    n = len(toks)
+    u = np.sort(toks[rank == 0].view(np.uint64))
+    levels = range(_level(int(np.ceil(t * n - 1e-9))), _level(int(n / t + 1e-9)) + 1)
+    prefix = toks[np.argsort(rank, kind="stable")][: n - int(np.ceil(t * n - 1e-9)) + 1]
+    return np.concatenate([*[_segments(u, level)[0] for level in levels], _single(prefix)])
+
+
+def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
+    """The table of sets: the shingle set of each content (cid, md5, content) of least_words words, with its signature."""
 
     def run(batches):
         for batch in batches:
-            f = shared.value if shared else None
-            cids, col = batch.column(0).to_pylist(), batch.column(1)
-            offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            again = f.repeated(flat) if f else np.ones(len(flat), bool)
-            rank = f.ranks(flat) if f else np.zeros(len(flat), np.int64)
-            rows, toks, keys, roles = [], [], [], []
-            for i, cid in enumerate(cids):
-                at = slice(offsets[i], offsets[i + 1])
-                n, rest = at.stop - at.start, flat[at][again[at]]
-                if len(rest) < math.ceil(t * n - 1e-9) or not n:
-                    continue
-                e = segment_entries(flat[at], t, again[at], rank[at])
-                sig, c = S.signature(rest)
-                rows.append((cid, n, c, *sig.view(np.int64).tolist()))
-                toks.append(rest)
-                keys.append(np.fromiter(e, np.int64, len(e)))
-                roles.append(np.fromiter(e.values(), np.int32, len(e)))
-            cols = list(zip(*rows)) or [()] * (3 + S.SIG_WORDS)
-            k, r = S.lists(keys, pa.int64()), S.lists(roles, pa.int32())
-            entries = pa.ListArray.from_arrays(k.offsets, pa.StructArray.from_arrays([k.values, r.values], names=["key", "role"]))
-            names = ["cid", "n", "toks", "entries", "c", *[f"s{i}" for i in range(S.SIG_WORDS)]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), S.lists(toks, pa.int64()), entries, pa.array(cols[2], pa.int32()), *[pa.array(x, pa.int64()) for x in cols[3:]]], names=names)
-
-    return sets.select("cid", "toks").mapInArrow(run, SETS)
-
-
-def _entries(indexed: DataFrame, side: int = 0) -> DataFrame:
-    sig = [f"s{i}" for i in range(S.SIG_WORDS)]
-    return indexed.select(F.explode("entries").alias("e"), "cid", "n", "c", *sig).select(
-        F.col("e.key").alias("key"), "cid", "n", "c", F.col("e.role").bitwiseOR(F.lit(side)).alias("role"), *sig
-    )
-
-
-def normal_hash(h: Column) -> Column:
-    """A file hash without letter case, surrounding blanks and a leading algorithm name."""
-    return F.regexp_replace(F.lower(F.regexp_replace(h, r"^\s+|\s+$", "")), r"^[a-z0-9_\-]+:\s*", "")
+            rows, toks = [], []
+            for cid, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                w = S.words(text)
+                if len(w) >= max(least_words, k):
+                    x = S.shingle_hashes(w, k)
+                    sig, c = S.signature(x)
+                    rows.append((cid, key, len(x), c, *sig.view(np.int64).tolist()))
+                    toks.append(x)
+            cols = list(zip(*rows)) or [()] * (4 + S.SIG_WORDS)
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)] + [S.lists(toks, pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks"])
+
+    return texts.select("cid", "md5", "content").mapInArrow(run, TABLES["sets"][0])
+
+
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[offsets[i] : offsets[i + 1]] for i in range(len(column))]
+
+
+def _keyed(cids: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(cids, np.int64), [len(x) for x in keys]))], names=["key", "cid"])
+
+
+def delivered(df: DataFrame, row_id: str, content: str, file_hash: str, identity: list[str], at: Column) -> DataFrame:
+    """(row, who, at, h, md5, content): rows as an index takes them; at is their place in the order of batches, those without one are left out."""
+    who = F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(identity)]))
+    return df.select(F.col(row_id).cast("long").alias("row"), who.alias("who"), at.cast("long").alias("at"), plain_hash(F.col(file_hash)).alias("h"), F.md5(F.col(content).cast("binary")).alias("md5"), F.col(content).alias("content")).where("at is not null")
 
 
 def _first_two(rows: DataFrame) -> DataFrame:
     """Of (cid, who, at): for each class its two earliest (at, who) of different who; limited before the shuffle."""
     least = rows.groupBy("cid", "who").agg(F.min("at").alias("at"))
     w = Window.partitionBy("cid").orderBy("at", "who")
-    two = least.withColumn("k", F.row_number().over(w)).where("k <= 2")
-    return two.drop("k")
+    return least.withColumn("k", F.row_number().over(w)).where("k <= 2").drop("k")
 
 
-def repeated_rows(items: DataFrame, batches: DataFrame, t: float = 0.8, k: int = 5, least_words: int = 5) -> DataFrame:
-    """(row_seq, kind): rows of each batch that repeat (same) or nearly repeat (near) rows of earlier batches.
+class SegmentIndex:
+    """A kept index under root, of bucketed tables with a partition for each load.
 
-    All batches at once, each held against those before it.
+    accept() adds a load and commits it by a mark in root/loads, written last.
+    Loads without a mark are not read; accepting a load again replaces what a
+    failed run left of it, and does nothing once it is committed. check() holds
+    rows against the committed loads, earlier places (at) only.
     """
-    with scratch() as keep:
-        order = batches.select("index_batch_id", F.col("batch_no").cast("long").alias("no"))
-        who = F.struct(F.xxhash64("repo", "id").alias("x"), F.xxhash64("id", F.lit("~"), "repo").alias("y"))
-        rows = items.select("row_seq", who.alias("who"), "index_batch_id", normal_hash(F.col("file_hash")).alias("h"), F.md5(F.col("content").cast("binary")).alias("md5"))
-        rows = rows.join(order, "index_batch_id", "left").withColumn("at", F.when(F.col("index_batch_id").isNull(), F.lit(-1)).otherwise(F.col("no")))
-        rows = materialize(rows.where("at is not null").select("row_seq", "who", "h", "md5", "at"), "rows")
-        first = rows.where("h is not null").groupBy("h").agg(F.min("at").alias("first"))
-        rows = materialize(rows.join(first, "h", "left").select("row_seq", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same")), "rows")
-
-        sets = materialize(S.shingle_sets(S.content_classes(items, "row_seq", "content", least_words), k, least_words), "sets")
-        indexed = materialize(indexed_sets(sets, t, S.frequencies(sets)), "indexed")
-        classes = materialize(sets.select("md5", "cid"), "classes")
-        release(sets)
-        links = S.verified(S.block_pairs(_entries(indexed), t), indexed, t)
-
-        member = materialize(rows.join(classes, "md5").select("cid", "row_seq", "who", "at", "same"), "member")
-        two = _first_two(member)
-        two = materialize(two, "two")
-        both = links.select(F.col("a").alias("cid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("to")))
-        beside = both.join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")
+
+    def __init__(self, spark: SparkSession, root: str, t: float = 0.8, k: int = 5, least_words: int = 5, buckets: int | None = None):
+        self.spark, self.root, self.t, self.k, self.least_words = spark, root.rstrip("/"), t, k, least_words
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._name = f"tessera_index_{uuid.uuid4().hex}"
+        if self._exists("settings/_SUCCESS"):
+            kept = spark.read.parquet(f"{self.root}/settings").first()
+            if (kept.t, kept.k, kept.least_words) != (t, k, least_words):
+                raise ValueError(f"the index at {root} was made for t, k, least_words = {kept.t}, {kept.k}, {kept.least_words}")
+            self.buckets = kept.buckets
+        else:
+            self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spark.createDataFrame([(t, k, least_words, self.buckets)], "t double, k int, least_words int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/settings")
+        for table, (schema, key) in TABLES.items():
+            spark.sql(f"CREATE TABLE {self._name}_{table} ({schema}, load STRING) USING parquet PARTITIONED BY (load) CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{table}'")
+            for load in self.loads():
+                spark.sql(f"ALTER TABLE {self._name}_{table} ADD IF NOT EXISTS PARTITION (load = '{load}')")
+
+    def close(self) -> None:
+        """Forget the tables' names; the files stay."""
+        for table in TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name}_{table}")
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(name))
+
+    def loads(self) -> list[str]:
+        """The committed loads."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("loads"))) if self._exists("loads") else []
+
+    def _read(self, table: str, *more: str) -> DataFrame:
+        return self.spark.table(f"{self._name}_{table}").where(F.col("load").isin(*self.loads(), *more)).drop("load")
+
+    def _write(self, table: str, load: str, df: DataFrame) -> None:
+        schema, key = TABLES[table]
+        columns = [c.split()[0] for c in schema.split(", ")]
+        view = f"{self._name}_new"
+        df.select(*columns).repartition(self.buckets, key).createOrReplaceTempView(view)
+        # what a failed run left; the load isn't committed, so that nothing reads it
+        self._fs.delete(self._path(f"{table}/load={load}"), True)
+        self.spark.sql(f"INSERT INTO {self._name}_{table} PARTITION (load = '{load}') SELECT * FROM {view}")
+        self.spark.catalog.dropTempView(view)
+
+    def _frequent(self, sets: DataFrame) -> S.Frequencies:
+        """The frequent tokens: of the first load, kept with the index."""
+        if not self._exists("frequent/_SUCCESS"):
+            f = S.frequencies(sets)
+            self.spark.createDataFrame([(f.hot.tolist(), f.rank.tolist())], "hot array<long>, place array<long>").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/frequent")
+        kept = self.spark.read.parquet(f"{self.root}/frequent").first()
+        return S.Frequencies(np.zeros(1, np.uint64), np.array(kept.hot, np.int64), np.array(kept.place, np.int64))
+
+    def _links(self, new: DataFrame, load: str | None = None) -> DataFrame:
+        """(a, b, distance, sim): the new sets against those of the committed loads, and of load."""
+        t, more = self.t, [load] if load else []
+        stored = self._read("segments", *more)
+        counts = stored.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+        total = sum(self.spark.table(f"{self._name}_segments").where(F.col("load") == x).count() for x in [*self.loads(), *more])
+        # a probe that no stored set has, or none but the prober itself, meets nothing; full bitmaps cost only speed
+        any_, several = (S.key_bitmap(counts.where(F.col("f") >= least), total) for least in (1, 2))
+        shared = self.spark.sparkContext.broadcast((self._frequent(new), any_, several, load is not None))
+
+        def run(batches):
+            freq, any_, several, inside = shared.value
+            for batch in batches:
+                cids, keys = batch.column(0).to_pylist(), []
+                for x in _rows(batch.column(1)):
+                    rank = freq.ranks(x)
+                    p = np.unique(probed_keys(x, t, rank))
+                    p = p[S.in_bitmap(any_, p)]
+                    if inside:
+                        p = p[S.in_bitmap(several, p) | ~np.isin(p, stored_keys(x, t, rank))]
+                    keys.append(p)
+                yield _keyed(cids, keys)
+
+        probes = materialize(new.select("cid", "toks").mapInArrow(run, "key long, cid long"), "probes")
+        signs = ["cid", "n", "c", *SIG]
+        sets = self._read("sets", *more)
+        met = stored.join(probes.select("key").distinct(), "key", "left_semi")
+        entries = met.join(sets.select(*signs), "cid").withColumn("role", F.lit(1 | 64)).unionByName(probes.join(new.select(*signs), "cid").withColumn("role", F.lit(2 | 32)))
+        whole = sets.select("cid", "n", "toks")
+        return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t), whole if load else whole.unionByName(new.select("cid", "n", "toks")), t)
+
+    def accept(self, load: str, rows: DataFrame) -> None:
+        """Add rows (see delivered) as a load of this name, unless it is committed already."""
+        if load in self.loads():
+            return
+        with scratch():
+            texts = S.content_classes(rows, "row", "content", self.least_words)
+            if self.loads():
+                texts = texts.join(self._read("sets").select("md5"), "md5", "left_anti")
+            self._write("sets", load, _sets(texts, self.k, self.least_words))
+            new = self.spark.table(f"{self._name}_sets").where(F.col("load") == load).drop("load")
+            shared, t = self.spark.sparkContext.broadcast(self._frequent(new)), self.t
+
+            def run(batches):
+                for batch in batches:
+                    yield _keyed(batch.column(0).to_pylist(), [stored_keys(x, t, shared.value.ranks(x)) for x in _rows(batch.column(1))])
+
+            self._write("segments", load, new.select("cid", "toks").mapInArrow(run, "key long, cid long"))
+            self._write("links", load, self._links(new, load))
+            classes = self._read("sets", load).select("md5", "cid")
+            self._write("members", load, rows.groupBy("md5", "who").agg(F.min("at").alias("at")).join(classes, "md5").groupBy("cid", "who").agg(F.min("at").alias("at")))
+            self._write("hashes", load, rows.where("h is not null").groupBy("h").agg(F.min("at").alias("at")))
+        self._fs.create(self._path(f"loads/{load}"), True).close()
+
+    def check(self, rows: DataFrame) -> DataFrame:
+        """(row, kind): the rows (see delivered) of which an earlier row has an equal hash (same), or another identity and a similar content (near)."""
+        first = self._read("hashes").groupBy("h").agg(F.min("at").alias("first"))
+        seen = rows.join(first, "h", "left").select("row", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same"))
+        seen = materialize(seen, "rows")
+        known = self._read("sets").select("md5", "cid")
+        links = self._read("links").select("a", "b")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        unknown = S.content_classes(rows, "row", "content", self.least_words).join(known, "md5", "left_anti")
+        unknown = materialize(_sets(unknown.withColumn("cid", -F.col("cid") - 1), self.k, self.least_words), "new")
+        if unknown.limit(1).count():
+            known = known.unionByName(unknown.select("md5", "cid"))
+            # ids of unknown contents are below 0
+            both = both.unionByName(self._links(unknown).select("a", "b"))
+        member = materialize(seen.where("not same").join(known, "md5").select("cid", "row", "who", "at"), "member")
+        two = materialize(_first_two(self._read("members")), "two")
+        beside = both.withColumnsRenamed({"a": "cid", "b": "to"}).join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")
         early = _first_two(two.unionByName(beside)).groupBy("cid").agg(F.min(F.struct("at", "who")).alias("e1"), F.max(F.struct("at", "who")).alias("e2"))
         e = F.when(F.col("e1.who") != F.col("who"), F.col("e1.at")).when(F.col("e2.who") != F.col("who"), F.col("e2.at"))
-        near = member.where(~F.col("same")).join(early, "cid").where(e < F.col("at")).select("row_seq", F.lit("near").alias("kind"))
-        out = rows.where("same").select("row_seq", F.lit("same").alias("kind")).unionByName(near)
-        keep.append(out := materialize(out, "repeated"))
-    return out
+        near = member.join(early, "cid").where(e < F.col("at")).select("row", F.lit("near").alias("kind"))
+        return seen.where("same").select("row", F.lit("same").alias("kind")).unionByName(near)
 
 
-class SegmentIndex:
-    """A kept index: each batch is checked against what was appended before, and read once.
+def repeated_rows(items: DataFrame, batches: DataFrame, t: float = 0.8, k: int = 5, least_words: int = 5, loads: int = 2) -> DataFrame:
+    """(row_seq, kind): rows of each batch that repeat (same) or nearly repeat (near) rows of earlier batches.
 
-    root holds parquet tables `hashes` (h, cid), `sets` (SETS without entries)
-    and `entries` (key, role, cid, n, c, s*). A check joins the batch's keys
-    with the stored ones: history is neither tokenised nor verified anew.
+    The batches go in their order into an index, some consecutive ones to a
+    load; each load is accepted and then checked, each row against what is
+    earlier than its own batch.
     """
-
-    def __init__(self, spark: SparkSession, root: str, t: float = 0.8, k: int = 5, least_words: int = 5):
-        self.spark, self.root, self.t, self.k, self.least_words = spark, root, t, k, least_words
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
-
-    def _indexed(self, batch: DataFrame, row_id: str, content: str) -> DataFrame:
-        sets = S.shingle_sets(S.content_classes(batch, row_id, content, self.least_words), self.k, self.least_words)
-        return indexed_sets(sets, self.t)
-
-    def check(self, batch: DataFrame, row_id: str, content: str, file_hash: str) -> DataFrame:
-        """(row, kind, of, sim): batch rows with an equal hash (same) or a similar content (near) in the index; of is the earlier class."""
-        hashes = self._read("hashes", "h string, cid long")
-        rows = batch.select(F.col(row_id).alias("row"), normal_hash(F.col(file_hash)).alias("h"), F.md5(F.col(content).cast("binary")).alias("md5"))
-        same = rows.where("h is not null").join(hashes.groupBy("h").agg(F.min("cid").alias("of")), "h").select("row", F.lit("same").alias("kind"), "of", F.lit(1.0).alias("sim"))
-        new = materialize(self._indexed(batch, row_id, content).withColumn("cid", -F.col("cid") - 1), "new")
-        stored = self._read("entries", S.ENTRY)
-        probes = _entries(new, 32)
-        met = stored.join(probes.select("key").distinct(), "key", "left_semi").withColumn("role", F.col("role").bitwiseOR(F.lit(64)))
-        old = self._read("sets", "cid long, n int, toks array<long>")
-        # blocks cut into cells may pair rows of the batch, whose ids are below 0
-        links = S.verified(S.block_pairs(probes.unionByName(met), self.t).where("b >= 0"), new.select("cid", "n", "toks").unionByName(old), self.t)
-        own = batch.where(F.col(content).isNotNull()).groupBy(F.md5(F.col(content).cast("binary")).alias("md5")).agg(F.min(row_id).alias("cid"))
-        near = links.select((-F.col("a") - 1).alias("cid"), F.col("b").alias("of"), "sim").join(own, "cid").join(rows, "md5").join(same.select("row"), "row", "left_anti")
-        best = near.groupBy("row").agg(F.max_by(F.struct("of", "sim"), F.struct("sim", -F.col("of"))).alias("m"))
-        return same.unionByName(best.select("row", F.lit("near").alias("kind"), "m.of", "m.sim"))
-
-    def append(self, batch: DataFrame, row_id: str, content: str, file_hash: str) -> None:
-        indexed = materialize(self._indexed(batch, row_id, content), "append")
-        _entries(indexed).write.mode("append").parquet(f"{self.root}/entries")
-        indexed.select("cid", "n", "toks").write.mode("append").parquet(f"{self.root}/sets")
-        h = normal_hash(F.col(file_hash))
-        batch.where(F.col(file_hash).isNotNull()).groupBy(h.alias("h")).agg(F.min(row_id).alias("cid")).write.mode("append").parquet(f"{self.root}/hashes")
-        release(indexed)
+    order = materialize(batches.select("index_batch_id", F.col("batch_no").cast("long").alias("no")), "order")
+    lo, hi = order.agg(F.min("no"), F.max("no")).first()
+    at = F.when(F.col("index_batch_id").isNull(), F.lit(-1)).otherwise(F.col("no"))
+    rows = items.select("row_seq", "repo", "id", "index_batch_id", "file_hash", "content").join(F.broadcast(order) if order.limit(20_001).count() <= 20_000 else order, "index_batch_id", "left")
+    rows = delivered(rows, "row_seq", "content", "file_hash", ["repo", "id"], at)
+    cuts = [] if lo is None else [lo + (hi + 1 - lo) * i // loads for i in range(1, loads)]
+    out = None
+    with scratch() as keep, workspace(items.sparkSession, "index") as root:
+        index = SegmentIndex(items.sparkSession, root, t, k, least_words)
+        for i, (begin, end) in enumerate(zip([None, *cuts], [*cuts, None])):
+            # every load but the first comes after batch number begin
+            part = rows.where(F.lit(True) if begin is None else F.col("at") >= begin).where(F.lit(True) if end is None else F.col("at") < end)
+            index.accept(f"part-{i}", part)
+            got = index.check(part).select(F.col("row").alias("row_seq"), "kind")
+            keep.append(got := materialize(got, "repeated"))
+            out = got if out is None else out.unionByName(got)
+        index.close()
+    return out

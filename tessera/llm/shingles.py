@@ -110,8 +110,7 @@ class Frequencies:
     rank: np.ndarray
 
     def repeated(self, toks: np.ndarray) -> np.ndarray:
-        b = toks & (64 * len(self.seen) - 1)
-        return (self.seen[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return in_bitmap(self.seen, toks)
 
     def ranks(self, toks: np.ndarray) -> np.ndarray:
         """0 for a token that isn't hot, else its place among the hot ones from 1."""
@@ -121,16 +120,28 @@ class Frequencies:
         return np.where(self.hot[at] == toks, self.rank[at], 0)
 
 
+def key_bitmap(keys: DataFrame, total: int, column: str = "key") -> np.ndarray:
+    """A bitmap of the keys' low bits: some four bits or more for each of total keys, at most 2**27 bits."""
+    power = min(SEEN_BITS[1], max(SEEN_BITS[0], int(total).bit_length() + 2))
+    key = F.col(column)
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    bits = keys.groupBy(F.shiftright(key.bitwiseAND(F.lit((1 << power) - 1)), 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    seen = np.zeros(1 << (power - 6), np.uint64)
+    seen[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
+    return seen
+
+
+def in_bitmap(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    b = keys & (64 * len(seen) - 1)
+    return (seen[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def frequencies(sets: DataFrame) -> Frequencies:
     counts = materialize(
         sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "df"
     )
     total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    power = min(SEEN_BITS[1], max(SEEN_BITS[0], int(total).bit_length() + 2))
-    bucket = F.col("tok").bitwiseAND(F.lit((1 << power) - 1))
-    bits = counts.groupBy(F.shiftright(bucket, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tok & 63 as int))")).alias("b")).toArrow()
-    seen = np.zeros(1 << (power - 6), np.uint64)
-    seen[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
+    seen = key_bitmap(counts, total, "tok")
     frequent = counts.where(F.col("f") > max(8, total // MOST_FREQUENT)).toArrow()
     tok, f = frequent["tok"].to_numpy(), frequent["f"].to_numpy()
     rank = np.empty(len(tok), np.int64)
