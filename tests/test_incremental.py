@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.operators import incremental as N
 
 BATCH = "index_batch_id string, batch_no int, status string"
@@ -48,3 +50,8 @@ def test_empty_and_extra_columns(spark):
     assert N.pending(items, batches, N.ledger(items, batches)).count() == 0
     items = spark.createDataFrame([("r", "p", None, "1", 7, "x", "y")], ITEM + ", no int, settled string, version string")
     assert found(N.ledger(items, batches)) == {("r", "p"): "1"}
+
+
+def test_hashes_are_normalised(spark):
+    df = spark.createDataFrame([(x,) for x in (" SHA256: AbC ", "abc", "\tabc\n", None, "")], "h string")
+    assert [r[0] for r in df.select(N.plain_hash(F.col("h"))).collect()] == ["abc", "abc", "abc", None, ""]
