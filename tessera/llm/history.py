@@ -202,7 +202,7 @@ class SegmentIndex:
         counts = stored.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
         total = sum(self.spark.table(f"{self._name}_segments").where(F.col("load") == x).count() for x in [*self.loads(), *more])
         # a probe that no stored set has, or none but the prober itself, meets nothing; full bitmaps cost only speed
-        any_, several = (S.key_bitmap(counts.where(F.col("f") >= least), total) for least in (1, 2))
+        any_, several = S.key_bitmaps(counts, total)
         shared = self.spark.sparkContext.broadcast((self._frequent(new), any_, several, load is not None))
 
         def run(batches):
@@ -257,12 +257,15 @@ class SegmentIndex:
         known = self._read("sets").select("md5", "cid")
         links = self._read("links").select("a", "b")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        unknown = S.content_classes(rows, "row", "content", self.least_words).join(known, "md5", "left_anti")
-        unknown = materialize(_sets(unknown.withColumn("cid", -F.col("cid") - 1), self.k, self.least_words), "new")
+        # the index has no set of contents that are too short either
+        texts = rows.where(F.length("content") >= self.least_words)
+        unknown = materialize(texts.select("md5").distinct().join(known, "md5", "left_anti"), "unknown")
         if unknown.limit(1).count():
-            known = known.unionByName(unknown.select("md5", "cid"))
+            new = S.content_classes(texts.join(unknown, "md5", "left_semi"), "row", "content", self.least_words)
+            new = materialize(_sets(new.withColumn("cid", -F.col("cid") - 1), self.k, self.least_words), "new")
+            known = known.unionByName(new.select("md5", "cid"))
             # ids of unknown contents are below 0
-            both = both.unionByName(self._links(unknown).select("a", "b"))
+            both = both.unionByName(self._links(new).select("a", "b"))
         member = materialize(seen.where("not same").join(known, "md5").select("cid", "row", "who", "at"), "member")
         two = materialize(_first_two(self._read("members")), "two")
         beside = both.withColumnsRenamed({"a": "cid", "b": "to"}).join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")

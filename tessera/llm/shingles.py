@@ -120,15 +120,17 @@ class Frequencies:
         return np.where(self.hot[at] == toks, self.rank[at], 0)
 
 
-def key_bitmap(keys: DataFrame, total: int, column: str = "key") -> np.ndarray:
-    """A bitmap of the keys' low bits: some four bits or more for each of total keys, at most 2**27 bits."""
+def key_bitmaps(counts: DataFrame, total: int, column: str = "key") -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of the low bits of all keys, and of those of a count f above 1: some four bits or more for each of total keys, at most 2**27 bits."""
     power = min(SEEN_BITS[1], max(SEEN_BITS[0], int(total).bit_length() + 2))
-    key = F.col(column)
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit((1 << power) - 1)), 6)
     bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
-    bits = keys.groupBy(F.shiftright(key.bitwiseAND(F.lit((1 << power) - 1)), 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    seen = np.zeros(1 << (power - 6), np.uint64)
-    seen[bits["w"].to_numpy()] = bits["b"].to_numpy().view(np.uint64)
-    return seen
+    bits = counts.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b"), F.coalesce(F.bit_or(F.when(F.col("f") > 1, bit)), F.lit(0)).cast("long").alias("c")).toArrow()
+    out = []
+    for x in "bc":
+        out.append(np.zeros(1 << (power - 6), np.uint64))
+        out[-1][bits["w"].to_numpy()] = bits[x].to_numpy().view(np.uint64)
+    return out[0], out[1]
 
 
 def in_bitmap(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -141,7 +143,7 @@ def frequencies(sets: DataFrame) -> Frequencies:
         sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "df"
     )
     total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    seen = key_bitmap(counts, total, "tok")
+    seen, _ = key_bitmaps(counts, total, "tok")
     frequent = counts.where(F.col("f") > max(8, total // MOST_FREQUENT)).toArrow()
     tok, f = frequent["tok"].to_numpy(), frequent["f"].to_numpy()
     rank = np.empty(len(tok), np.int64)
