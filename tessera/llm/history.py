@@ -29,7 +29,6 @@ empty table gives no row.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -45,7 +44,7 @@ SIG = [f"s{i}" for i in range(S.SIG_WORDS)]
 SIGNS = "n int, c int, " + ", ".join(f"{s} long" for s in SIG)
 #: the tables of an index: columns, and the one whose hash makes the buckets
 TABLES = {
-    "sets": (f"cid long, md5 string, {SIGNS}, toks array<long>", "cid"),
+    "sets": (f"cid long, md5 string, {SIGNS}, toks array<long>, wide array<long>", "cid"),
     "segments": ("key long, cid long", "key"),
     "links": ("a long, b long, distance long", "a"),
     "members": ("cid long, who string, at long", "cid"),
@@ -53,40 +52,69 @@ TABLES = {
 }
 
 
-def _level(n: int) -> int:
-    return math.ceil(math.log2(max(1, n)))
-
-
-def _segments(u: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of tokens in unsigned order: the filled segments' keys and numbers of tokens."""
-    if not len(u):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    pos = u >> np.uint64(64 - level) if level else np.zeros(len(u), np.uint64)
-    at = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-    h = np.add.reduceat(S._mix(u), at)
-    keys = S._mix(h ^ S._mix(pos[at] * np.uint64(64) + np.uint64(level)))
-    return keys.view(np.int64), np.diff(np.r_[at, len(u)])
+def _level(n: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(np.maximum(1, n))).astype(np.int64)
 
 
 def _single(toks: np.ndarray) -> np.ndarray:
     return S._mix(toks.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
 
 
-def stored_keys(toks: np.ndarray, t: float, rank: np.ndarray) -> np.ndarray:
-    """The keys that a set is stored under: D + 1 of its segments, those of most tokens, else each token. rank: above 0 for frequent tokens."""
-    n = len(toks)
-    keys, size = _segments(np.sort(toks[rank == 0].view(np.uint64)), _level(n))
-    d = int((1 - t) / t * n + 1e-9)
-    return keys[np.argsort(-size, kind="stable")[: d + 1]] if len(keys) > d else _single(toks)
-
-
-def probed_keys(toks: np.ndarray, t: float, rank: np.ndarray) -> np.ndarray:
-    """The keys that meet every stored set of similarity t: the segments at each level of an allowed length, and the prefix of the tokens, the rarest first."""
-    n = len(toks)
-    u = np.sort(toks[rank == 0].view(np.uint64))
-    levels = range(_level(int(np.ceil(t * n - 1e-9))), _level(int(n / t + 1e-9)) + 1)
-    prefix = toks[np.argsort(rank, kind="stable")][: n - int(np.ceil(t * n - 1e-9)) + 1]
-    return np.concatenate([*[_segments(u, level)[0] for level in levels], _single(prefix)])
+def _places(owner: np.ndarray) -> np.ndarray:
+    """Each element's place among those of its owner (owners in order)."""
+    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    return np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
+
+
+class Cut:
+    """Many sets at once: their tokens one after the other, rank above 0 for frequent tokens, n the sets' sizes."""
+
+    def __init__(self, toks: np.ndarray, n: np.ndarray, rank: np.ndarray, t: float):
+        self.t, self.n = t, n
+        owner = np.repeat(np.arange(len(n)), n)
+        by = np.lexsort((toks.view(np.uint64), owner))
+        self.toks, self.rank, self.owner = toks[by], rank[by], owner[by]
+        rare = self.rank == 0
+        self.u, self.of = self.toks[rare].view(np.uint64), self.owner[rare]
+        self.mixed = S._mix(self.u)
+
+    def _segments(self, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The filled segments' keys, numbers of tokens and owners; a set of level below 0 has none."""
+        on = level[self.of] >= 0
+        u, of, mixed = self.u[on], self.of[on], self.mixed[on]
+        if not len(u):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        depth = level[of].astype(np.uint64)
+        pos = np.where(depth > 0, u >> (np.uint64(64) - np.maximum(depth, np.uint64(1))), np.uint64(0))
+        at = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (of[1:] != of[:-1])])
+        h = np.add.reduceat(mixed, at)
+        keys = S._mix(h ^ S._mix(pos[at] * np.uint64(64) + depth[at]))
+        return keys.view(np.int64), np.diff(np.r_[at, len(u)]), of[at]
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and owners: D + 1 segments of each set, those of most tokens, else each token."""
+        keys, size, owner = self._segments(_level(self.n))
+        most = np.floor((1 - self.t) / self.t * self.n + 1e-9).astype(np.int64)
+        enough = np.bincount(owner, minlength=len(self.n)) > most
+        by = np.lexsort((-size, owner))
+        keys, owner = keys[by], owner[by]
+        ok = enough[owner] & (_places(owner) <= most[owner])
+        few = ~enough[self.owner]
+        return np.concatenate([keys[ok], _single(self.toks[few])]), np.concatenate([owner[ok], self.owner[few]])
+
+    def probed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and owners that meet every stored set of similarity t: the segments at each level of an allowed length, and the prefix of the tokens, the rarest first."""
+        least = np.ceil(self.t * self.n - 1e-9).astype(np.int64)
+        lo, hi = _level(least), _level(np.floor(self.n / self.t + 1e-9).astype(np.int64))
+        keys, owners = [], []
+        for step in range(int((hi - lo).max()) + 1 if len(lo) else 0):
+            k, _, owner = self._segments(np.where(lo + step <= hi, lo + step, -1))
+            keys.append(k)
+            owners.append(owner)
+        by = np.lexsort((self.rank, self.owner))
+        owner = self.owner[by]
+        ok = _places(owner) < (self.n - least + 1)[owner]
+        return np.concatenate([*keys, _single(self.toks[by[ok]])]), np.concatenate([*owners, owner[ok]])
 
 
 def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
@@ -94,7 +122,7 @@ def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, toks = [], []
+            rows, toks, wide = [], [], []
             for cid, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 w = S.words(text)
                 if len(w) >= max(least_words, k):
@@ -102,21 +130,17 @@ def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
                     sig, c = S.signature(x)
                     rows.append((cid, key, len(x), c, *sig.view(np.int64).tolist()))
                     toks.append(x)
+                    wide.append(S.wide_signature(x))
             cols = list(zip(*rows)) or [()] * (4 + S.SIG_WORDS)
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)] + [S.lists(toks, pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)] + [S.lists(toks, pa.int64()), S.lists(wide, pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
 
     return texts.select("cid", "md5", "content").mapInArrow(run, TABLES["sets"][0])
 
 
-def _rows(column: pa.ListArray) -> list[np.ndarray]:
-    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [flat[offsets[i] : offsets[i + 1]] for i in range(len(column))]
-
-
-def _keyed(cids: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(cids, np.int64), [len(x) for x in keys]))], names=["key", "cid"])
+def _cut(column: pa.ListArray, freq: S.Frequencies, t: float) -> Cut:
+    toks = column.flatten().to_numpy(zero_copy_only=False)
+    return Cut(toks, np.diff(column.offsets.to_numpy()), freq.ranks(toks), t)
 
 
 def delivered(df: DataFrame, row_id: str, content: str, file_hash: str, identity: list[str], at: Column) -> DataFrame:
@@ -208,23 +232,27 @@ class SegmentIndex:
         def run(batches):
             freq, any_, several, inside = shared.value
             for batch in batches:
-                cids, keys = batch.column(0).to_pylist(), []
-                for x in _rows(batch.column(1)):
-                    rank = freq.ranks(x)
-                    p = np.unique(probed_keys(x, t, rank))
-                    p = p[S.in_bitmap(any_, p)]
-                    if inside:
-                        p = p[S.in_bitmap(several, p) | ~np.isin(p, stored_keys(x, t, rank))]
-                    keys.append(p)
-                yield _keyed(cids, keys)
-
-        probes = materialize(new.select("cid", "toks").mapInArrow(run, "key long, cid long"), "probes")
+                cut = _cut(batch.column(len(signs)), freq, t)
+                keys, owner = cut.probed()
+                ok = S.in_bitmap(any_, keys)
+                keys, owner = keys[ok], owner[ok]
+                if inside:
+                    own, by = cut.stored()
+                    mark = lambda k, o: S._mix(k.view(np.uint64) + S._mix(o.astype(np.uint64) + np.uint64(1)))
+                    ok = S.in_bitmap(several, keys) | ~np.isin(mark(keys, owner), mark(own, by))
+                    keys, owner = keys[ok], owner[ok]
+                at = pa.array(owner)
+                for lo in range(0, len(keys), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), *[batch.column(i).take(at[part]) for i in range(len(signs))]], names=["key", *signs])
+
         signs = ["cid", "n", "c", *SIG]
+        probes = materialize(new.select(*signs, "toks").mapInArrow(run, f"key long, cid long, {SIGNS}"), "probes")
         sets = self._read("sets", *more)
         met = stored.join(probes.select("key").distinct(), "key", "left_semi")
-        entries = met.join(sets.select(*signs), "cid").withColumn("role", F.lit(1 | 64)).unionByName(probes.join(new.select(*signs), "cid").withColumn("role", F.lit(2 | 32)))
-        whole = sets.select("cid", "n", "toks")
-        return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t), whole if load else whole.unionByName(new.select("cid", "n", "toks")), t)
+        entries = met.join(sets.select(*signs), "cid").withColumn("role", F.lit(1 | 64)).unionByName(probes.withColumn("role", F.lit(2 | 32)))
+        whole = sets.select("cid", "n", "toks", "wide")
+        return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t), whole if load else whole.unionByName(new.select("cid", "n", "toks", "wide")), t)
 
     def accept(self, load: str, rows: DataFrame) -> None:
         """Add rows (see delivered) as a load of this name, unless it is committed already."""
@@ -240,7 +268,8 @@ class SegmentIndex:
 
             def run(batches):
                 for batch in batches:
-                    yield _keyed(batch.column(0).to_pylist(), [stored_keys(x, t, shared.value.ranks(x)) for x in _rows(batch.column(1))])
+                    keys, owner = _cut(batch.column(1), shared.value, t).stored()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(owner))], names=["key", "cid"])
 
             self._write("segments", load, new.select("cid", "toks").mapInArrow(run, "key long, cid long"))
             self._write("links", load, self._links(new, load))

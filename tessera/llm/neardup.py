@@ -31,7 +31,7 @@ CHUNK = 512
 
 
 def _ordered(sets: DataFrame, t: float) -> DataFrame:
-    """(cid, n, p, toks, c, s*): sets without tokens seen once, in the order of the prefix filter; sets that cannot have a partner are left out."""
+    """(cid, n, p, toks, wide, c, s*): sets without tokens seen once, in the order of the prefix filter; sets that cannot have a partner are left out."""
     freq = S.frequencies(sets)
     shared = sets.sparkSession.sparkContext.broadcast(freq)
 
@@ -42,7 +42,7 @@ def _ordered(sets: DataFrame, t: float) -> DataFrame:
             col = batch.column(1)
             offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
             again, rank = f.repeated(flat), f.ranks(flat)
-            out, toks = [], []
+            out, toks, wide = [], [], []
             for i, cid in enumerate(cids):
                 at = slice(offsets[i], offsets[i + 1])
                 n = at.stop - at.start
@@ -53,11 +53,12 @@ def _ordered(sets: DataFrame, t: float) -> DataFrame:
                 sig, c = S.signature(rest)
                 out.append((cid, n, min(p, len(rest)), c, *sig.view(np.int64).tolist()))
                 toks.append(rest[np.argsort(r, kind="stable")])
+                wide.append(S.wide_signature(rest))
             cols = [np.array(x) for x in zip(*out)] or [np.empty(0, np.int64)] * (4 + S.SIG_WORDS)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)] + [S.lists(toks, pa.int64())], names=["cid", "n", "p", "c", *[f"s{i}" for i in range(S.SIG_WORDS)], "toks"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)] + [S.lists(toks, pa.int64()), S.lists(wide, pa.int64())], names=["cid", "n", "p", "c", *[f"s{i}" for i in range(S.SIG_WORDS)], "toks", "wide"])
 
-    schema = "cid long, n int, p int, c int, " + ", ".join(f"s{i} long" for i in range(S.SIG_WORDS)) + ", toks array<long>"
+    schema = "cid long, n int, p int, c int, " + ", ".join(f"s{i} long" for i in range(S.SIG_WORDS)) + ", toks array<long>, wide array<long>"
     return sets.select("cid", "toks").mapInArrow(run, schema)
 
 

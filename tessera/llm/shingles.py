@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tessera.plans.tables import materialize, release
 
 WORD = re.compile(r"[a-z0-9_]+|[一-鿿]")
-#: least and most bits (as powers of 2) of the table that tells tokens seen once from others, and most entries of the list of frequent tokens
-SEEN_BITS, MOST_FREQUENT = (20, 27), 1 << 16
-SIG_WORDS = 4
+#: least and most bits (as powers of 2) of a bitmap of tokens or keys, and most entries of the list of frequent tokens
+BITMAP, MOST_FREQUENT = (20, 28), 1 << 16
+#: words of a set's token bitmap in the trees, and of the one that candidates are held against before their sets are
+SIG_WORDS, WIDE_WORDS = 4, 16
 #: entries of a block that is cut into cells, of a cell, and of a task's tree (a block more); cells or nodes of a node above
 HOT_BLOCK, CELL, CHUNK, CELL_FAN = 4096, 2048, 1 << 17, 16
 ENTRY = "key long, cid long, n int, c int, role int, " + ", ".join(f"s{i} long" for i in range(SIG_WORDS))
@@ -99,8 +100,8 @@ def shingle_sets(classes: DataFrame, k: int, least_words: int) -> DataFrame:
 class Frequencies:
     """What fits in a fixed space of the shingles' record counts.
 
-    seen: a bitmap of at most 2**27 bits (16 MB), a token's bit clear only if one record
-    at most holds it; hot, rank: the at most MOST_FREQUENT tokens of more than
+    seen: a bitmap of at most 2**28 bits (32 MB), one of a token's bits clear only if one
+    record at most holds it; hot, rank: the at most MOST_FREQUENT tokens of more than
     total / MOST_FREQUENT records, with their place by rising count. Both have a
     bound that doesn't grow with the data. A full bitmap only costs speed.
     """
@@ -121,21 +122,26 @@ class Frequencies:
 
 
 def key_bitmaps(counts: DataFrame, total: int, column: str = "key") -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the low bits of all keys, and of those of a count f above 1: some four bits or more for each of total keys, at most 2**27 bits."""
-    power = min(SEEN_BITS[1], max(SEEN_BITS[0], int(total).bit_length() + 2))
-    word = F.shiftright(F.col(column).bitwiseAND(F.lit((1 << power) - 1)), 6)
-    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
-    bits = counts.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b"), F.coalesce(F.bit_or(F.when(F.col("f") > 1, bit)), F.lit(0)).cast("long").alias("c")).toArrow()
+    """Bitmaps of two hashes of all keys, and of those of a count f above 1: 16 bits or more for each of total keys, as far as BITMAP allows."""
+    power = min(BITMAP[1], max(BITMAP[0], int(total).bit_length() + 4))
+    bits = [F.shiftrightunsigned(F.col(column), x).bitwiseAND(F.lit((1 << power) - 1)) for x in (0, 64 - power)]
+    rows = counts.select("f", F.explode(F.array(*bits)).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    got = rows.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("b"), F.coalesce(F.bit_or(F.when(F.col("f") > 1, bit)), F.lit(0)).cast("long").alias("c")).toArrow()
     out = []
     for x in "bc":
         out.append(np.zeros(1 << (power - 6), np.uint64))
-        out[-1][bits["w"].to_numpy()] = bits[x].to_numpy().view(np.uint64)
+        out[-1][got["w"].to_numpy()] = got[x].to_numpy().view(np.uint64)
     return out[0], out[1]
 
 
 def in_bitmap(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    b = keys & (64 * len(seen) - 1)
-    return (seen[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+    u, ok = keys.view(np.uint64), np.ones(len(keys), bool)
+    power = 6 + (len(seen) - 1).bit_length()
+    for x in (0, 64 - power):
+        at = (u >> np.uint64(x)) & np.uint64((1 << power) - 1)
+        ok &= (seen[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
 
 
 def frequencies(sets: DataFrame) -> Frequencies:
@@ -153,12 +159,17 @@ def frequencies(sets: DataFrame) -> Frequencies:
     return Frequencies(seen, tok[by], rank[by])
 
 
-def signature(toks: np.ndarray) -> tuple[np.ndarray, int]:
-    """The token bitmap as SIG_WORDS words, and how many tokens share a bit with an earlier one."""
-    b = _mix(toks.view(np.uint64)) % np.uint64(64 * SIG_WORDS)
-    sig = np.zeros(SIG_WORDS, np.uint64)
-    np.bitwise_or.at(sig, (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-    return sig, len(toks) - int(np.bitwise_count(sig).sum())
+def signature(toks: np.ndarray, size: int = SIG_WORDS) -> tuple[np.ndarray, int]:
+    """The token bitmap as size words, and how many tokens share a bit with an earlier one."""
+    bits = np.zeros(64 * size, np.uint8)
+    bits[(_mix(toks.view(np.uint64)) % np.uint64(64 * size)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.uint64), len(toks) - int(bits.sum())
+
+
+def wide_signature(toks: np.ndarray) -> np.ndarray:
+    """A wider token bitmap, with the number of shared bits at its end."""
+    sig, c = signature(toks, WIDE_WORDS)
+    return np.r_[sig.view(np.int64), c]
 
 
 def least_overlap(na, nb, t: float):
@@ -335,14 +346,20 @@ def _cells(entries: DataFrame, t: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, distance, sim): the pairs whose sets (cid, n, toks) have similarity t; toks may lack tokens that only one set holds, n counts them.
+    """(a, b, distance, sim): the pairs whose sets (cid, n, toks, wide) have similarity t; toks may lack tokens that only one set holds, n counts them.
 
     As strings in hash order the sets are distance insertions and deletions
-    apart; a similarity of t allows (1 - t) / (1 + t) of both lengths.
+    apart; a similarity of t allows (1 - t) / (1 + t) of both lengths. Pairs
+    whose wide bitmaps show a greater distance end there, before the strings
+    are fetched.
     """
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("toks").alias(f"t{x}"))
-    total = F.col("na") + F.col("nb")
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", total.alias("total"), (total - 2 * F.size(F.array_intersect("ta", "tb"))).alias("distance"))
+    side = lambda x, *cs: sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs])
+    total = F.col("n_a") + F.col("n_b")
     bound = F.floor((1 - t) / (1 + t) * F.col("total") + 1e-9)
+    both = F.zip_with(F.slice("wide_a", 1, WIDE_WORDS), F.slice("wide_b", 1, WIDE_WORDS), lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    most = F.aggregate(both, F.lit(0), lambda s, x: s + x) + F.least(F.element_at("wide_a", WIDE_WORDS + 1), F.element_at("wide_b", WIDE_WORDS + 1))
+    close = pairs.join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b").select("a", "b", total.alias("total"), most.alias("most"))
+    close = close.where(F.col("total") - 2 * F.col("most") <= bound).select("a", "b", "total")
+    met = close.join(side("a", "toks"), "a").join(side("b", "toks"), "b").select("a", "b", "total", (F.col("total") - 2 * F.size(F.array_intersect("toks_a", "toks_b"))).alias("distance"))
     sim = (F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))
     return met.where(F.col("distance") <= bound).select("a", "b", "distance", sim.alias("sim")).where(F.col("sim") >= t)

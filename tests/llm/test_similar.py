@@ -104,6 +104,7 @@ def test_tree_in_chunks_and_many_copies(spark, monkeypatch):
 def test_segments_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     met = apart = 0
+    far = np.unique(rng.integers(-(2**63), 2**63 - 1, 40))
     for trial in range(600):
         n, t = int(rng.integers(1, 150)), float(rng.choice([0.5, 0.7, 0.8]))
         x = rng.integers(-(2**63), 2**63 - 1, n)
@@ -114,14 +115,25 @@ def test_segments_of_similar_sets_meet():
         rank = lambda s: np.array([int(v in hot) for v in s.tolist()])
         for a, b in ((x, y), (y, x)):
             a, b = np.unique(a), np.unique(b)
-            meet = np.isin(H.probed_keys(a, t, rank(a)), H.stored_keys(b, t, rank(b))).any()
+            # beside a set of its own, whose keys are the other's
+            x1, y1 = H.Cut(np.r_[a, far], np.array([len(a), 40]), np.r_[rank(a), np.zeros(40, int)], t), H.Cut(np.r_[far, b], np.array([40, len(b)]), np.r_[np.zeros(40, int), rank(b)], t)
+            (p, po), (s, so) = x1.probed(), y1.stored()
+            meet = np.isin(p[po == 0], s[so == 1]).any()
+            assert np.isin(s[so == 0], p[po == 1]).any()
             if len({*x} & {*y}) / len({*x} | {*y}) >= t:
                 assert meet, (trial, n, t)
                 met += 1
             apart += not meet
     assert met > 200 and apart > 50
-    far = [np.unique(rng.integers(-(2**63), 2**63 - 1, 100)) for _ in range(2)]
-    assert not np.isin(H.probed_keys(far[0], 0.7, np.zeros(100)), H.stored_keys(far[1], 0.7, np.zeros(100))).any()
+
+
+def test_bitmaps_hold_all_keys(spark):
+    rng = np.random.default_rng(8)
+    keys = rng.integers(-(2**63), 2**63 - 1, 3000)
+    counts = spark.createDataFrame([(int(k), 1 + i % 2) for i, k in enumerate(keys)], "key long, f long")
+    any_, several = S.key_bitmaps(counts, 3000)
+    assert S.in_bitmap(any_, keys).all() and S.in_bitmap(several, keys[1::2]).all() and S.in_bitmap(several, keys[::2]).mean() < 0.05
+    assert S.in_bitmap(any_, rng.integers(-(2**63), 2**63 - 1, 3000)).mean() < 0.05
 
 
 def test_groups(spark):
