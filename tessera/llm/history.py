@@ -44,10 +44,10 @@ SIG = [f"s{i}" for i in range(S.SIG_WORDS)]
 SIGNS = "n int, c int, " + ", ".join(f"{s} long" for s in SIG)
 #: the tables of an index: columns, and the one whose hash makes the buckets
 TABLES = {
-    "sets": (f"cid long, md5 string, {SIGNS}, toks array<long>, wide array<long>", "cid"),
+    "sets": (f"cid long, md5 binary, {SIGNS}, toks array<long>, wide array<long>", "cid"),
     "segments": ("key long, cid long", "key"),
     "links": ("a long, b long, distance long", "a"),
-    "members": ("cid long, who string, at long", "cid"),
+    "members": ("md5 binary, who binary, at long", "md5"),
     "hashes": ("h string, at long", "h"),
 }
 
@@ -132,7 +132,7 @@ def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
                     toks.append(x)
                     wide.append(S.wide_signature(x))
             cols = list(zip(*rows)) or [()] * (4 + S.SIG_WORDS)
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)] + [S.lists(toks, pa.int64()), S.lists(wide, pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
 
     return texts.select("cid", "md5", "content").mapInArrow(run, TABLES["sets"][0])
@@ -146,13 +146,13 @@ def _cut(column: pa.ListArray, freq: S.Frequencies, t: float) -> Cut:
 def delivered(df: DataFrame, row_id: str, content: str, file_hash: str, identity: list[str], at: Column) -> DataFrame:
     """(row, who, at, h, md5, content): rows as an index takes them; at is their place in the order of batches, those without one are left out."""
     who = F.to_json(F.struct(*[F.col(c).cast("string").alias(str(i)) for i, c in enumerate(identity)]))
-    return df.select(F.col(row_id).cast("long").alias("row"), who.alias("who"), at.cast("long").alias("at"), plain_hash(F.col(file_hash)).alias("h"), F.md5(F.col(content).cast("binary")).alias("md5"), F.col(content).alias("content")).where("at is not null")
+    return df.select(F.col(row_id).cast("long").alias("row"), S.text_key(who).alias("who"), at.cast("long").alias("at"), plain_hash(F.col(file_hash)).alias("h"), S.text_key(F.col(content)).alias("md5"), F.col(content).alias("content")).where("at is not null")
 
 
-def _first_two(rows: DataFrame) -> DataFrame:
-    """Of (cid, who, at): for each class its two earliest (at, who) of different who; limited before the shuffle."""
-    least = rows.groupBy("cid", "who").agg(F.min("at").alias("at"))
-    w = Window.partitionBy("cid").orderBy("at", "who")
+def _first_two(rows: DataFrame, of: str = "cid") -> DataFrame:
+    """Of (of, who, at): for each of its two earliest (at, who) of different who; limited before the shuffle."""
+    least = rows.groupBy(of, "who").agg(F.min("at").alias("at"))
+    w = Window.partitionBy(of).orderBy("at", "who")
     return least.withColumn("k", F.row_number().over(w)).where("k <= 2").drop("k")
 
 
@@ -214,8 +214,8 @@ class SegmentIndex:
     def _frequent(self, sets: DataFrame) -> S.Frequencies:
         """The frequent tokens: of the first load, kept with the index."""
         if not self._exists("frequent/_SUCCESS"):
-            f = S.frequencies(sets)
-            self.spark.createDataFrame([(f.hot.tolist(), f.rank.tolist())], "hot array<long>, place array<long>").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/frequent")
+            hot, rank = S.frequent(sets)
+            self.spark.createDataFrame([(hot.tolist(), rank.tolist())], "hot array<long>, place array<long>").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/frequent")
         kept = self.spark.read.parquet(f"{self.root}/frequent").first()
         return S.Frequencies(np.zeros(1, np.uint64), np.array(kept.hot, np.int64), np.array(kept.place, np.int64))
 
@@ -273,8 +273,7 @@ class SegmentIndex:
 
             self._write("segments", load, new.select("cid", "toks").mapInArrow(run, "key long, cid long"))
             self._write("links", load, self._links(new, load))
-            classes = self._read("sets", load).select("md5", "cid")
-            self._write("members", load, rows.groupBy("md5", "who").agg(F.min("at").alias("at")).join(classes, "md5").groupBy("cid", "who").agg(F.min("at").alias("at")))
+            self._write("members", load, rows.where(F.length("content") >= self.least_words).groupBy("md5", "who").agg(F.min("at").alias("at")))
             self._write("hashes", load, rows.where("h is not null").groupBy("h").agg(F.min("at").alias("at")))
         self._fs.create(self._path(f"loads/{load}"), True).close()
 
@@ -296,7 +295,8 @@ class SegmentIndex:
             # ids of unknown contents are below 0
             both = both.unionByName(self._links(new).select("a", "b"))
         member = materialize(seen.where("not same").join(known, "md5").select("cid", "row", "who", "at"), "member")
-        two = materialize(_first_two(self._read("members")), "two")
+        two = _first_two(self._read("members"), "md5").join(self._read("sets").select("md5", "cid"), "md5").select("cid", "who", "at")
+        two = materialize(two, "two")
         beside = both.withColumnsRenamed({"a": "cid", "b": "to"}).join(two.withColumnRenamed("cid", "to"), "to").select("cid", "who", "at")
         early = _first_two(two.unionByName(beside)).groupBy("cid").agg(F.min(F.struct("at", "who")).alias("e1"), F.max(F.struct("at", "who")).alias("e2"))
         e = F.when(F.col("e1.who") != F.col("who"), F.col("e1.at")).when(F.col("e2.who") != F.col("who"), F.col("e2.at"))

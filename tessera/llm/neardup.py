@@ -87,7 +87,7 @@ def row_pairs(df: DataFrame, classes: DataFrame, links: DataFrame, row_id: str,
     joined, so that a class of many copies is spread over the tasks.
     """
     ident = F.struct(*[F.col(c) for c in identity])
-    rows = df.where(F.col(content).isNotNull()).select(F.col(row_id).alias("row"), ident.alias("who"), F.md5(F.col(content).cast("binary")).alias("md5"))
+    rows = df.where(F.col(content).isNotNull()).select(F.col(row_id).alias("row"), ident.alias("who"), S.text_key(F.col(content)).alias("md5"))
     rows = rows.join(classes, "md5").select("cid", "row", "who")
     sizes = rows.groupBy("cid").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"), (F.count(F.lit(1)) > 1).alias("several"))
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chunks, history, neardup, packing, quality, ranks, terms, vectors
+from tessera.llm import bpe, chunks, history, neardup, packing, quality, ranks, shingles, terms, vectors
 from tessera.plans.tables import materialize, table
 
 SIMILAR, RUN, LEAST_WORDS = 0.7, 3, 30
@@ -23,7 +23,7 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     classes, links = neardup.near_duplicates(items, "row_seq", "content", SIMILAR, RUN, LEAST_WORDS)
     roots = neardup.components(links)
     degree = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    rows = items.where("content is not null").select("row_seq", F.md5(F.col("content").cast("binary")).alias("md5")).join(classes, "md5")
+    rows = items.where("content is not null").select("row_seq", shingles.text_key(F.col("content")).alias("md5")).join(classes, "md5")
     return (
         rows.join(roots, rows.cid == roots.node, "left")
         .join(degree, rows.cid == degree.a, "left")

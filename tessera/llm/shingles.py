@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.tables import materialize, release
@@ -68,12 +68,17 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def text_key(text: Column) -> Column:
+    """The MD5 of a text, as 16 bytes."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def content_classes(df: DataFrame, row_id: str, content: str, least_chars: int) -> DataFrame:
     """(md5, cid, content): one row for each distinct content of at least least_chars characters, combined before the shuffle."""
     text = F.col(content)
     return (
         df.where(text.isNotNull() & (F.length(text) >= least_chars))
-        .select(F.col(row_id).alias("r"), text.alias("content"), F.md5(text.cast("binary")).alias("md5"))
+        .select(F.col(row_id).alias("r"), text.alias("content"), text_key(text).alias("md5"))
         .groupBy("md5")
         .agg(F.min("r").alias("cid"), F.first("content").alias("content"))
     )
@@ -91,9 +96,9 @@ def shingle_sets(classes: DataFrame, k: int, least_words: int) -> DataFrame:
                     cids.append(cid)
                     keys.append(key)
                     sets.append(shingle_hashes(w, k))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(keys, pa.string()), lists(sets, pa.int64())], names=["cid", "md5", "toks"])
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(keys, pa.binary()), lists(sets, pa.int64())], names=["cid", "md5", "toks"])
 
-    return classes.select("cid", "md5", "content").mapInArrow(run, "cid long, md5 string, toks array<long>")
+    return classes.select("cid", "md5", "content").mapInArrow(run, "cid long, md5 binary, toks array<long>")
 
 
 @dataclass
@@ -144,19 +149,32 @@ def in_bitmap(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def frequencies(sets: DataFrame) -> Frequencies:
-    counts = materialize(
-        sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "df"
-    )
-    total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    seen, _ = key_bitmaps(counts, total, "tok")
-    frequent = counts.where(F.col("f") > max(8, total // MOST_FREQUENT)).toArrow()
-    tok, f = frequent["tok"].to_numpy(), frequent["f"].to_numpy()
+def _counted(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+
+
+def _ranked(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = frequent.toArrow()
+    tok, f = got["tok"].to_numpy(), got["f"].to_numpy()
     rank = np.empty(len(tok), np.int64)
     rank[np.lexsort((tok, f))] = np.arange(1, len(tok) + 1)
     by = np.argsort(tok)
+    return tok[by], rank[by]
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent tokens of all sets and their ranks, at most MOST_FREQUENT."""
+    total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
+    return _ranked(_counted(sets).where(F.col("f") > max(8, total // MOST_FREQUENT)))
+
+
+def frequencies(sets: DataFrame) -> Frequencies:
+    counts = materialize(_counted(sets).where("f > 1"), "df")
+    total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
+    seen, _ = key_bitmaps(counts, total, "tok")
+    hot, rank = _ranked(counts.where(F.col("f") > max(8, total // MOST_FREQUENT)))
     release(counts)
-    return Frequencies(seen, tok[by], rank[by])
+    return Frequencies(seen, hot, rank)
 
 
 def signature(toks: np.ndarray, size: int = SIG_WORDS) -> tuple[np.ndarray, int]:
