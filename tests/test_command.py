@@ -22,10 +22,10 @@ def test_index_search_and_eval(spark, tree, tmp_path, capsys):  # noqa: F811
 
     code, text = run("index", "--root", str(tree), "--repo", "r")
     assert code == 0 and json.loads(text)["items_written"] == 7
-    code, text = run("search", "payment message build", "--repo", "r")
-    assert code == 0 and "PaymentMessageBuilder" in json.loads(text.splitlines()[0])["id"]
+    code, text = run("search", "tide gauge level", "--repo", "r")
+    assert code == 0 and "TideGauge" in json.loads(text.splitlines()[0])["id"]
     tasks = tmp_path / "tasks.json"
-    tasks.write_text(json.dumps({"schema_version": 1, "groups": {"g": {"samples": [sample("g", "a", path="src/example/PaymentMessageBuilder.java") | {"task": "payment message build"}]}}}))
+    tasks.write_text(json.dumps({"schema_version": 1, "groups": {"g": {"samples": [sample("g", "a", path="src/harbour/TideGauge.java") | {"task": "tide gauge level"}]}}}))
     assert run("eval", "--tasks", str(tasks), "--validate-only") == (0, f"valid: {tasks} (1 groups, 1 samples)\n")
     code, text = run("eval", "--tasks", str(tasks), "--repo", "r", "--format", "json")
     assert code == 0 and json.loads(text)["groups"]["_summary"]["hit_rate"] == 1.0
@@ -37,11 +37,11 @@ def test_index_search_and_eval(spark, tree, tmp_path, capsys):  # noqa: F811
 
 
 CORPUS = [
-    ("code", "OrderService.create"), ("code", "OrderService.cancel"), ("code", "RefundHandler.handle"), ("code", "InvoicePrinter.print"), ("code", "LedgerExporter.export"), ("code", "AuditTrail.append"),
+    ("code", "OrderService.create"), ("code", "OrderService.cancel"), ("code", "RefundHandler.handle"), ("code", "RopeCounter.count"), ("code", "LedgerExporter.export"), ("code", "AuditTrail.append"),
     ("db_schema", "order_header"), ("db_schema", "refund_request"), ("db_schema", "ledger_entry"), ("db_schema", "audit_event"), ("doc", "Refund rules"), ("doc", "Ledger export"), ("doc", "Audit guide"), ("doc", "Order states"),
 ]
 TASKS = [
-    ("code", "cancel an order in OrderService", "OrderService.cancel"), ("code", "who handles a refund", "RefundHandler.handle"), ("code", "print the invoice", "InvoicePrinter.print"), ("code", "append to the audit trail", "AuditTrail.append"),
+    ("code", "cancel an order in OrderService", "OrderService.cancel"), ("code", "who handles a refund", "RefundHandler.handle"), ("code", "count the rope", "RopeCounter.count"), ("code", "append to the audit trail", "AuditTrail.append"),
     ("db_schema", "columns of the refund request table", "refund_request"), ("db_schema", "ledger entry table", "ledger_entry"), ("db_schema", "audit event table", "audit_event"), ("doc", "rules for a refund", "Refund rules"), ("doc", "how the ledger is exported", "Ledger export"), ("doc", "states of an order", "Order states"),
 ]
 

@@ -12,9 +12,9 @@ from tests.test_search import REPO, engine, item, items, seed
 
 def test_task_context(spark):
     data = seed(spark).withColumn("file_hash", F.lit("h")).withColumn("indexed_at", F.current_timestamp())
-    c = engine(spark, data).build_task_context("payment message order integration", repo=REPO)
+    c = engine(spark, data).build_task_context("tide gauge mooring watch", repo=REPO)
     rows = {r.id: (r.group, r.evidence_role) for r in c.groups.collect()}
-    assert rows["code:PaymentMessageBuilder.build"] == ("related_code", "primary") and rows["doc:Payment Integration"] == ("related_docs", "background")
+    assert rows["code:TideGauge.level"] == ("related_code", "primary") and rows["doc:Night Watch"] == ("related_docs", "background")
     assert not any(g == "similar_implementations" for g, _ in rows.values())
     risk = c.risks.first()
     assert risk.missing == [] and risk.risks == [] and c.citations.count() == len(rows)
@@ -23,8 +23,8 @@ def test_task_context(spark):
 
 def test_foreign_repo_and_tiny_budget(spark):
     e = engine(spark, seed(spark))
-    assert e.build_task_context("payment", repo="elsewhere").risks.first().missing == ["code", "db_schema", "doc"]
-    c = e.build_task_context("payment message", repo=REPO, token_budget=1)
+    assert e.build_task_context("tide", repo="elsewhere").risks.first().missing == ["code", "db_schema", "doc"]
+    c = e.build_task_context("tide gauge", repo=REPO, token_budget=1)
     assert [r.group for r in c.groups.collect()] == ["related_code"] and c.citations.count() == 1
     risk = c.risks.first()
     assert risk.missing == ["db_schema", "doc"] and [r.code for r in risk.risks] == ["MISSING_CONTEXT", "MISSING_CONTEXT", "INCOMPLETE_PROVENANCE"]

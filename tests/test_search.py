@@ -9,7 +9,7 @@ from tessera.plans.store import last_wins
 from tessera.sources import aliases
 from tessera.sources.schema import EMBEDDING, ITEM, SYMBOL, names
 
-REPO = "git.example.com/payments/service"
+REPO = "git.example.com/harbour/quay"
 
 
 def item(id, title, content="", kind="code", repo=REPO, **more):
@@ -30,10 +30,10 @@ def items(spark, *rows):
 def seed(spark):
     return items(
         spark,
-        item("code:PaymentMessageBuilder.build", "PaymentMessageBuilder.build", "build payment message from order data"),
-        item("code:InvoicePrinter.print", "InvoicePrinter.print", "print the invoice"),
-        item("db_schema:payment_order", "payment_order", "payment order table", "db_schema"),
-        item("doc:Payment Integration", "Payment Integration", "how payments are integrated", "doc"),
+        item("code:TideGauge.level", "TideGauge.level", "level of the tide at the gauge for a mooring"),
+        item("code:RopeCounter.count", "RopeCounter.count", "print the invoice"),
+        item("db_schema:mooring", "mooring", "ropes of a mooring, tide by tide", "db_schema"),
+        item("doc:Night Watch", "Night Watch", "how the night watch reads the tide", "doc"),
     )
 
 
@@ -54,18 +54,18 @@ def found(answer):
 
 
 def test_keyword_hit_comes_first(spark):
-    rows = engine(spark, seed(spark)).search_code("payment message build", 2).results.collect()
-    assert [r.id for r in rows] == ["code:PaymentMessageBuilder.build"] and rows[0].score_parts.keyword == 1.0 and rows[0].match_reason.startswith("keyword/lexical hit: build, message, payment")
+    rows = engine(spark, seed(spark)).search_code("tide gauge level", 2).results.collect()
+    assert [r.id for r in rows] == ["code:TideGauge.level"] and rows[0].score_parts.keyword == 1.0 and rows[0].match_reason.startswith("keyword/lexical hit: gauge, level, tide")
 
 
 def test_filters_and_repos_apart(spark):
-    data = items(spark, item("a", "payment one", path="x/a"), item("b", "payment two", path="y/b", language="sql"), item("a", "payment other", repo="other"))
+    data = items(spark, item("a", "tide one", path="x/a"), item("b", "tide two", path="y/b", language="sql"), item("a", "tide other", repo="other"))
     e = engine(spark, data)
-    assert found(e.search_code("payment", filters={"repo": REPO, "path_prefix": "x/"})) == ["a"]
-    assert found(e.search_code("payment", filters={"repo": REPO, "language": "sql"})) == ["b"]
-    assert found(e.search_code("payment", filters={"repo": "other"})) == ["a"]
-    assert found(e.search_code("payment", filters={"repo": REPO, "symbol_type": ["class"]})) == []
-    every = e.search_code("payment")
+    assert found(e.search_code("tide", filters={"repo": REPO, "path_prefix": "x/"})) == ["a"]
+    assert found(e.search_code("tide", filters={"repo": REPO, "language": "sql"})) == ["b"]
+    assert found(e.search_code("tide", filters={"repo": "other"})) == ["a"]
+    assert found(e.search_code("tide", filters={"repo": REPO, "symbol_type": ["class"]})) == []
+    every = e.search_code("tide")
     assert len(found(every)) == 3 and [x.code for x in every.risks.first().risks] == ["CROSS_REPO_RESULTS"]
 
 
@@ -86,16 +86,16 @@ def test_match_count_ranks_before_the_cap(spark):
 
 
 def test_vector_channel(spark):
-    data, vectors = seed(spark), [("code:PaymentMessageBuilder.build", [1.0, 0.0, 0.0]), ("code:InvoicePrinter.print", [0.0, 1, 0])]
+    data, vectors = seed(spark), [("code:TideGauge.level", [1.0, 0.0, 0.0]), ("code:RopeCounter.count", [0.0, 1, 0])]
     rows = engine(spark, data, vectors).search_code("unmatched text", vector=[0, 1, 0]).results.collect()
-    assert [(r.id, r.score_parts.vector) for r in rows] == [("code:InvoicePrinter.print", 1.0)]
+    assert [(r.id, r.score_parts.vector) for r in rows] == [("code:RopeCounter.count", 1.0)]
     with pytest.raises(V.DimensionError):
         engine(spark, data, vectors).search_code("x", vector=[1, 0])
 
 
 def test_channels_are_merged(spark):
-    data = items(spark, item("k", "rare payment"), item("v", "other"))
-    rows = engine(spark, data, [("v", [1.0, 0.0, 0.0])]).search_code("rare payment", vector=[1, 0, 0]).results.orderBy("rank").collect()
+    data = items(spark, item("k", "rare tide"), item("v", "other"))
+    rows = engine(spark, data, [("v", [1.0, 0.0, 0.0])]).search_code("rare tide", vector=[1, 0, 0]).results.orderBy("rank").collect()
     assert [(r.id, r.score_parts.keyword, r.score_parts.vector) for r in rows] == [("k", 1.0, 0.0), ("v", 0.0, 1.0)]
 
 
@@ -114,40 +114,40 @@ def test_without_identity_the_first_vector_counts(spark):
 
 
 CATALOG = [
-    {"symbol_id": "java:class:example.PaymentApprovalService", "kind": "class", "name": "PaymentApprovalService", "qualified_name": "example.PaymentApprovalService", "source_item_id": "code:DomainHandler.handle", "path": "a"},
-    {"symbol_id": "java:class:example.PaymentApprovalServiceTest", "kind": "class", "name": "PaymentApprovalServiceTest", "qualified_name": "example.PaymentApprovalServiceTest", "source_item_id": "gone", "path": "a"},
-    {"symbol_id": "java:method:example.Other.doPayment()", "kind": "method", "name": "doPayment", "qualified_name": "example.Other.doPayment()", "source_item_id": None, "path": "b"},
+    {"symbol_id": "java:class:example.TideSurveyDesk", "kind": "class", "name": "TideSurveyDesk", "qualified_name": "example.TideSurveyDesk", "source_item_id": "code:WatchList.enter", "path": "a"},
+    {"symbol_id": "java:class:example.TideSurveyDeskTest", "kind": "class", "name": "TideSurveyDeskTest", "qualified_name": "example.TideSurveyDeskTest", "source_item_id": "gone", "path": "a"},
+    {"symbol_id": "java:method:example.Other.doTide()", "kind": "method", "name": "doTide", "qualified_name": "example.Other.doTide()", "source_item_id": None, "path": "b"},
 ]
 
 
 def test_symbol_only_hit(spark):
-    data = items(spark, item("code:DomainHandler.handle", "DomainHandler.handle", "nothing here"))
+    data = items(spark, item("code:WatchList.enter", "WatchList.enter", "nothing here"))
     e = engine(spark, data, catalog=CATALOG)
-    row = e.search_code("PaymentApprovalService", filters={"repo": REPO}).results.first()
-    assert (row.id, row.score_parts.symbol, row.score_parts.keyword) == ("code:DomainHandler.handle", 1.0, 0.0) and row.match_reason == "symbol exact hit: PaymentApprovalService"
-    assert found(e.search_code("PaymentApprovalService")) == [] and found(e.search_doc("PaymentApprovalService", filters={"repo": REPO})) == []
-    trace = e.search_code("PaymentApprovalService", filters={"repo": REPO}).trace().collect()
+    row = e.search_code("TideSurveyDesk", filters={"repo": REPO}).results.first()
+    assert (row.id, row.score_parts.symbol, row.score_parts.keyword) == ("code:WatchList.enter", 1.0, 0.0) and row.match_reason == "symbol exact hit: TideSurveyDesk"
+    assert found(e.search_code("TideSurveyDesk")) == [] and found(e.search_doc("TideSurveyDesk", filters={"repo": REPO})) == []
+    trace = e.search_code("TideSurveyDesk", filters={"repo": REPO}).trace().collect()
     assert [(t.channel, t.candidate_count, t.hits[0].rank) for t in trace] == [("symbol", 1, 1)]
 
 
 def test_symbol_ladder_and_lookups(spark):
     s = symbols(spark, *CATALOG)
-    q = spark.createDataFrame([(1, "payment", REPO, "code")], "query_id long, query_text string, repo string, asset_type string")
+    q = spark.createDataFrame([(1, "tide", REPO, "code")], "query_id long, query_text string, repo string, asset_type string")
     got = {r.qualified_name: (r.score, r.reason) for r in Y.ladder(s, Y.with_terms(q)).collect()}
-    assert got["example.PaymentApprovalService"] == (0.85, "symbol prefix hit: payment") and got["example.Other.doPayment()"] == (0.65, "symbol fuzzy hit: payment")
-    assert [r.name for r in Y.find_exact(s, REPO, "PaymentApprovalService").collect()] == ["PaymentApprovalService"]
-    assert [r.name for r in Y.find_prefix(s, REPO, "example.Payment", limit=1).collect()] == ["PaymentApprovalService"]
+    assert got["example.TideSurveyDesk"] == (0.85, "symbol prefix hit: tide") and got["example.Other.doTide()"] == (0.65, "symbol fuzzy hit: tide")
+    assert [r.name for r in Y.find_exact(s, REPO, "TideSurveyDesk").collect()] == ["TideSurveyDesk"]
+    assert [r.name for r in Y.find_prefix(s, REPO, "example.Tide", limit=1).collect()] == ["TideSurveyDesk"]
     assert Y.find_exact(s, REPO, "").count() == Y.find_prefix(s, REPO, "x", limit=0).count() == 0
 
 
 def test_aliases_expand_the_query(spark):
-    vocabulary = aliases.from_mapping(spark, {"aliases": [{"term": "现金流审批", "expands_to": ["cashflow approval", "PaymentApprovalService", " "]}, {"term": " ", "expands_to": ["x"]}]})
-    data = items(spark, item("code:DomainHandler.handle", "DomainHandler.handle", "nothing here"))
+    vocabulary = aliases.from_mapping(spark, {"aliases": [{"term": "现金流审批", "expands_to": ["cashflow approval", "TideSurveyDesk", " "]}, {"term": " ", "expands_to": ["x"]}]})
+    data = items(spark, item("code:WatchList.enter", "WatchList.enter", "nothing here"))
     row = engine(spark, data, catalog=CATALOG, aliases=vocabulary).search_code("现金流审批", filters={"repo": REPO}).results.first()
     assert row.score_parts.symbol == 1.0
     q = spark.createDataFrame([(1, "CASHFLOW approval"), (2, "none")], "query_id long, query_text string")
     got = {r.query_id: (r.query_text, r.aliases) for r in aliases.expanded(q, vocabulary).collect()}
-    assert got[1] == ("CASHFLOW approval 现金流审批 cashflow approval PaymentApprovalService", ["现金流审批 -> cashflow approval, PaymentApprovalService"]) and got[2] == ("none", [])
+    assert got[1] == ("CASHFLOW approval 现金流审批 cashflow approval TideSurveyDesk", ["现金流审批 -> cashflow approval, TideSurveyDesk"]) and got[2] == ("none", [])
     for bad in ([], {"aliases": {}}, {"aliases": ["x"]}, {"aliases": [{"term": "a", "expands_to": "b"}]}):
         with pytest.raises(ValueError):
             aliases.from_mapping(spark, bad)
@@ -202,5 +202,5 @@ def test_unreadable_tables(spark, tmp_path):
 
     shutil.rmtree(f"{tmp_path}/i")
     with pytest.raises(RequestError) as x:
-        engine(spark, data).search_code("payment", filters={"repo": REPO})
+        engine(spark, data).search_code("tide", filters={"repo": REPO})
     assert x.value.code == "storage_unavailable"
