@@ -16,15 +16,22 @@ EXACT, PREFIX, FUZZY = 1.0, 0.85, 0.65
 VALUES = ("name", "qualified_name", "symbol_id")
 
 
+def exact_hit(term: Column) -> Column:
+    """Whether a symbol's name, qualified name or id is the term; an empty term hits nothing."""
+    return (term != "") & term.isin(*[F.col(v) for v in VALUES])
+
+
+def prefix_hit(term: Column) -> Column:
+    return (term != "") & (F.startswith(F.col("name"), term) | F.startswith(F.col("qualified_name"), term))
+
+
 def find_exact(symbols: DataFrame, repo: str, query: str, limit: int = 20, **filters) -> DataFrame:
     """Symbols whose name, qualified name or id is the query; nothing for an empty query or limit."""
-    hit = F.lit(query).isin(*[F.col(v) for v in VALUES]) if query and limit > 0 else F.lit(False)
-    return symbol_filter(symbols, repo, **filters).where(hit).orderBy("qualified_name", "symbol_id").limit(max(0, limit))
+    return symbol_filter(symbols, repo, **filters).where(exact_hit(F.lit(query))).orderBy("qualified_name", "symbol_id").limit(max(0, limit))
 
 
 def find_prefix(symbols: DataFrame, repo: str, query: str, limit: int = 20, **filters) -> DataFrame:
-    hit = F.startswith(F.col("name"), F.lit(query)) | F.startswith(F.col("qualified_name"), F.lit(query)) if query and limit > 0 else F.lit(False)
-    return symbol_filter(symbols, repo, **filters).where(hit).orderBy("qualified_name", "symbol_id").limit(max(0, limit))
+    return symbol_filter(symbols, repo, **filters).where(prefix_hit(F.lit(query))).orderBy("qualified_name", "symbol_id").limit(max(0, limit))
 
 
 def default_kinds(asset_type: Column) -> Column:

@@ -10,6 +10,8 @@ from tessera.plans.queries import ALIASES
 CUR = "cur AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY row_seq DESC) k FROM indexed_items) WHERE k = 1)"
 _ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in ("indexed_at", "index_batch_id", "path", "start_line", "end_line", "source_item_id", "file_hash", "branch", "commit_sha"))
 SYM = f"sym AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY repo, symbol_id ORDER BY {_ORDER}) k FROM symbols) WHERE k = 1)"
+NAMES = "t AS (SELECT row_seq, repo, string_split(symbol, '.')[-1] term FROM indexed_items WHERE row_seq % 20 = 0 AND symbol IS NOT NULL)"
+ALL = "req AS (SELECT query_id, min(query_text) query_text, min(repo) repo FROM search_results GROUP BY 1)"
 REQ = "req AS (SELECT query_id, min(query_text) query_text, min(repo) repo FROM search_results WHERE query_id % 20 = 0 GROUP BY 1)"
 
 
@@ -109,7 +111,7 @@ _ALIAS = ", ".join("('{}', [{}])".format(t, ", ".join(f"'{x}'" for x in to)) for
 
 ORACLE: dict[str, str] = {
     "scan_items_filtered": f"WITH {CUR} SELECT repo, id, title, start_line FROM cur WHERE asset_type = 'code' AND language = 'java' AND symbol_type IN ('method', 'class')",
-    "scan_symbols_filtered": f"WITH {SYM} SELECT repo, symbol_id, path, kind FROM sym WHERE kind IN ('class', 'table')",
+    "scan_symbols_filtered": f"WITH {SYM} SELECT repo, symbol_id, path, kind FROM sym WHERE kind IN ('class', 'table') AND repo = 'scm.norvale.example/platform/hub-monolith'",
     "list_paths_prefix": f"WITH {CUR} SELECT DISTINCT path FROM cur WHERE starts_with(path, 'tr')",
     "path_glob_include_exclude": "SELECT DISTINCT path FROM indexed_items WHERE (ends_with(path, '.java') OR ends_with(path, '.md')) AND NOT list_contains(string_split(path, '/'), 'guides') AND NOT contains(path, '/test/')",
     "point_lookup_first_repo": f"WITH {CUR} SELECT id, repo, title FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY repo) k FROM cur) WHERE k = 1",
@@ -134,12 +136,12 @@ SELECT a.repo, a.path FROM a LEFT JOIN s ON s.repo = a.repo AND s.path = a.path
     "provenance_hash_distinct": "SELECT repo, count(DISTINCT sha256(content)) contents, min(sha256(content)) least FROM indexed_items WHERE content IS NOT NULL GROUP BY 1",
     "ascii_tokens": f"SELECT token, count(*) n FROM (SELECT unnest({found('text')}) token FROM documents) GROUP BY 1",
     "camel_split_tokens": f"SELECT token, count(*) n FROM (SELECT unnest({tokens('title')}) token FROM indexed_items) GROUP BY 1",
-    "symbol_terms": f"WITH {REQ} SELECT query_id, unnest({terms('query_text')}) term FROM req",
+    "symbol_terms": f"WITH {ALL} SELECT query_id, unnest({terms('query_text')}) term FROM req",
     "keyword_candidates": f"WITH {CUR}, {REQ}, {QTOK}, {CAND} SELECT query_id, repo, id, match_count, place FROM cand",
     "weighted_tf_doc_length": f"WITH {CUR}, {REQ}, {QTOK}, {CAND}, {POST}, {STAT} SELECT query_id, repo, id, round(length, 6) length, n, round(avg_length, 6) avg_length FROM stat",
     "document_frequency": f"WITH {CUR}, {REQ}, {QTOK}, {CAND}, {POST} SELECT query_id, token, count(*) df, round(sum(wtf), 6) wtf FROM post GROUP BY ALL",
     "bm25_topk": f"WITH {LEX} SELECT * FROM lex",
-    "alias_expand_match": f"WITH {REQ}, a(term, expands_to) AS (VALUES {_ALIAS}) SELECT query_id, term FROM req JOIN a ON contains(lower(query_text), lower(term)) OR len(list_filter(expands_to, lambda x: contains(lower(query_text), lower(x)))) > 0",
+    "alias_expand_match": f"WITH {ALL}, a(term, expands_to) AS (VALUES {_ALIAS}) SELECT query_id, term FROM req JOIN a ON contains(lower(query_text), lower(term)) OR len(list_filter(expands_to, lambda x: contains(lower(query_text), lower(x)))) > 0",
     "cosine_topk": """WITH q AS (SELECT vec_id query_id, embedding qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, round(greatest(0, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[])), 6) score FROM embeddings JOIN q ON vec_id <> query_id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) place FROM s) WHERE place <= 10""",
@@ -149,8 +151,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 SELECT query_id, repo, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repo, id) AS "rank", score raw_score FROM k WHERE k <= 30""",
     "embedding_left_first": f"""WITH {CUR}, e AS (SELECT *, row_number() OVER (PARTITION BY repo, item_id ORDER BY provider, model, dimension, vec_id) k FROM item_embeddings)
 SELECT c.repo, c.id, provider, model, dimension FROM cur c LEFT JOIN e ON e.repo = c.repo AND e.item_id = c.id AND e.k = 1""",
-    "symbol_exact": f"WITH {SYM}, {REQ}, t AS (SELECT query_id, repo, unnest({terms('query_text')}) term FROM req) SELECT query_id, term, s.repo, symbol_id FROM sym s JOIN t ON t.repo = s.repo AND term IN (name, qualified_name, symbol_id)",
-    "symbol_prefix": f"WITH {SYM}, {REQ}, t AS (SELECT query_id, repo, unnest({terms('query_text')}) term FROM req) SELECT query_id, term, s.repo, symbol_id FROM sym s JOIN t ON t.repo = s.repo AND (starts_with(name, term) OR starts_with(qualified_name, term))",
+    "symbol_exact": f"WITH {SYM}, {NAMES} SELECT row_seq, term, s.repo, symbol_id FROM sym s JOIN t ON t.repo = s.repo AND term IN (name, qualified_name, symbol_id)",
+    "symbol_prefix": f"WITH {SYM}, {NAMES}, u AS (SELECT row_seq, repo, substr(term, 1, greatest(0, length(term) - 3)) term FROM t) SELECT row_seq, term, s.repo, symbol_id FROM sym s JOIN u ON u.repo = s.repo AND term <> '' AND (starts_with(name, term) OR starts_with(qualified_name, term))",
     "symbol_ladder": f"WITH {SYM}, {REQ}, {LADDER} SELECT query_id, repo, symbol_id, score, reason FROM lad",
     "symbol_to_item_dedupe": f"WITH {CUR}, {SYM}, {REQ}, {LADDER}, {SYMHITS} SELECT * FROM syh",
     "rrf_fusion": f'WITH {CHAN}, {RRF} SELECT query_id, repo, id, score, "rank", match_reason FROM top',

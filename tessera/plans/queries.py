@@ -15,7 +15,7 @@ from tessera.operators import lexical as L
 from tessera.operators import symbols as Y
 from tessera.operators import vector as V
 from tessera.plans.store import cascade, last_wins, without_prefix
-from tessera.plans.tables import table
+from tessera.plans.tables import materialize, scratch, table, workspace
 from tessera.sources import aliases as A
 from tessera.sources.files import parsed
 from tessera.sources.providers import HashProvider, embedded
@@ -24,6 +24,7 @@ from tessera.streaming.events import sessions, windowed_counts
 LIMIT = 10
 SPACE = V.Identity("quarrystone", "qs-embed-64", 64)
 ALIASES = (("sign driver", ["label", "gateway"]), ("ledger", ["journal", "account"]), ("运价", ["tariff"]), ("panel", ["locker", "rack"]))
+MONOLITH = "scm.norvale.example/platform/hub-monolith"
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +58,17 @@ def _candidates(spark, d):
     return L.keyword_candidates(items(spark, d), _tokens(spark, d), LIMIT)
 
 
+def _fields(spark, d):
+    return L.with_fields(_candidates(spark, d), items(spark, d))
+
+
 def scan_items_filtered(spark, d):
     df = P.item_filter(items(spark, d), asset_type="code", language="java", symbol_types=["method", "class"])
     return df.select("repo", "id", "title", "start_line")
 
 
 def scan_symbols_filtered(spark, d):
-    df = symbols(spark, d).where(F.col("kind").isin("class", "table"))
+    df = P.list_symbols(symbols(spark, d), MONOLITH, kinds=["class", "table"])
     return df.select("repo", "symbol_id", "path", "kind")
 
 
@@ -94,8 +99,7 @@ def delete_by_path_cascade(spark, d):
 
 
 def delete_by_prefix(spark, d):
-    repo = "scm.norvale.example/platform/hub-monolith"
-    return without_prefix(symbols(spark, d), repo, "t").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    return without_prefix(symbols(spark, d), MONOLITH, "t").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _file_states(spark, d):
@@ -114,7 +118,11 @@ def incremental_plan_setops(spark, d):
 
 def p2_found(spark, d):
     all_items, batches = table(spark, d, "indexed_items"), table(spark, d, "index_batches")
-    return N.pending(all_items, batches, N.ledger(all_items, batches)).select("repo", "path")
+    with workspace(spark, "ledger") as root, scratch() as keep:
+        kept = N.Ledger(spark, root)
+        kept.start(all_items, batches)
+        keep.append(out := materialize(kept.pending(all_items, batches).select("repo", "path"), "pending"))
+    return out
 
 
 def p2_ledger(spark, d):
@@ -145,12 +153,12 @@ def keyword_candidates(spark, d):
 
 
 def weighted_tf_doc_length(spark, d):
-    c = _candidates(spark, d)
+    c = _fields(spark, d)
     return L.document_stats(c, L.postings(c, cjk=False)).select("query_id", "repo", "id", F.round("length", 6).alias("length"), "n", F.round("avg_length", 6).alias("avg_length"))
 
 
 def document_frequency(spark, d):
-    return L.postings(_candidates(spark, d), cjk=False).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("wtf"), 6).alias("wtf"))
+    return L.postings(_fields(spark, d), cjk=False).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("wtf"), 6).alias("wtf"))
 
 
 def _hits(df):
@@ -207,18 +215,22 @@ def embedding_left_first(spark, d):
     return df.select("repo", "id", "provider", "model", "dimension")
 
 
+def _names(spark, d):
+    """(row_seq, q_repo, term): the stated query set of symbol lookups, the last name in the symbol of every item whose row_seq is divisible by 20."""
+    rows = table(spark, d, "indexed_items").where("row_seq % 20 = 0 and symbol is not null")
+    return rows.select("row_seq", F.col("repo").alias("q_repo"), F.element_at(F.split("symbol", r"\."), -1).alias("term"))
+
+
 def symbol_exact(spark, d):
-    """find_exact for the first identifier of each search."""
-    q = requests(spark, d).select("query_id", F.col("repo").alias("q_repo"), F.explode(T.symbol_terms(F.col("query_text"))).alias("term"))
-    s = symbols(spark, d)
-    hit = F.col("term").isin(F.col("name"), F.col("qualified_name"), F.col("symbol_id"))
-    return s.join(L.sized(q), (F.col("repo") == F.col("q_repo")) & hit).select("query_id", "term", "repo", "symbol_id")
+    """find_exact of many names."""
+    hit = (F.col("repo") == F.col("q_repo")) & Y.exact_hit(F.col("term"))
+    return symbols(spark, d).join(L.sized(_names(spark, d)), hit).select("row_seq", "term", "repo", "symbol_id")
 
 
 def symbol_prefix(spark, d):
-    q = requests(spark, d).select("query_id", F.col("repo").alias("q_repo"), F.explode(T.symbol_terms(F.col("query_text"))).alias("term"))
-    hit = F.startswith(F.col("name"), F.col("term")) | F.startswith(F.col("qualified_name"), F.col("term"))
-    return symbols(spark, d).join(L.sized(q), (F.col("repo") == F.col("q_repo")) & hit).select("query_id", "term", "repo", "symbol_id")
+    """find_prefix of many names without their last three letters."""
+    names = _names(spark, d).withColumn("term", F.expr("left(term, length(term) - 3)"))
+    return symbols(spark, d).join(L.sized(names), (F.col("repo") == F.col("q_repo")) & Y.prefix_hit(F.col("term"))).select("row_seq", "term", "repo", "symbol_id")
 
 
 def _ladder(spark, d):
@@ -376,17 +388,17 @@ def markdown_sections(spark, d):
 
 
 def java_items(spark, d):
-    rows = table(spark, d, "documents").where("text like '%package %'").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".java")).alias("path"), "text", F.lit("").alias("file_hash"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".java")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("file_hash"))
     return _parse(spark, rows, "items", ("id", "title", "start_line", "end_line", "symbol_type"))
 
 
 def java_symbols(spark, d):
-    rows = table(spark, d, "documents").where("text like '%package %'").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".java")).alias("path"), "text", F.lit("").alias("file_hash"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("src/"), F.col("doc_id"), F.lit(".java")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("file_hash"))
     return _parse(spark, rows, "symbols", ("symbol_id", "kind", "qualified_name", "source_item_id"))
 
 
 def ddl_items(spark, d):
-    rows = table(spark, d, "documents").where("text like '%CREATE TABLE%'").select(F.concat(F.lit("db/"), F.col("doc_id"), F.lit(".sql")).alias("path"), "text", F.lit("").alias("file_hash"))
+    rows = table(spark, d, "documents").select(F.concat(F.lit("db/"), F.col("doc_id"), F.lit(".sql")).alias("path"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("file_hash"))
     return _parse(spark, rows, "items", ("id", "title", "content", "symbol_type"))
 
 

@@ -19,8 +19,6 @@ from tessera.sources.schema import ITEM, SYMBOL, names
 
 PARSERS = {".java": java.parse, ".sql": ddl.parse, ".md": markdown.parse}
 FAILURE = "path string, stage string, error string"
-#: the size of a file's bytes up to which it is read; larger ones are failures
-MOST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -98,8 +96,7 @@ def scan(spark: SparkSession, root: str, within: Scope = Scope(), include: Seque
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*" + _escape(base.lstrip("/")) + "/", "")
     rows = files.withColumn("path", path)
     rows = rows.where(within.covers(F.col("path")) & included(F.col("path"), include) & ~excluded(F.col("path"), exclude))
-    big = F.col("length") > MOST_BYTES
-    return rows.select("path", F.when(~big, F.col("content")).alias("content"), F.sha2("content", 256).alias("file_hash"))
+    return rows.select("path", "content", F.sha2("content", 256).alias("file_hash"))
 
 
 def _escape(text: str) -> str:
@@ -110,7 +107,7 @@ def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, text, file_hash) of valid UTF-8 files, and the others as failures."""
     rows = files.withColumn("ok", F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string")))
     good = rows.where("ok").select("path", F.decode("content", "UTF-8").alias("text"), "file_hash")
-    return good, rows.where("not coalesce(ok, false)").select("path", F.lit("read").alias("stage"), F.lit("not valid UTF-8, or too long").alias("error"))
+    return good, rows.where("not coalesce(ok, false)").select("path", F.lit("read").alias("stage"), F.lit("not valid UTF-8").alias("error"))
 
 
 def parsed(files: DataFrame) -> DataFrame:

@@ -22,16 +22,6 @@ def test_query(spark, name):
         assert cols == names and got == want
 
 
-@needs_data
-@pytest.mark.parametrize("name", ["alias_expand_match", "symbol_terms"])
-def test_texts_of_all_searches(spark, name):
-    whole = oracle.ORACLE[name].replace(" WHERE query_id % 20 = 0", "")
-    assert whole != oracle.ORACLE[name]
-    cols, got = rows_of(queries.QUERIES[name](spark, SMALL))
-    names, want = sql_rows(whole, SMALL)
-    assert cols == names and got == want and any(r[cols.index("query_id")] % 20 for r in got)
-
-
 def test_entry_lists_what_the_sql_lists():
     import __spark_entry__ as e
 
