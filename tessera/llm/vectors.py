@@ -35,6 +35,8 @@ CAPACITY, PROBES, SAMPLE, MOST_CENTRES = 16_000, 4, 10_000, 1_000
 DEGREE, BEAM, RELAX, WIDTH = 32, 64, 1.44, 4
 #: nodes whose distances every search begins with, and how many of the nearest it starts at
 ENTRIES, STARTS = 2048, 16
+#: queries that a shard is asked at once
+QUERIES = 4096
 
 
 class Graph:
@@ -279,42 +281,45 @@ def _routes(homes: DataFrame, centres: dict, probes: int, enough: int) -> DataFr
     return homes.mapInArrow(run, "shard int, home boolean, cls long, items array<long>, vector array<float>")
 
 
-def _candidates(g: Graph, ids: np.ndarray, node: np.ndarray, x: np.ndarray, items: list, keep: int, least: float):
-    """Of one shard (query position, asking item or 0, node, similarity): for each query and item the keep nearest nodes of others found."""
-    home = np.flatnonzero(node >= 0)
-    own = ids[home]
-    sole = np.array([items[h][0] if len(items[h]) == 1 else 0 for h in home], np.int64)
-    single = np.array([len(items[h]) == 1 for h in home])
-    for lo in range(0, len(ids), 8192):
-        found, dist = g.search(x[lo : lo + 8192], max(BEAM, keep + 1), node[lo : lo + 8192])
-        each = [(i, a, bool(items[lo + i])) for i in range(len(found)) for a in (items[lo + i] or [0])]
+class Shard:
+    """The graph of a shard's own classes (ids, items, unit vectors), asked by batches of queries."""
+
+    def __init__(self, ids: np.ndarray, items: list, x: np.ndarray):
+        self.ids, self.graph = ids, Graph(x)
+        self.sole = np.array([i[0] if len(i) == 1 else 0 for i in items], np.int64)
+        self.single = np.array([len(i) == 1 for i in items])
+
+    def candidates(self, ids: np.ndarray, node: np.ndarray, x: np.ndarray, items: list, keep: int, least: float):
+        """(query position, asking item or 0, whether there is one, node, similarity): for each query and item the keep nearest nodes of others found. node: the query's own, or -1."""
+        found, dist = self.graph.search(x, max(BEAM, keep + 1), node)
+        each = [(i, a, bool(items[i])) for i in range(len(found)) for a in (items[i] or [0])]
         q, asks, has = np.array([e[0] for e in each]), np.array([e[1] for e in each], np.int64), np.array([e[2] for e in each])
         for at in (slice(i, i + 8192) for i in range(0, len(q), 8192)):
             f, near = found[q[at]], 1 - dist[q[at]] / 2
             n = np.maximum(f, 0)
             close = (f >= 0) & (near >= least - 1e-4)
-            theirs = close & has[at, None] & single[n] & (sole[n] == asks[at, None])
-            ok = close & ~theirs & (own[n] != ids[lo + q[at], None])
+            theirs = close & has[at, None] & self.single[n] & (self.sole[n] == asks[at, None])
+            ok = close & ~theirs & (self.ids[n] != ids[q[at], None])
             # the item's own vectors took the places of others
             short = theirs.any(1) & (ok.sum(1) < keep) & (close[:, -1] | (f[:, -1] < 0))
             ok &= (np.cumsum(ok, 1) <= keep) & ~short[:, None]
             r, c = np.nonzero(ok)
-            yield lo + q[at][r], asks[at][r], has[at][r], f[r, c], near[r, c]
+            yield q[at][r], asks[at][r], has[at][r], f[r, c], near[r, c]
             short = np.flatnonzero(short) + at.start
             for item in np.unique(asks[short]):
-                others = np.flatnonzero(~(single & (sole == item)))
+                others = np.flatnonzero(~(self.single & (self.sole == item)))
                 if not len(others):
                     continue
-                of, xs = short[asks[short] == item], g.x[others]
+                of, xs = short[asks[short] == item], self.graph.x[others]
                 for i in range(0, len(of), 1024):
                     p = of[i : i + 1024]
-                    near = x[lo + q[p]] @ xs.T
-                    near[own[others][None] == ids[lo + q[p], None]] = -np.inf
+                    near = x[q[p]] @ xs.T
+                    near[self.ids[others][None] == ids[q[p], None]] = -np.inf
                     m = min(keep, len(others))
                     top = np.argpartition(-near, m - 1, 1)[:, :m]
                     near = np.take_along_axis(near, top, 1)
                     r, c = np.nonzero(near >= least - 1e-4)
-                    yield lo + q[p][r], asks[p][r], has[p][r], others[top[r, c]], near[r, c]
+                    yield q[p][r], asks[p][r], has[p][r], others[top[r, c]], near[r, c]
 
 
 def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int = CAPACITY, probes: int = PROBES) -> DataFrame:
@@ -328,35 +333,48 @@ def nearest_classes(classes: DataFrame, keep: int, least: float, capacity: int =
     home = F.col("home") & (F.pmod(F.xxhash64("cls"), F.col("parts")) == F.col("part"))
     routed = routed.select((F.col("shard").cast("long") * 1_000_000 + F.col("part")).alias("shard"), home.alias("home"), "cls", "items", "vector")
 
-    def solve(cls, home, items, vecs):
-        ids = np.array(cls, np.int64)
-        home = np.array(home)
-        x = np.array(vecs, np.float32)
-        own = ids[home]
-        if not len(own):
-            return
-        g = Graph(x[home])
-        node = np.full(len(ids), -1, np.int32)
-        node[home] = np.arange(len(own))
-        for q, item, has, n, near in _candidates(g, ids, node, x, items, keep, least):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(item, mask=~has), pa.array(own[n]), pa.array(near.astype(np.float64))], names=["a", "asker", "b", "near"])
+    def ask(shard, ids, node, x, items):
+        for lo in range(0, len(ids), QUERIES):
+            at = slice(lo, lo + QUERIES)
+            for q, item, has, n, near in shard.candidates(ids[at], node[at], x[at], items[at], keep, least):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at][q]), pa.array(item, mask=~has), pa.array(shard.ids[n]), pa.array(near.astype(np.float64))], names=["a", "asker", "b", "near"])
 
     def run(batches):
-        shard, cls, home, items, vecs = None, [], [], [], []
+        name = shard = None
+        held: list = []
+
+        def taken():
+            """The rows held, as ids, items and vectors."""
+            rows, held[:] = list(held), []
+            return np.array([r[0] for r in rows], np.int64), [r[1] for r in rows], np.array([r[2] for r in rows], np.float32)
+
+        def settle():
+            """Build the graph of a shard whose own classes are held, and ask for them; or ask what is held of a built one."""
+            nonlocal shard
+            ids, items, x = taken()
+            if shard is None:
+                shard = Shard(ids, items, x)
+                yield from ask(shard, ids, np.arange(len(ids), dtype=np.int32), shard.graph.x, items)
+            else:
+                yield from ask(shard, ids, np.full(len(ids), -1, np.int32), x, items)
+
+        # a shard's own classes come first, then the queries from other shards, some at a time
         for batch in batches:
             for s, h, c, i, v in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-                if s != shard:
-                    if cls:
-                        yield from solve(cls, home, items, vecs)
-                    shard, cls, home, items, vecs = s, [], [], [], []
-                cls.append(c)
-                home.append(h)
-                items.append(i)
-                vecs.append(v.values.to_numpy())
-        if cls:
-            yield from solve(cls, home, items, vecs)
-
-    found = routed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", "cls").mapInArrow(run, "a long, asker long, b long, near double")
+                if s != name:
+                    if held:
+                        yield from settle()
+                    name, shard = s, None
+                if not h:
+                    if shard is None and not held:
+                        continue  # nothing to find here
+                    if shard is None or len(held) >= QUERIES:
+                        yield from settle()
+                held.append((c, i, v.values.to_numpy()))
+        if held:
+            yield from settle()
+
+    found = routed.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard", F.desc("home"), "cls").mapInArrow(run, "a long, asker long, b long, near double")
     found = found.groupBy("a", "asker", "b").agg(F.max("near").alias("near"))
     w = Window.partitionBy("a", "asker").orderBy(F.desc("near"), "b")
     return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).select("a", "asker", "b")
