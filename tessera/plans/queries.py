@@ -269,9 +269,9 @@ def trace_by_channel(spark, d):
     return t.select("query_id", "channel", "candidate_count", F.array_join(F.transform("hits", lambda h: h["id"]), " | ").alias("ids"))
 
 
-def hybrid_search_topk(spark, d):
+def hybrid_search_topk(spark, d, asked=requests):
     """Lexical and symbol channels, fused; ASCII tokens."""
-    df = U.hybrid_search(items(spark, d), None, symbols(spark, d), requests(spark, d), LIMIT, cjk=False)
+    df = U.hybrid_search(items(spark, d), None, symbols(spark, d), asked(spark, d), LIMIT, cjk=False)
     return df.select("query_id", "repo", "id", "score", F.col("rank").cast("long").alias("rank"), "keyword", "symbol", "match_reason")
 
 
