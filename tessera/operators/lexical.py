@@ -134,7 +134,9 @@ def keyword_candidates(items: DataFrame, queries: DataFrame, limit: int | Limits
 def with_fields(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, repo, id, fields of WEIGHTS): the candidates with the texts that are scored."""
     fields = [COLUMN_OF.get(name, name) for name in WEIGHTS]
-    return items.select("repo", "id", *fields).join(sized(candidates.select("query_id", "repo", "id")), ["repo", "id"]).select("query_id", "repo", "id", *fields)
+    # written, as counting them would search all texts once more
+    found = materialize(candidates.select("query_id", "repo", "id"), "found")
+    return items.select("repo", "id", *fields).join(sized(found), ["repo", "id"]).select("query_id", "repo", "id", *fields)
 
 
 def postings(candidates: DataFrame, domain_terms: Sequence[str] = (), cjk: bool = True) -> DataFrame:
