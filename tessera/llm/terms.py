@@ -1,13 +1,15 @@
 """Problem 6: frequency of every distinct term, by suffix arrays with common-prefix intervals.
 
 Each task numbers the words of its records and sorts all word suffixes to their
-fields' ends, by prefix doubling. Suffixes that share n words are an interval
-of that order, bounded by common prefixes of fewer words: its length is the
-n-gram's count; less the suffixes that follow one of their own record within
-the interval, it is the number of records. Terms and n-grams of every length
-are read from the one suffix order. Records are whole within a task, so the
-tasks' counts add up; equal n-grams meet in one aggregation combined before the
-shuffle.
+fields' ends, by prefix doubling, and takes from it the whole common prefix of
+each suffix and the one before. The intervals of suffixes that share more words
+than their neighbours outside are found once, of all lengths together, nested
+as they are: the n-grams that end between the length of the enclosing interval
+and its own share one count, the interval's length, and one number of records,
+less the suffixes that follow one of their own record within the interval.
+Terms and n-grams of every length are read from these classes. Records are
+whole within a task, so the tasks' counts add up; equal n-grams meet in one
+aggregation combined before the shuffle.
 
 Defined results: null and empty fields hold no term; a term of several fields
 of a record counts once for the record; n-grams don't run over the end of a
@@ -77,34 +79,89 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray], end: np.ndarray
     return shared
 
 
-def interval_counts(ids: np.ndarray, record: np.ndarray, left: np.ndarray, longest: int):
-    """For n = 1..longest: (n, start of an occurrence, occurrences, records) of each n-gram.
+def classes(ids: np.ndarray, record: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, least, most, occurrences, records) of each class of n-grams of any length.
 
-    ids: the words in record order; left: words from each place to its field's end.
+    A class is a common-prefix interval of the suffix order, or a suffix alone:
+    the n-grams of least to most words from start, all of the same occurrences
+    and records. Each n-gram of the records is in one class; there are fewer
+    than two classes for each word. ids: the words in record order; left: words
+    from each place to its field's end.
     """
-    if not len(ids):
-        return
-    end = np.arange(len(ids)) + left
-    order, levels = suffix_order(ids, end, longest)
-    shared = common_prefixes(order, levels, end)
-    # each suffix and the one before it of the same record, as places in the order
+    n = len(ids)
+    if not n:
+        return (np.empty(0, np.int64),) * 5
+    end = np.arange(n) + left
+    order, levels = suffix_order(ids, end, n)
+    s = np.r_[common_prefixes(order, levels, end), np.int32(-1)]
+    del levels
+    s[0] = -1
+    # where the least of the 2**k prefixes from each place on is, as far as an interval may reach
+    stops = np.flatnonzero(s <= 0)
+    reach = int(np.diff(stops).max()) - 1
+    low = [np.arange(n + 1, dtype=np.int32)]
+    for k in range(max(1, reach).bit_length() - 1):
+        x, y = low[-1], low[-1][np.minimum(np.arange(n + 1) + (1 << k), n)]
+        low.append(np.where(s[x] <= s[y], x, y))
+
+    # an interval is known by the first of its least prefixes; those before it are longer, back to its begin
+    at = np.flatnonzero(s > 0)
+    begin = at - 1
+    far = np.flatnonzero(s[begin] > s[at])
+    for k in range(len(low) - 1, -1, -1):
+        window = low[k][np.maximum(begin[far] - (1 << k) + 1, 0)]
+        begin[far] -= (s[window] > s[at[far]]) << k
+    first = s[begin] < s[at]
+    at, begin = at[first], begin[first]
+    after = at + 1
+    far = np.flatnonzero(s[after] >= s[at])
+    for k in range(len(low) - 1, -1, -1):
+        window = low[k][after[far]]
+        after[far] += (s[window] >= s[at[far]]) << k
+
+    # each suffix and the one before it of the same record are both in the intervals that hold the least prefix between them
     by = np.argsort(record[order], kind="stable")
     same = record[order[by[1:]]] == record[order[by[:-1]]]
-    before, after = by[:-1][same], by[1:][same]
-    for n in range(1, longest + 1):
-        top = np.flatnonzero(shared < n)
-        interval = np.cumsum(shared < n) - 1
-        again = np.bincount(interval[after[interval[before] == interval[after]]], minlength=len(top))
-        occurrences = np.diff(np.r_[top, len(order)])
-        # suffixes of fewer words are intervals of their own
-        whole = left[order[top]] >= n
-        if not whole.any():
-            return
-        yield n, order[top[whole]], occurrences[whole], (occurrences - again)[whole]
-
-
-def term_counts(df: DataFrame, fields: list[str], longest: int = 1) -> DataFrame:
-    """(n, term, occurrences, records) of every n-gram of up to longest words."""
+    p, q = by[:-1][same], by[1:][same]
+    near = q - p <= reach
+    p, q = p[near], q[near]
+    again = np.zeros(n + 1, np.int64)
+    step = np.frexp(q - p)[1] - 1
+    for k in range(len(low)):
+        on = step == k
+        x, y = low[k][p[on] + 1], low[k][q[on] - (1 << k) + 1]
+        least = np.where(s[x] <= s[y], x, y)
+        again += np.bincount(least[s[least] > 0], minlength=n + 1)
+    again = np.cumsum(again)
+
+    held = after - begin
+    shorter = np.maximum(np.maximum(s[begin], s[after]), 0)
+    alone = np.maximum(np.maximum(s[:-1], s[1:]), 0)
+    one = np.flatnonzero(left[order] > alone)
+    ones = np.ones(len(one), np.int64)
+    return (
+        np.concatenate([order[begin], order[one]]),
+        np.concatenate([shorter, alone[one]]) + 1,
+        np.concatenate([s[at], left[order[one]]]),
+        np.concatenate([held, ones]),
+        np.concatenate([held - (again[after - 1] - again[begin]), ones]),
+    )
+
+
+def interval_counts(ids: np.ndarray, record: np.ndarray, left: np.ndarray, longest: int | None):
+    """For n = 1..longest, or all n without it: (n, start of an occurrence, occurrences, records) of each n-gram, read from the classes."""
+    start, least, most, occurrences, records = classes(ids, record, left)
+    n = 1
+    while (longest is None or n <= longest) and len(start):
+        on = least <= n
+        yield n, start[on], occurrences[on], records[on]
+        n += 1
+        more = most >= n
+        start, least, most, occurrences, records = (x[more] for x in (start, least, most, occurrences, records))
+
+
+def term_counts(df: DataFrame, fields: list[str], longest: int | None = 1) -> DataFrame:
+    """(n, term, occurrences, records) of every n-gram of up to longest words; None: of any length, the square of a field's words in rows."""
 
     def block(numbers, ids, lengths, records):
         names = list(numbers)

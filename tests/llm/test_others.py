@@ -255,6 +255,45 @@ def test_suffixes_are_in_order():
     assert list(T.interval_counts(ids[:0], ids[:0], ids[:0], 3)) == []
 
 
+def test_intervals_count_n_grams_of_every_length():
+    rng = np.random.default_rng(5)
+    for trial in range(80):
+        size = rng.integers(1, 30, rng.integers(1, 12))
+        ids = rng.integers(0, rng.choice([1, 2, 5, 50]), size.sum())
+        if trial % 2:
+            # copies of a field make long common prefixes
+            ids, size = np.tile(ids, 3), np.tile(size, 3)
+        end = np.repeat(np.cumsum(size), size)
+        left = end - np.arange(len(ids))
+        record = np.repeat(np.sort(rng.integers(0, len(size), len(size))), size)
+        occ, rec = Counter(), defaultdict(set)
+        for i in range(len(ids)):
+            for j in range(i + 1, end[i] + 1):
+                occ[tuple(ids[i:j].tolist())] += 1
+                rec[tuple(ids[i:j].tolist())].add(record[i])
+        groups = list(zip(*(x.tolist() for x in T.classes(ids, record, left))))
+        got = [(tuple(ids[at : at + n].tolist()), o, r) for at, least, most, o, r in groups for n in range(least, most + 1)]
+        assert len(got) == len(occ) and {g: (o, r) for g, o, r in got} == {g: (occ[g], len(rec[g])) for g in occ}
+        assert len(groups) < 2 * len(ids)
+        for longest in (3, None):
+            got = {tuple(ids[i : i + n].tolist()): (int(o), int(r)) for n, *x in T.interval_counts(ids, record, left, longest) for i, o, r in zip(*x)}
+            assert got == {g: (occ[g], len(rec[g])) for g in occ if longest is None or len(g) <= longest}
+
+
+def test_n_grams_have_any_length(spark):
+    text = " ".join(f"w{i % 7}" for i in range(40))
+    df = spark.createDataFrame([(text, "w1 w2"), (text, None), ("w3 " + text, "")], "a string, b string").repartition(2)
+    occ, rec = Counter(), defaultdict(set)
+    for k, row in enumerate(df.collect()):
+        for w in map(words, row):
+            for i in range(len(w)):
+                for j in range(i + 1, len(w) + 1):
+                    occ[j - i, " ".join(w[i:j])] += 1
+                    rec[j - i, " ".join(w[i:j])].add(k)
+    got = {(r.n, r.term): (r.occurrences, r.records) for r in T.term_counts(df, ["a", "b"], None).collect()}
+    assert got == {g: (occ[g], len(rec[g])) for g in occ} and max(got)[0] == 41
+
+
 def test_blocks_add_up_and_marks(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 7)
     df = spark.createDataFrame([("a b",)] * 30 + [("c",)] * 3 + [("d d",)] * 2, "t string").coalesce(1)
