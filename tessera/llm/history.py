@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
 from tessera.operators.incremental import plain_hash
-from tessera.plans.tables import materialize, scratch, workspace
+from tessera.plans.tables import materialize, release, scratch, shuffles_deleted, workspace
 
 SIG = [f"s{i}" for i in range(S.SIG_WORDS)]
 SIGNS = "n int, c int, " + ", ".join(f"{s} long" for s in SIG)
@@ -122,18 +122,21 @@ def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, toks, wide = [], [], []
+            cids, keys, texts = [], [], []
             for cid, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 w = S.words(text)
                 if len(w) >= max(least_words, k):
-                    x = S.shingle_hashes(w, k)
-                    sig, c = S.signature(x)
-                    rows.append((cid, key, len(x), c, *sig.view(np.int64).tolist()))
-                    toks.append(x)
-                    wide.append(S.wide_signature(x))
-            cols = list(zip(*rows)) or [()] * (4 + S.SIG_WORDS)
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()] + [pa.int64()] * S.SIG_WORDS
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)] + [S.lists(toks, pa.int64()), S.lists(wide, pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
+                    cids.append(cid)
+                    keys.append(key)
+                    texts.append(w)
+            toks = S.all_shingle_hashes(texts, k)
+            n = np.array([len(x) for x in toks], np.int64)
+            flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
+            sig, c = S.signatures(flat, n)
+            words, shared = S.signatures(flat, n, S.WIDE_WORDS)
+            wide = np.column_stack([words.view(np.int64), shared])
+            cols = [pa.array(cids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(c.astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in sig.view(np.int64).T]]
+            yield pa.RecordBatch.from_arrays([*cols, S.lists(toks, pa.int64()), S.lists(list(wide), pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
 
     return texts.select("cid", "md5", "content").mapInArrow(run, TABLES["sets"][0])
 
@@ -248,20 +251,27 @@ class SegmentIndex:
 
         signs = ["cid", "n", "c", *SIG]
         probes = materialize(new.select(*signs, "toks").mapInArrow(run, f"key long, cid long, {SIGNS}"), "probes")
+        shared.destroy()
         sets = self._read("sets", *more)
-        met = stored.join(probes.select("key").distinct(), "key", "left_semi")
+        # the probes' keys are few and distinct; hashed, they spare sorting all that is stored
+        met = stored.join(probes.select("key").distinct().hint("shuffle_hash"), "key", "left_semi")
         entries = met.join(sets.select(*signs), "cid").withColumn("role", F.lit(1 | 64)).unionByName(probes.withColumn("role", F.lit(2 | 32)))
         whole = sets.select("cid", "n", "toks", "wide")
         return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t), whole if load else whole.unionByName(new.select("cid", "n", "toks", "wide")), t)
 
-    def accept(self, load: str, rows: DataFrame) -> None:
+    def keys(self, rows: DataFrame) -> DataFrame:
+        """The rows (see delivered) without their contents, and whether these are long enough for a set; written once for accept() and check()."""
+        return materialize(rows.select("row", "who", "at", "h", "md5", (F.length("content") >= self.least_words).alias("long")), "keys")
+
+    def accept(self, load: str, rows: DataFrame, keys: DataFrame | None = None) -> None:
         """Add rows (see delivered) as a load of this name, unless it is committed already."""
         if load in self.loads():
             return
         with scratch():
+            keys = self.keys(rows) if keys is None else keys
             texts = S.content_classes(rows, "row", "content", self.least_words)
             if self.loads():
-                texts = texts.join(self._read("sets").select("md5"), "md5", "left_anti")
+                texts = texts.join(self._read("members").select("md5"), "md5", "left_anti")
             self._write("sets", load, _sets(texts, self.k, self.least_words))
             new = self.spark.table(f"{self._name}_sets").where(F.col("load") == load).drop("load")
             shared, t = self.spark.sparkContext.broadcast(self._frequent(new)), self.t
@@ -272,24 +282,25 @@ class SegmentIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(owner))], names=["key", "cid"])
 
             self._write("segments", load, new.select("cid", "toks").mapInArrow(run, "key long, cid long"))
+            shared.destroy()
             self._write("links", load, self._links(new, load))
-            self._write("members", load, rows.where(F.length("content") >= self.least_words).groupBy("md5", "who").agg(F.min("at").alias("at")))
-            self._write("hashes", load, rows.where("h is not null").groupBy("h").agg(F.min("at").alias("at")))
+            self._write("members", load, keys.where("long").groupBy("md5", "who").agg(F.min("at").alias("at")))
+            self._write("hashes", load, keys.where("h is not null").groupBy("h").agg(F.min("at").alias("at")))
         self._fs.create(self._path(f"loads/{load}"), True).close()
 
-    def check(self, rows: DataFrame) -> DataFrame:
+    def check(self, rows: DataFrame, keys: DataFrame | None = None) -> DataFrame:
         """(row, kind): the rows (see delivered) of which an earlier row has an equal hash (same), or another identity and a similar content (near)."""
         first = self._read("hashes").groupBy("h").agg(F.min("at").alias("first"))
-        seen = rows.join(first, "h", "left").select("row", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same"))
+        keys = self.keys(rows) if keys is None else keys
+        seen = keys.join(first, "h", "left").select("row", "who", "md5", "at", F.coalesce(F.col("first") < F.col("at"), F.lit(False)).alias("same"))
         seen = materialize(seen, "rows")
         known = self._read("sets").select("md5", "cid")
         links = self._read("links").select("a", "b")
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # the index has no set of contents that are too short either
-        texts = rows.where(F.length("content") >= self.least_words)
-        unknown = materialize(texts.select("md5").distinct().join(known, "md5", "left_anti"), "unknown")
+        # a member without a set is known to be too short
+        unknown = materialize(keys.where("long").select("md5").distinct().join(self._read("members").select("md5"), "md5", "left_anti"), "unknown")
         if unknown.limit(1).count():
-            new = S.content_classes(texts.join(unknown, "md5", "left_semi"), "row", "content", self.least_words)
+            new = S.content_classes(rows.join(unknown, "md5", "left_semi"), "row", "content", self.least_words)
             new = materialize(_sets(new.withColumn("cid", -F.col("cid") - 1), self.k, self.least_words), "new")
             known = known.unionByName(new.select("md5", "cid"))
             # ids of unknown contents are below 0
@@ -318,14 +329,16 @@ def repeated_rows(items: DataFrame, batches: DataFrame, t: float = 0.8, k: int =
     rows = delivered(rows, "row_seq", "content", "file_hash", ["repo", "id"], at)
     cuts = [] if lo is None else [lo + (hi + 1 - lo) * i // loads for i in range(1, loads)]
     out = None
-    with scratch() as keep, workspace(items.sparkSession, "index") as root:
+    with scratch() as keep, workspace(items.sparkSession, "index") as root, shuffles_deleted(items.sparkSession):
         index = SegmentIndex(items.sparkSession, root, t, k, least_words)
         for i, (begin, end) in enumerate(zip([None, *cuts], [*cuts, None])):
             # every load but the first comes after batch number begin
             part = rows.where(F.lit(True) if begin is None else F.col("at") >= begin).where(F.lit(True) if end is None else F.col("at") < end)
-            index.accept(f"part-{i}", part)
-            got = index.check(part).select(F.col("row").alias("row_seq"), "kind")
+            keys = index.keys(part)
+            index.accept(f"part-{i}", part, keys)
+            got = index.check(part, keys).select(F.col("row").alias("row_seq"), "kind")
             keep.append(got := materialize(got, "repeated"))
+            release(keys)
             out = got if out is None else out.unionByName(got)
         index.close()
     return out

@@ -61,6 +61,21 @@ def shingle_hashes(tokens: list[str], k: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def all_shingle_hashes(texts: list[list[str]], k: int) -> list[np.ndarray]:
+    """shingle_hashes of many texts of at least k words each, hashed at once."""
+    if not texts:
+        return []
+    size = np.array([len(w) for w in texts])
+    w = np.fromiter((_HASHES[x] for tokens in texts for x in tokens), np.uint64, size.sum())
+    m = len(w) - k + 1
+    h = np.zeros(m, np.uint64)
+    for i in range(k):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + m])
+    # runs over the end of a text are left out
+    h, end = h.view(np.int64), np.cumsum(size)
+    return [np.unique(h[b - n : b - k + 1]) for n, b in zip(size.tolist(), end.tolist())]
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
@@ -184,6 +199,13 @@ def signature(toks: np.ndarray, size: int = SIG_WORDS) -> tuple[np.ndarray, int]
     return np.packbits(bits).view(np.uint64), len(toks) - int(bits.sum())
 
 
+def signatures(toks: np.ndarray, n: np.ndarray, size: int = SIG_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """signature of many sets of n tokens each, one after the other: a row of size words for each, and the shared bits."""
+    bits = np.zeros((len(n), 64 * size), np.uint8)
+    bits[np.repeat(np.arange(len(n)), n), (_mix(toks.view(np.uint64)) % np.uint64(64 * size)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1).view(np.uint64), n - bits.sum(1, dtype=np.int64)
+
+
 def wide_signature(toks: np.ndarray) -> np.ndarray:
     """A wider token bitmap, with the number of shared bits at its end."""
     sig, c = signature(toks, WIDE_WORDS)

@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 _own_dirs: list[str] = []
 
@@ -104,6 +105,17 @@ def scratch() -> Iterator[list[DataFrame]]:
                 _written.remove(entry)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within the block, the shuffle files of each query are deleted when it ends, not when the driver happens to collect its garbage."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 @contextmanager
 def workspace(spark: SparkSession, name: str) -> Iterator[str]:
     """A folder beside the written tables, deleted at the end of the block (or of the interpreter)."""

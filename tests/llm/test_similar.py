@@ -1,6 +1,7 @@
 """Near-duplicates and checks against history, held against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +213,37 @@ def test_index_kept_over_batches(spark, tmp_path, monkeypatch):
         H.SegmentIndex(spark, root, 0.8, 3, 30)
 
 
+def test_known_contents_are_not_cut_again(spark, tmp_path, monkeypatch):
+    # a content of too few words has no set, but is known from its load
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(0, "r", "a", "h0", text, 0), (1, "r", "b", "h1", "x" * 50, 0), (2, "r", "c", "h2", text, 1), (3, "r", "d", "h3", "x" * 50, 1)], "row_seq long, repo string, id string, file_hash string, content string, at long")
+    rows = H.delivered(df, "row_seq", "content", "file_hash", ["repo", "id"], F.col("at"))
+    index = H.SegmentIndex(spark, f"file://{tmp_path}/index", 0.7, 3, 30)
+    index.accept("one", rows.where("at = 0"))
+    cut, sets = [], H._sets
+    monkeypatch.setattr(H, "_sets", lambda texts, *args: cut.append(texts.count()) or sets(texts, *args))
+    index.accept("two", rows.where("at = 1"))
+    assert cut == [0]
+    assert [tuple(r) for r in index.check(rows.where("at = 1")).collect()] == [(2, "near")]
+    assert cut == [0]
+    index.close()
+
+
+def test_history_leaves_no_shuffle_files(spark):
+    jvm = spark.sparkContext._jvm
+    files = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(option, None)
+    texts = [" ".join(f"w{i % 31 + j}" for i in range(50)) for j in range(4)]
+    df = spark.createDataFrame([(i, "r", str(i), f"b{i % 3}", f"h{i % 9}", texts[i % 4]) for i in range(40)], "row_seq long, repo string, id string, index_batch_id string, file_hash string, content string")
+    batches = spark.createDataFrame([(f"b{i}", i) for i in range(3)], "index_batch_id string, batch_no int")
+    # the last ones are deleted a moment later
+    out, end = H.repeated_rows(df, batches, 0.7, 3, 30), time.time() + 10
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert out.count() and not left and spark.conf.get(option, None) == was
+
+
 def test_a_load_that_fails_between_its_writes(spark, tmp_path, monkeypatch):
     rows, batches = history_rows(3)
     no = {b: n for b, n, _ in batches} | {None: -1}
