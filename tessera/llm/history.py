@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import shingles as S
 from tessera.operators.incremental import plain_hash
-from tessera.plans.tables import materialize, release, scratch, shuffles_deleted, workspace
+from tessera.plans.tables import materialize, option, scratch, shuffles_deleted, workspace
 
 SIG = [f"s{i}" for i in range(S.SIG_WORDS)]
 SIGNS = "n int, c int, " + ", ".join(f"{s} long" for s in SIG)
@@ -67,13 +67,17 @@ def _places(owner: np.ndarray) -> np.ndarray:
 
 
 class Cut:
-    """Many sets at once: their tokens one after the other, rank above 0 for frequent tokens, n the sets' sizes."""
+    """Many sets at once: their tokens one after the other, rising in each, rank above 0 for frequent tokens, n the sets' sizes."""
 
     def __init__(self, toks: np.ndarray, n: np.ndarray, rank: np.ndarray, t: float):
         self.t, self.n = t, n
         owner = np.repeat(np.arange(len(n)), n)
-        by = np.lexsort((toks.view(np.uint64), owner))
-        self.toks, self.rank, self.owner = toks[by], rank[by], owner[by]
+        # in the order of unsigned numbers, the tokens below 0 come last in their set
+        below = np.bincount(owner[toks < 0], minlength=len(n))
+        start = np.cumsum(n) - n
+        by = np.arange(len(toks)) + np.repeat(below, n)
+        by -= np.where(by >= np.repeat(start + n, n), np.repeat(n, n), 0)
+        self.toks, self.rank, self.owner = toks[by], rank[by], owner
         rare = self.rank == 0
         self.u, self.of = self.toks[rare].view(np.uint64), self.owner[rare]
         self.mixed = S._mix(self.u)
@@ -129,14 +133,12 @@ def _sets(texts: DataFrame, k: int, least_words: int) -> DataFrame:
                     cids.append(cid)
                     keys.append(key)
                     texts.append(w)
-            toks = S.all_shingle_hashes(texts, k)
-            n = np.array([len(x) for x in toks], np.int64)
-            flat = np.concatenate(toks) if toks else np.empty(0, np.int64)
+            flat, n = S.all_shingle_hashes(texts, k)
             sig, c = S.signatures(flat, n)
             words, shared = S.signatures(flat, n, S.WIDE_WORDS)
             wide = np.column_stack([words.view(np.int64), shared])
             cols = [pa.array(cids, pa.int64()), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(c.astype(np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in sig.view(np.int64).T]]
-            yield pa.RecordBatch.from_arrays([*cols, S.lists(toks, pa.int64()), S.lists(list(wide), pa.int64())], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
+            yield pa.RecordBatch.from_arrays([*cols, S.flat_lists(flat, n), S.flat_lists(wide.ravel(), np.full(len(n), S.WIDE_WORDS + 1))], names=["cid", "md5", "n", "c", *SIG, "toks", "wide"])
 
     return texts.select("cid", "md5", "content").mapInArrow(run, TABLES["sets"][0])
 
@@ -211,7 +213,9 @@ class SegmentIndex:
         df.select(*columns).repartition(self.buckets, key).createOrReplaceTempView(view)
         # what a failed run left; the load isn't committed, so that nothing reads it
         self._fs.delete(self._path(f"{table}/load={load}"), True)
-        self.spark.sql(f"INSERT INTO {self._name}_{table} PARTITION (load = '{load}') SELECT * FROM {view}")
+        # a task's rows are of one bucket; they need no sorting by it
+        with option(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+            self.spark.sql(f"INSERT INTO {self._name}_{table} PARTITION (load = '{load}') SELECT * FROM {view}")
         self.spark.catalog.dropTempView(view)
 
     def _frequent(self, sets: DataFrame) -> S.Frequencies:
@@ -226,23 +230,23 @@ class SegmentIndex:
         """(a, b, distance, sim): the new sets against those of the committed loads, and of load."""
         t, more = self.t, [load] if load else []
         stored = self._read("segments", *more)
-        counts = stored.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
         total = sum(self.spark.table(f"{self._name}_segments").where(F.col("load") == x).count() for x in [*self.loads(), *more])
         # a probe that no stored set has, or none but the prober itself, meets nothing; full bitmaps cost only speed
-        any_, several = S.key_bitmaps(counts, total)
-        shared = self.spark.sparkContext.broadcast((self._frequent(new), any_, several, load is not None))
+        with option(self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+            bits = S.BucketBits.of(stored, total, self.buckets)
+        shared = self.spark.sparkContext.broadcast((self._frequent(new), bits, load is not None))
 
         def run(batches):
-            freq, any_, several, inside = shared.value
+            freq, bits, inside = shared.value
             for batch in batches:
                 cut = _cut(batch.column(len(signs)), freq, t)
                 keys, owner = cut.probed()
-                ok = S.in_bitmap(any_, keys)
-                keys, owner = keys[ok], owner[ok]
+                ok, several = bits.held(keys)
+                keys, owner, several = keys[ok], owner[ok], several[ok]
                 if inside:
                     own, by = cut.stored()
                     mark = lambda k, o: S._mix(k.view(np.uint64) + S._mix(o.astype(np.uint64) + np.uint64(1)))
-                    ok = S.in_bitmap(several, keys) | ~np.isin(mark(keys, owner), mark(own, by))
+                    ok = several | ~np.isin(mark(keys, owner), mark(own, by))
                     keys, owner = keys[ok], owner[ok]
                 at = pa.array(owner)
                 for lo in range(0, len(keys), 1 << 16):
@@ -253,11 +257,11 @@ class SegmentIndex:
         probes = materialize(new.select(*signs, "toks").mapInArrow(run, f"key long, cid long, {SIGNS}"), "probes")
         shared.destroy()
         sets = self._read("sets", *more)
-        # the probes' keys are few and distinct; hashed, they spare sorting all that is stored
-        met = stored.join(probes.select("key").distinct().hint("shuffle_hash"), "key", "left_semi")
+        # the probes' keys are few, and kept once when hashed; that spares sorting all that is stored
+        met = stored.join(probes.select("key").hint("shuffle_hash"), "key", "left_semi")
         entries = met.join(sets.select(*signs), "cid").withColumn("role", F.lit(1 | 64)).unionByName(probes.withColumn("role", F.lit(2 | 32)))
         whole = sets.select("cid", "n", "toks", "wide")
-        return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t), whole if load else whole.unionByName(new.select("cid", "n", "toks", "wide")), t)
+        return S.verified(S.block_pairs(entries.select("key", "cid", "n", "c", "role", *SIG), t, stored.select("key").unionByName(probes.select("key")), 2 * total), whole if load else whole.unionByName(new.select("cid", "n", "toks", "wide")), t)
 
     def keys(self, rows: DataFrame) -> DataFrame:
         """The rows (see delivered) without their contents, and whether these are long enough for a set; written once for accept() and check()."""
@@ -331,14 +335,14 @@ def repeated_rows(items: DataFrame, batches: DataFrame, t: float = 0.8, k: int =
     out = None
     with scratch() as keep, workspace(items.sparkSession, "index") as root, shuffles_deleted(items.sparkSession):
         index = SegmentIndex(items.sparkSession, root, t, k, least_words)
+        keys = index.keys(rows)
         for i, (begin, end) in enumerate(zip([None, *cuts], [*cuts, None])):
             # every load but the first comes after batch number begin
-            part = rows.where(F.lit(True) if begin is None else F.col("at") >= begin).where(F.lit(True) if end is None else F.col("at") < end)
-            keys = index.keys(part)
-            index.accept(f"part-{i}", part, keys)
-            got = index.check(part, keys).select(F.col("row").alias("row_seq"), "kind")
+            within = (F.lit(True) if begin is None else F.col("at") >= begin) & (F.lit(True) if end is None else F.col("at") < end)
+            part, own = rows.where(within), keys.where(within)
+            index.accept(f"part-{i}", part, own)
+            got = index.check(part, own).select(F.col("row").alias("row_seq"), "kind")
             keep.append(got := materialize(got, "repeated"))
-            release(keys)
             out = got if out is None else out.unionByName(got)
         index.close()
     return out

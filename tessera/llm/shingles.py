@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from tessera.plans.tables import materialize, release
 WORD = re.compile(r"[a-z0-9_]+|[一-鿿]")
 #: least and most bits (as powers of 2) of a bitmap of tokens or keys, and most entries of the list of frequent tokens
 BITMAP, MOST_FREQUENT = (20, 28), 1 << 16
+#: tokens or keys that a task counts at once
+COUNTED = 1 << 21
 #: words of a set's token bitmap in the trees, and of the one that candidates are held against before their sets are
 SIG_WORDS, WIDE_WORDS = 4, 16
 #: entries of a block that is cut into cells, of a cell, and of a task's tree (a block more); cells or nodes of a node above
@@ -61,19 +64,25 @@ def shingle_hashes(tokens: list[str], k: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def all_shingle_hashes(texts: list[list[str]], k: int) -> list[np.ndarray]:
-    """shingle_hashes of many texts of at least k words each, hashed at once."""
+def all_shingle_hashes(texts: list[list[str]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_hashes of many texts of at least k words each, hashed at once: one after the other, and their numbers."""
     if not texts:
-        return []
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     size = np.array([len(w) for w in texts])
-    w = np.fromiter((_HASHES[x] for tokens in texts for x in tokens), np.uint64, size.sum())
+    w = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(texts)), np.uint64, size.sum())
     m = len(w) - k + 1
     h = np.zeros(m, np.uint64)
     for i in range(k):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + m])
     # runs over the end of a text are left out
-    h, end = h.view(np.int64), np.cumsum(size)
-    return [np.unique(h[b - n : b - k + 1]) for n, b in zip(size.tolist(), end.tolist())]
+    h, end, runs = h.view(np.int64), np.cumsum(size), size - k + 1
+    new = np.zeros(m, bool)
+    for b, e in zip((end - size).tolist(), (end - k + 1).tolist()):
+        h[b:e].sort()
+        new[b] = True
+    inside = np.repeat(end - size - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+    first = (new | np.r_[True, h[1:] != h[:-1]])[inside]
+    return h[inside[first]], np.bincount(np.repeat(np.arange(len(size)), runs)[first], minlength=len(size))
 
 
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -83,6 +92,11 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def flat_lists(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """Lists of n values each, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values))
+
+
 def text_key(text: Column) -> Column:
     """The MD5 of a text, as 16 bytes."""
     return F.unhex(F.md5(text.cast("binary")))
@@ -164,6 +178,86 @@ def in_bitmap(seen: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets that Spark puts longs into: their Murmur3 hash of seed 42, modulo buckets."""
+    u = keys.view(np.uint64)
+    h = np.full(len(u), 42, np.uint32)
+    for half in (u.astype(np.uint32), (u >> np.uint64(32)).astype(np.uint32)):
+        k = half * np.uint32(0xCC9E2D51)
+        h ^= ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return np.mod((h ^ (h >> np.uint32(16))).view(np.int32), np.int32(buckets)).astype(np.int64)
+
+
+@dataclass
+class BucketBits:
+    """Bitmaps of the keys of a bucketed table, each bucket's in a slice of 2**power bits: of all keys, and of those that several rows have."""
+
+    buckets: int
+    power: int
+    any_: np.ndarray
+    several: np.ndarray
+
+    @staticmethod
+    def places(keys: np.ndarray, buckets: int, power: int) -> list[np.ndarray]:
+        """A key's two bits."""
+        u, base = keys.view(np.uint64), bucket_of(keys, buckets) << power
+        return [base + ((u >> np.uint64(x)) & np.uint64((1 << power) - 1)).astype(np.int64) for x in (0, 64 - power)]
+
+    @classmethod
+    def of(cls, rows: DataFrame, total: int, buckets: int) -> BucketBits:
+        """Of the rows' key, 16 bits or more for each of total rows, as far as BITMAP allows.
+
+        A task that reads whole buckets writes their slices only, and nothing is
+        shuffled. What two tasks or chunks both hold counts as several rows.
+        """
+        power = min(24, max(6, min(BITMAP[1], max(BITMAP[0], int(total).bit_length() + 4)) - (buckets - 1).bit_length()))
+        low = (1 << power) - 1
+
+        def add(found: dict, held: list[np.ndarray]) -> None:
+            keys, f = np.unique(np.concatenate(held), return_counts=True)
+            x, y = cls.places(keys, buckets, power)
+            which = x >> power
+            for b in np.flatnonzero(np.bincount(which, minlength=buckets)).tolist():
+                any_, several = found.setdefault(b, np.zeros((2, low + 1), bool))
+                own = which == b
+                p, q = x[own] & low, y[own] & low
+                more = (f[own] > 1) | any_[p] & any_[q]
+                any_[p] = any_[q] = True
+                several[p[more]] = several[q[more]] = True
+
+        def run(batches):
+            found, held, size = {}, [], 0
+            for batch in batches:
+                held.append(batch.column(0).to_numpy())
+                size += batch.num_rows
+                if size >= COUNTED:
+                    add(found, held)
+                    held, size = [], 0
+            if size:
+                add(found, held)
+            for b, bits in found.items():
+                cols = [b, *(np.packbits(x, bitorder="little").tobytes() for x in bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "any_", "several"])
+
+        out = cls(buckets, power, *np.zeros((2, buckets << (power - 3)), np.uint8))
+        got = rows.select("key").mapInArrow(run, "bucket int, any_ binary, several binary").toArrow()
+        for b, any_, several in zip(*(got.column(i).to_pylist() for i in range(3))):
+            at = slice(b << (power - 3), (b + 1) << (power - 3))
+            any_ = np.frombuffer(any_, np.uint8)
+            out.several[at] |= np.frombuffer(several, np.uint8) | out.any_[at] & any_
+            out.any_[at] |= any_
+        return out
+
+    def held(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the table may have each key, and in several rows."""
+        places = self.places(keys, self.buckets, self.power)
+        return tuple(np.logical_and(*((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in places)) for bits in (self.any_, self.several))
+
+
 def _counted(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
 
@@ -178,9 +272,33 @@ def _ranked(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent tokens of all sets and their ranks, at most MOST_FREQUENT."""
-    total = sets.agg(F.sum(F.size("toks"))).first()[0] or 0
-    return _ranked(_counted(sets).where(F.col("f") > max(8, total // MOST_FREQUENT)))
+    """Frequent tokens of all sets (n, toks) and their ranks, at most MOST_FREQUENT.
+
+    Each task counts its tokens in chunks and sends on those of a chunk that are
+    more than its MOST_FREQUENTth part, so that tokens seen once or twice are not
+    shuffled. A token of more than twice that part of all tokens is always
+    found, one of less never.
+    """
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        tok, f = np.unique(np.concatenate(held), return_counts=True)
+        ok = f > sum(map(len, held)) // MOST_FREQUENT
+        return pa.RecordBatch.from_arrays([pa.array(tok[ok]), pa.array(f[ok])], names=["tok", "f"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy(zero_copy_only=False))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    counts = sets.select("toks").mapInArrow(run, "tok long, f long").groupBy("tok").agg(F.sum("f").alias("f"))
+    return _ranked(counts.where(F.col("f") > max(8, total // MOST_FREQUENT)))
 
 
 def frequencies(sets: DataFrame) -> Frequencies:
@@ -249,10 +367,13 @@ class SignatureTree:
 
     def _possible(self, level: int, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
         first, last, lo, hi, cm, s, r = self.levels[level]
-        ok = (first[b] <= last[a]) & (first[a] <= last[b]) & (lo[b] * t <= hi[a] + 1e-9) & (lo[a] * t <= hi[b] + 1e-9) & joinable(r[a], r[b])
-        i = np.flatnonzero(ok)
+        # most pairs are of different blocks and end at once
+        i = np.flatnonzero((first[b] <= last[a]) & (first[a] <= last[b]))
         x, y = a[i], b[i]
+        at = (lo[y] * t <= hi[x] + 1e-9) & (lo[x] * t <= hi[y] + 1e-9) & joinable(r[x], r[y])
+        i, x, y = i[at], x[at], y[at]
         most = np.bitwise_count(s[x] & s[y]).sum(1, dtype=np.int64) + np.minimum(cm[x], cm[y])
+        ok = np.zeros(len(a), bool)
         ok[i] = most >= least_overlap(lo[x], lo[y], t)
         self.seen, self.kept = self.seen + len(a), self.kept + int(ok.sum())
         return ok
@@ -287,20 +408,30 @@ def joinable(ra: np.ndarray, rb: np.ndarray) -> np.ndarray:
     return meet(1, 2) & meet(32, 64) & (meet(4, 8) | (ra & rb & 16 != 0))
 
 
-def block_pairs(entries: DataFrame, t: float) -> DataFrame:
+def block_pairs(entries: DataFrame, t: float, keys: DataFrame | None = None, total: int = 0) -> DataFrame:
     """(a, b): pairs of classes (a < b) that share a block and may have similarity t, all of them found by dual traversal of signature trees.
 
     A task reads its entries in order of block, some CHUNK at a time, and holds
     one tree over them, whose nodes of different blocks prune each other. A
     block of more than HOT_BLOCK entries is a tree of tables first: it is cut
     into cells, the cells' upper nodes are traversed by joins, and each pair of
-    cells left is a block of its own, so that no block sits in one task.
+    cells left is a block of its own, so that no block sits in one task. keys:
+    written tables of all entries' keys and perhaps more, some total; the entries
+    are then written for large blocks only.
     """
-    entries = materialize(entries, "entries")
-    hot = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_BLOCK)
-    if hot.limit(1).count():
+    if keys is None:
+        entries = keys = materialize(entries, "entries")
+        total = keys.count()
+    slot = F.col("key").bitwiseAND(F.lit((1 << (total // 512).bit_length()) - 1))
+    # no block is larger than its slot, so that keys are counted one by one in the large slots only
+    large = [r.slot for r in keys.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_BLOCK).collect()]
+    if large:
+        entries = materialize(entries, "entries") if entries is not keys else entries
+        slots = entries.sparkSession.createDataFrame([(x,) for x in large], "slot long")
+        hot = entries.select("key", slot.alias("slot")).join(F.broadcast(slots), "slot", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT_BLOCK)
         hot = materialize(hot, "hot")
-        entries = entries.join(hot, "key", "left_anti").unionByName(_cells(entries.join(hot.drop("m"), "key", "left_semi"), t))
+        if hot.limit(1).count():
+            entries = entries.join(hot, "key", "left_anti").unionByName(_cells(entries.join(hot.drop("m"), "key", "left_semi"), t))
 
     def solve(got: pa.Table):
         key, cid, n, c, role = (got.column(i).to_numpy() for i in range(5))
@@ -391,15 +522,27 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     As strings in hash order the sets are distance insertions and deletions
     apart; a similarity of t allows (1 - t) / (1 + t) of both lengths. Pairs
     whose wide bitmaps show a greater distance end there, before the strings
-    are fetched.
+    are fetched. The pairs are few beside the sets and hashed, which spares
+    sorting sets.
     """
     side = lambda x, *cs: sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cs])
     total = F.col("n_a") + F.col("n_b")
     bound = F.floor((1 - t) / (1 + t) * F.col("total") + 1e-9)
     both = F.zip_with(F.slice("wide_a", 1, WIDE_WORDS), F.slice("wide_b", 1, WIDE_WORDS), lambda x, y: F.bit_count(x.bitwiseAND(y)))
     most = F.aggregate(both, F.lit(0), lambda s, x: s + x) + F.least(F.element_at("wide_a", WIDE_WORDS + 1), F.element_at("wide_b", WIDE_WORDS + 1))
-    close = pairs.join(side("a", "n", "wide"), "a").join(side("b", "n", "wide"), "b").select("a", "b", total.alias("total"), most.alias("most"))
+    hashed = lambda df: df.hint("shuffle_hash")
+    close = hashed(hashed(pairs).join(side("a", "n", "wide"), "a")).join(side("b", "n", "wide"), "b").select("a", "b", total.alias("total"), most.alias("most"))
     close = close.where(F.col("total") - 2 * F.col("most") <= bound).select("a", "b", "total")
-    met = close.join(side("a", "toks"), "a").join(side("b", "toks"), "b").select("a", "b", "total", (F.col("total") - 2 * F.size(F.array_intersect("toks_a", "toks_b"))).alias("distance"))
-    sim = (F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))
-    return met.where(F.col("distance") <= bound).select("a", "b", "distance", sim.alias("sim")).where(F.col("sim") >= t)
+    met = hashed(close).join(side("a", "toks"), "a").join(side("b", "toks"), "b").select("a", "b", "total", "toks_a", "toks_b")
+
+    def run(batches):
+        for batch in batches:
+            total = batch.column(2).to_numpy().astype(np.int64)
+            (u, x), (v, y) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(3), batch.column(4)))
+            shared = [len(np.intersect1d(u[x[i] : x[i + 1]], v[y[i] : y[i + 1]], assume_unique=True)) for i in range(len(total))]
+            distance = total - 2 * np.array(shared, np.int64)
+            sim = (total - distance) / (total + distance)
+            ok = pa.array((distance <= np.floor((1 - t) / (1 + t) * total + 1e-9)) & (sim >= t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(distance), pa.array(sim)], names=["a", "b", "distance", "sim"]).filter(ok)
+
+    return met.mapInArrow(run, "a long, b long, distance long, sim double")

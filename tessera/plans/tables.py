@@ -106,14 +106,19 @@ def scratch() -> Iterator[list[DataFrame]]:
 
 
 @contextmanager
-def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """Within the block, the shuffle files of each query are deleted when it ends, not when the driver happens to collect its garbage."""
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def option(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within the block, the session's option has this value."""
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
+def shuffles_deleted(spark: SparkSession):
+    """Within the block, the shuffle files of each query are deleted when it ends, not when the driver happens to collect its garbage."""
+    return option(spark, _CLEANUP, "true")
 
 
 @contextmanager

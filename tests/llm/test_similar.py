@@ -229,6 +229,48 @@ def test_known_contents_are_not_cut_again(spark, tmp_path, monkeypatch):
     index.close()
 
 
+def test_bucket_bitmaps_hold_all_keys(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    keys = np.r_[rng.integers(-(2**63), 2**63 - 1, 3000), 0, -1]
+    df = spark.createDataFrame([(int(k), 0) for k in [*keys, *keys[::2]]], "key long, x int").repartition(5, "key")
+    assert S.bucket_of(keys, 5).tolist() == [r[0] for r in spark.createDataFrame([(int(k),) for k in keys], "key long").select(F.expr("pmod(hash(key), 5)")).collect()]
+    # by bucket and chunk, and with keys of one bucket in several tasks
+    for rows, chunk in ((df, 1 << 21), (df, 100), (df.repartition(3, "x", F.rand(1)), 100)):
+        monkeypatch.setattr(S, "COUNTED", chunk)
+        bits = S.BucketBits.of(rows, 4503, 5)
+        any_, several = bits.held(keys)
+        assert any_.all() and several[::2].all() and several[1::2].mean() < 0.05
+        assert bits.held(rng.integers(-(2**63), 2**63 - 1, 3000))[0].mean() < 0.05
+
+
+def test_frequent_tokens_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(S, "MOST_FREQUENT", 100)
+    rng = np.random.default_rng(3)
+    sets = [[int(x) for x in np.unique(rng.integers(1000, 10**9, 50))] + [7] * (i % 2) + [8] * (i % 3 == 0) + [9] * (i % 40 == 0) for i in range(600)]
+    df = spark.createDataFrame([(len(x), x) for x in sets], "n int, toks array<long>").repartition(3)
+    for chunk in (1 << 21, 500):
+        monkeypatch.setattr(S, "COUNTED", chunk)
+        # 7 and 8 are in 1 and 0.7 of 100 tokens, of which a chunk may have more
+        hot, rank = S.frequent(df)
+        assert {*hot.tolist()} <= {7, 8} and (7 not in hot or rank[list(hot).index(7)] == len(hot))
+    monkeypatch.setattr(S, "MOST_FREQUENT", 1000)
+    assert [x.tolist() for x in S.frequent(df)] == [[7, 8], [2, 1]]
+
+
+def test_history_writes_entries_of_large_blocks_only(spark, tmp_path, monkeypatch):
+    rows = [(i, "r", f"id{i}", i % 2, f"h{i}", x) for i, x in enumerate(texts(11, families=8))]
+    want, names, write = None, [], S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: names.append(name) or write(df, name))
+    for most in (4096, 2):
+        monkeypatch.setattr(S, "HOT_BLOCK", most)
+        index = H.SegmentIndex(spark, f"file://{tmp_path}/index-{most}", 0.7, 3, 30)
+        index.accept("one", into(spark, rows))
+        got = sorted(tuple(r) for r in index.check(into(spark, rows)).collect())
+        assert got and want in (None, got) and ("entries" in names) == (most == 2)
+        want = got
+        index.close()
+
+
 def test_history_leaves_no_shuffle_files(spark):
     jvm = spark.sparkContext._jvm
     files = lambda: {f.getName() for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
