@@ -9,7 +9,9 @@ relaxed distance pruning keeps diverse edges. Every class is searched by beam
 in its PROBES nearest shards, for each of its items apart: classes that hold
 nothing but the asking item are passed over before candidates are cut, shards
 that hold nothing else aren't counted, and where the item's own vectors fill
-the beam, the shard's others are compared one by one. What the graphs find is
+the beam, the shard's others are compared one by one. Where a least similarity
+is wanted, a shard's graph is searched only for those classes of other shards
+that reach it there, as a product with all its vectors tells. What the graphs find is
 turned into rows again: for each class and item its nearest rows of other items.
 
 Approximate: recall against brute force is measured by the tests.
@@ -35,8 +37,18 @@ CAPACITY, PROBES, SAMPLE, MOST_CENTRES = 16_000, 4, 10_000, 1_000
 DEGREE, BEAM, RELAX, WIDTH = 32, 64, 1.44, 4
 #: nodes whose distances every search begins with, and how many of the nearest it starts at
 ENTRIES, STARTS = 2048, 16
-#: queries that a shard is asked at once
-QUERIES = 4096
+#: queries that a shard is asked at once; of these, those that walk its graph together
+QUERIES, TOGETHER = 4096, 128
+#: a beam's place as one number that sorts by distance: 32 bits of distance, 31 of node, one set once its edges are followed; a free place
+FOLLOWED, NONE = np.uint64(1), np.uint64(2**64 - 2)
+
+
+def _keys(node: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    return np.maximum(dist, np.float32(0)).view(np.uint32).astype(np.uint64) << np.uint64(32) | node.astype(np.uint64) << np.uint64(1)
+
+
+def _nodes(keys: np.ndarray) -> np.ndarray:
+    return ((keys & np.uint64(2**32 - 1)) >> np.uint64(1)).astype(np.int64)
 
 
 class Graph:
@@ -108,63 +120,60 @@ class Graph:
                 by = np.argsort(d, 1, kind="stable")
                 self.edges[p] = self._prune(p, np.take_along_axis(c, by, 1), np.take_along_axis(d, by, 1))
 
-    def search(self, q: np.ndarray, beam: int, own: np.ndarray | None = None, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int, start: np.ndarray | None = None, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each query the nearest nodes found (-1 where fewer) and their squared distances, by rising distance.
 
-        The beam starts at the nearest of the entries, and at the query's own
-        node where it has one (own, -1 for none). reach: only so many of the
-        entries are in the graph yet.
+        The beam starts at the nearest of the entries, and at a node known to be
+        near, as the query's own, where there is one (start, -1 for none).
+        reach: only so many of the entries are in the graph yet.
         """
         ids, dist = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), np.inf, np.float32)
-        for lo in range(0, len(q), 1024):
-            at = slice(lo, lo + 1024)
-            ids[at], dist[at] = self._beam(np.ascontiguousarray(q[at], np.float32), beam, self.entries[:reach], None if own is None else own[at])
+        for lo in range(0, len(q), TOGETHER):
+            at = slice(lo, lo + TOGETHER)
+            ids[at], dist[at] = self._beam(np.ascontiguousarray(q[at], np.float32), beam, self.entries[:reach], None if start is None else start[at])
         return ids, dist
 
-    def _beam(self, q: np.ndarray, beam: int, entries: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        m, e = len(q), min(len(entries), beam - 1, STARTS)
-        ids, dist, seen = np.full((m, beam), -1, np.int32), np.full((m, beam), np.inf, np.float32), np.zeros((m, beam), bool)
+    def _beam(self, q: np.ndarray, beam: int, entries: np.ndarray, start: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        m, e, bits = len(q), min(len(entries), beam - 1, STARTS), len(self.x).bit_length()
         far = 2 - 2 * (q @ self.x[entries].T)
         near = np.argpartition(far, e - 1, 1)[:, :e]
-        ids[:, :e], dist[:, :e] = entries[near], np.take_along_axis(far, near, 1)
-        if own is not None:
-            has = (own >= 0) & (ids[:, :e] != own[:, None]).all(1)
-            ids[has, e], dist[has, e] = own[has], 0
-        by = np.argsort(dist, 1, kind="stable")
-        ids, dist = np.take_along_axis(ids, by, 1), np.take_along_axis(dist, by, 1)
-        live = np.arange(m)
-        while len(live):
-            i, d, s = ids[live], dist[live], seen[live]
-            todo = ~s & (i >= 0)
-            todo &= np.cumsum(todo, 1) <= WIDTH
-            some = todo.any(1)
-            if not some.all():
-                live, i, d, s, todo = live[some], i[some], d[some], s[some], todo[some]
-                if not len(live):
-                    break
-            s |= todo
-            row, col = np.nonzero(todo)
-            slot = (np.cumsum(todo, 1) - 1)[row, col]
-            fresh = np.full((len(live), WIDTH, DEGREE), -1, np.int32)
-            fresh[row, slot] = self.edges[i[row, col]]
-            every = np.concatenate([i, fresh.reshape(len(live), -1)], 1)
-            by = np.argsort(every, 1, kind="stable")
-            ordered = np.take_along_axis(every, by, 1)
-            again = np.zeros_like(ordered, bool)
-            again[:, 1:] = ordered[:, 1:] == ordered[:, :-1]
-            drop = np.zeros_like(again)
-            np.put_along_axis(drop, by, again, 1)
-            new = ~drop[:, beam:] & (every[:, beam:] >= 0)
-            r, c = np.nonzero(new)
-            far = np.full(new.shape, np.inf, np.float32)
-            far[r, c] = 2 - 2 * np.einsum("ij,ij->i", q[live[r]], self.x[every[:, beam:][r, c]])
-            d = np.concatenate([d, far], 1)
-            s = np.concatenate([s, np.zeros(new.shape, bool)], 1)
-            top = np.argpartition(d, beam - 1, 1)[:, :beam]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(d, top, 1), 1, kind="stable"), 1)
-            ids[live], dist[live], seen[live] = np.take_along_axis(every, top, 1), np.take_along_axis(d, top, 1), np.take_along_axis(s, top, 1)
-            ids[live] = np.where(np.isfinite(dist[live]), ids[live], -1)
-        return ids, dist
+        held, met = np.full((m, beam), NONE), np.zeros(m << bits, bool)  # met: (query, node), whether compared
+        held[:, :e] = _keys(entries[near], np.take_along_axis(far, near, 1))
+        met[(np.arange(m)[:, None] << bits) + entries[near]] = True
+        if start is not None:
+            r = np.flatnonzero(start >= 0)
+            r = r[~met[(r << bits) + start[r]]]
+            held[r, e] = _keys(start[r], 2 - 2 * np.einsum("ij,ij->i", q[r], self.x[start[r]]))
+            met[(r << bits) + start[r]] = True
+        held.sort(1)
+        flat = held.reshape(-1)
+        while True:
+            todo = (held & FOLLOWED == 0) & (held != NONE)
+            todo &= np.cumsum(todo, 1, dtype=np.int32) <= WIDTH
+            place = np.flatnonzero(todo)
+            if not len(place):
+                break
+            flat[place] |= FOLLOWED
+            to = self.edges.take(_nodes(flat[place]), 0)
+            at = (to + (place // beam << bits)[:, None])[to >= 0]
+            at = np.sort(at[~met.take(at)])
+            at = at[np.diff(at, prepend=-1) > 0]
+            met[at] = True
+            r, node = at >> bits, at & ((1 << bits) - 1)
+            new = _keys(node, 2 - 2 * np.einsum("ij,ij->i", q.take(r, 0), self.x.take(node, 0)))
+            ok = new < held[:, -1].take(r)
+            r, new = r[ok], new[ok]
+            if not len(r):
+                continue
+            count = np.bincount(r, minlength=m)
+            rows = np.flatnonzero(count)
+            both = np.full((len(rows), beam + count.max()), NONE)
+            both[:, :beam] = held[rows]
+            both[np.repeat(np.arange(len(rows)), count[rows]), beam + np.arange(len(r)) - (np.cumsum(count) - count)[r]] = new
+            both.sort(1)
+            held[rows] = both[:, :beam]
+        none = held == NONE
+        return np.where(none, -1, _nodes(held)).astype(np.int32), np.where(none, np.float32(np.inf), (held >> np.uint64(32)).astype(np.uint32).view(np.float32))
 
 
 def usable(df: DataFrame, row_id: str, space: list[str], dimension: str, vector: str, item: list[str]) -> DataFrame:
@@ -289,10 +298,29 @@ class Shard:
         self.sole = np.array([i[0] if len(i) == 1 else 0 for i in items], np.int64)
         self.single = np.array([len(i) == 1 for i in items])
 
+    def _hopeful(self, node: np.ndarray, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the queries that can find something, and each query's node to start at (-1 for none).
+
+        What comes from other shards is first multiplied with all vectors here:
+        where none reaches least the search could only come back empty, and
+        elsewhere it starts at the nearest, too. Nothing is lost by that, and
+        the product costs less than a search as long as shards are bounded.
+        """
+        some, start = np.ones(len(node), bool), node.copy()
+        if least > -1:
+            away = np.flatnonzero(node < 0)
+            for p in (away[i : i + 256] for i in range(0, len(away), 256)):
+                near = x[p] @ self.graph.x.T
+                some[p] = near.max(1) >= least - 2e-4
+                start[p[some[p]]] = near[some[p]].argmax(1)
+        return np.flatnonzero(some), start
+
     def candidates(self, ids: np.ndarray, node: np.ndarray, x: np.ndarray, items: list, keep: int, least: float):
         """(query position, asking item or 0, whether there is one, node, similarity): for each query and item the keep nearest nodes of others found. node: the query's own, or -1."""
-        found, dist = self.graph.search(x, max(BEAM, keep + 1), node)
-        each = [(i, a, bool(items[i])) for i in range(len(found)) for a in (items[i] or [0])]
+        some, start = self._hopeful(node, x, least)
+        found, dist = np.full((len(x), max(BEAM, keep + 1)), -1, np.int32), np.full((len(x), max(BEAM, keep + 1)), np.inf, np.float32)
+        found[some], dist[some] = self.graph.search(x[some], max(BEAM, keep + 1), start[some])
+        each = [(i, a, bool(items[i])) for i in some.tolist() for a in (items[i] or [0])]
         q, asks, has = np.array([e[0] for e in each]), np.array([e[1] for e in each], np.int64), np.array([e[2] for e in each])
         for at in (slice(i, i + 8192) for i in range(0, len(q), 8192)):
             f, near = found[q[at]], 1 - dist[q[at]] / 2

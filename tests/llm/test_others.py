@@ -217,6 +217,28 @@ def test_close_pairs_are_asked_of_as_many_shards_as_any(spark, monkeypatch):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 200
 
 
+def test_other_shards_are_searched_only_where_something_is_near(monkeypatch):
+    rng = np.random.default_rng(5)
+    own, far = V._unit(cloud(2000).tolist()), V._unit(cloud(1500, seed=9).tolist())
+    # 60 of the queries from other shards have a near vector here
+    x = np.concatenate([far, V._unit((own[:60] + rng.normal(size=(60, 24)) * 0.02).tolist())]).astype(np.float32)
+    sims = x @ own.T.astype(np.float32)
+    ids, items, searched = np.arange(10_000, 10_000 + len(x)), [[i] for i in range(10_000, 10_000 + len(x))], []
+    shard, beams = V.Shard(np.arange(2000), [[i] for i in range(2000)], own), V.Graph.search
+    monkeypatch.setattr(V.Graph, "search", lambda self, q, *args: searched.append(len(q)) or beams(self, q, *args))
+    for least, hopeful in ((0.93, int((sims >= 0.93).any(1).sum())), (-1.0, len(x))):
+        got = defaultdict(dict)
+        for q, _, _, n, near in shard.candidates(ids, np.full(len(x), -1, np.int32), x, items, 40, least):
+            for i, j, s in zip(q.tolist(), n.tolist(), near.tolist()):
+                got[i][j] = s
+        assert abs(searched.pop() - hopeful) <= 2 and not searched  # a little slack for rounding
+        want = {i: [j for j in np.argsort(-sims[i], kind="stable")[:10].tolist() if sims[i, j] >= least] for i in range(len(x))}
+        assert sum(len(got[i].keys() & set(js)) for i, js in want.items()) >= 0.95 * sum(map(len, want.values()))
+        assert all(abs(s - sims[i, j]) < 1e-5 for i, found in got.items() for j, s in found.items())
+        if least > -1:
+            assert all(js[0] in got[i] for i, js in want.items() if js) and 60 <= hopeful < len(x) / 2
+
+
 # terms
 
 
