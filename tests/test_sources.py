@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,41 @@ def test_java_survives_broken_text(text):
     java.parse("x.java", text)
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "class A { int x; } " + '{\\"a\\": \\"b\\"} ' * 20_000,  # each escaped quote was tried up to the end of its line
+        "class A { int x; }\n" + '\\"""\n' * 40_000,
+        "class A { boolean x = " + "a < " * 20_000 + "c; }",
+        "class A { void x() { " + "{ " * 300 + "y(); " * 30_000 + "} " * 300 + " } }",
+        "class A { void x() { " + "(" * 20_000 + ")" * 20_000 + " } }",
+        "class A { void x() { " + "new B( " * 20_000 + " } }",
+    ],
+)
+def test_java_time_grows_with_the_text(text):
+    began = time.process_time()
+    items, symbols = java.parse("A.java", text)
+    assert time.process_time() - began < 5
+    assert [x["title"] for x in items] == ["A", "A.x"] and len(symbols) == 2
+
+
+@pytest.mark.parametrize("text", ["class A { x @interface", "class A { x @interface B { } }", "class A { x @"])
+def test_java_misplaced_annotation_type_ends(text):
+    assert java.parse("A.java", text)[0][0]["title"] == "A"  # the first two were read for ever, the last failed
+
+
+def test_java_reads_nothing_twice():
+    items, _ = java.parse("A.java", "class Z { " + "int x = g( class A { ) ; " * 12 + "}")  # made 12,286 items
+    assert len(items) == 37
+
+
+def test_java_of_much_prose_is_read_fast():
+    rows = ["The default of each final harbour, say, is static; it isn't {read} @night. " * 400] * 100
+    began = time.process_time()
+    assert all(java.parse("A.java", text) == ([], []) for text in rows)
+    assert time.process_time() - began < 2
+
+
 def test_ddl():
     items, symbols = ddl.parse("s.sql", SQL)
     table, _, knot, strain = items
