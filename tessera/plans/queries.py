@@ -379,7 +379,7 @@ def eval_rollup_by_group(spark, d):
 
 
 def _parse(spark, rows, kind, columns):
-    return parsed(rows).select("path", "failed", F.explode_outer(kind).alias("x")).select("path", *[F.col(f"x.{c}").alias(c) for c in columns], "failed")
+    return parsed(rows, {kind: columns}).select("path", "failed", F.explode_outer(kind).alias("x")).select("path", *[F.col(f"x.{c}").alias(c) for c in columns], "failed")
 
 
 def markdown_sections(spark, d):

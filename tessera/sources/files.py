@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,11 +111,14 @@ def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("not coalesce(ok, false)").select("path", F.lit("read").alias("stage"), F.lit("not valid UTF-8").alias("error"))
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """(path, file_hash, failed, items, symbols): each file's rows as arrays, or why it couldn't be parsed."""
-    inner = lambda s: ", ".join(x for x in s.split(", ") if x.split()[0] not in PROVENANCE)
-    item, symbol = (", ".join(f"{x.split()[0]}:{x.split()[1]}" for x in inner(s).split(", ")) for s in (ITEM, SYMBOL))
-    item_names, symbol_names = names(inner(ITEM)), names(inner(SYMBOL))
+def parsed(files: DataFrame, wanted: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """(path, file_hash, failed, items, symbols): each file's rows as arrays, or why it couldn't be parsed. wanted: the kinds and columns to keep, else all."""
+    columns = {}
+    for kind, schema in (("items", ITEM), ("symbols", SYMBOL)):
+        if wanted is None or kind in wanted:
+            columns[kind] = {n: t for n, t in (x.split() for x in schema.split(", ")) if n not in PROVENANCE and (wanted is None or n in wanted[kind])}
+    texts = not {"content", "metadata"}.isdisjoint(columns.get("items", ()))
+    parsers = PARSERS if texts else PARSERS | {".java": partial(java.parse, texts=False)}
 
     def run(batches):
         for pdf in batches:
@@ -122,13 +126,14 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, text, file_hash in zip(pdf["path"], pdf["text"], pdf["file_hash"]):
                 suffix = os.path.splitext(path)[1].lower()
                 try:
-                    items, symbols = PARSERS[suffix](path, text) if suffix in PARSERS else ([], [])
-                    out.append((path, file_hash, None, [{n: x.get(n) for n in item_names} for x in items], [{n: x.get(n) for n in symbol_names} for x in symbols]))
+                    found = dict(zip(("items", "symbols"), parsers[suffix](path, text) if suffix in parsers else ([], [])))
+                    out.append((path, file_hash, None, *([{n: x.get(n) for n in kept} for x in found[kind]] for kind, kept in columns.items())))
                 except Exception as x:  # one bad file must not stop the others
-                    out.append((path, file_hash, str(x)[:500], [], []))
-            yield pd.DataFrame(out, columns=["path", "file_hash", "failed", "items", "symbols"])
+                    out.append((path, file_hash, str(x)[:500], *([] for _ in columns)))
+            yield pd.DataFrame(out, columns=["path", "file_hash", "failed", *columns])
 
-    return files.select("path", "text", "file_hash").mapInPandas(run, f"path string, file_hash string, failed string, items array<struct<{item}>>, symbols array<struct<{symbol}>>")
+    arrays = [f"{kind} array<struct<{', '.join(f'{n}:{t}' for n, t in kept.items())}>>" for kind, kept in columns.items()]
+    return files.select("path", "text", "file_hash").mapInPandas(run, ", ".join(["path string, file_hash string, failed string", *arrays]))
 
 
 #: columns stamped after parsing

@@ -1,5 +1,6 @@
 import json
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,22 @@ def test_java_of_much_prose_is_read_fast():
     assert time.process_time() - began < 2
 
 
+def test_java_long_line_costs_no_contents_where_none_are_wanted(spark):
+    text = "class A { " + "".join(f"void m{i}() {{ }} " for i in range(4_000)) + "}"
+    tracemalloc.start()
+    _, symbols = java.parse("A.java", text, texts=False)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 50e6 and len(symbols) == 4_001  # the contents are 4,001 times the line
+    files = spark.createDataFrame([("A.java", JAVA, "h"), ("B.java", KINDS, "h"), ("s.sql", SQL, "h"), ("w.md", MARKDOWN, "h")], "path string, text string, file_hash string")
+    whole = S.parsed(files)
+    for kind, columns in (("items", ("id", "start_line", "symbol_type")), ("items", ("id", "content", "metadata")), ("symbols", ("symbol_id", "source_item_id"))):
+        rows = S.parsed(files, {kind: columns})
+        assert rows.columns == ["path", "file_hash", "failed", kind]
+        read = lambda df: [[r.path, r.failed, [tuple(x[c] for c in columns) for x in r[kind]]] for r in df.sort("path").collect()]
+        assert read(rows) == read(whole)
+
+
 def test_ddl():
     items, symbols = ddl.parse("s.sql", SQL)
     table, _, knot, strain = items
